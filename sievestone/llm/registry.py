@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
+from . import chat_format, url_filters
+from .best_fit_packing import op4_best_fit
+from .chat_format import op10_typed_parts
 from .quality_rules import op2_line_frequency
+from .sstable import op1_sstable
+from .url_filters import op5_link_graph
 
-QUERIES = {"op2_line_frequency": op2_line_frequency}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_sstable": op1_sstable,
+    "op2_line_frequency": op2_line_frequency,
+    "op4_best_fit": op4_best_fit,
+    "op5_link_graph": op5_link_graph,
+    "op10_typed_parts": op10_typed_parts,
+}
+ORACLE_SQL: dict[str, str] = {"op5_link_graph": url_filters.ORACLE, "op10_typed_parts": chat_format.ORACLE}
