@@ -1,19 +1,53 @@
-"""Documents through quality rules and further stages to packed sequences."""
+"""Documents to packed sequences: quality rules, near copies, repeated passages, mix, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sievestone.llm._store import table, written
+from sievestone.llm.best_fit_packing import pack_documents
+from sievestone.llm.mix_sources import mix_sources
+from sievestone.llm.ngram_jaccard import keep_first
 from sievestone.llm.quality_rules import keep_good
+from sievestone.llm.suffix_dedup import keep_unrepeated
+
+#: A source may be passed so often at most in one epoch of the mix.
+MOST_PASSES = 1.25
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
     return keep_good(docs)
 
 
-STAGES = [("quality rules", quality)]
-#: Packing and tokenizing have no SQL form; the stages are tested against brute force.
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    return keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that a smaller doc_id has go, and documents of which nothing is left."""
+    return keep_unrepeated(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, those of smaller sources again as far as their weight asks for it."""
+    return mix_sources(docs, max_repeat=MOST_PASSES).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources", mix),
+    ("best-fit packing", packing),
+]
+#: Tokenizing and hash orders have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

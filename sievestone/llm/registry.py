@@ -5,15 +5,21 @@ from __future__ import annotations
 from . import chat_format, url_filters
 from .best_fit_packing import op4_best_fit
 from .chat_format import op10_typed_parts
+from .mix_sources import op9_temperature
+from .ngram_jaccard import op6_prefix_tree
 from .quality_rules import op2_line_frequency
 from .sstable import op1_sstable
+from .suffix_dedup import op3_suffix_array
 from .url_filters import op5_link_graph
 
 QUERIES = {
     "op1_sstable": op1_sstable,
     "op2_line_frequency": op2_line_frequency,
+    "op3_suffix_array": op3_suffix_array,
     "op4_best_fit": op4_best_fit,
     "op5_link_graph": op5_link_graph,
+    "op6_prefix_tree": op6_prefix_tree,
+    "op9_temperature": op9_temperature,
     "op10_typed_parts": op10_typed_parts,
 }
 ORACLE_SQL: dict[str, str] = {"op5_link_graph": url_filters.ORACLE, "op10_typed_parts": chat_format.ORACLE}
