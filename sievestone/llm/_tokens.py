@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Pieces kept in a worker's cache before it is emptied.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -36,13 +36,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.id_bytes[k] = len(token)  # byte-level tokens have one character for each byte
 
     def _fill(self, pieces: Iterable[str]) -> None:
         missing = [p for p in pieces if p not in self.cache]
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
+        joins = [len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace() for p in missing]
+        alone = [p for p, j in zip(missing, joins) if not j]
+        for k in range(0, len(alone), 1024):
+            part = alone[k : k + 1024]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[piece] = np.array(e.ids, "<u4").tobytes()
+        self._fill_joined([p for p, j in zip(missing, joins) if j])
+
+    def _fill_joined(self, pieces: list[str]) -> None:
+        """Encodes pieces one behind another, since texts may be cut before each, and parts their ids by bytes."""
+        for k in range(0, len(pieces), 2048):
+            part = pieces[k : k + 2048]
+            (e,) = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in part])
+            to = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends, "left") + 1
+            data, at = ids.tobytes(), 0
+            for piece, end in zip(part, (4 * to).tolist()):
+                self.cache[piece] = data[at:end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, distinct = [], set()
