@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import chat_format, url_filters
 from .best_fit_packing import op4_best_fit
 from .chat_format import op10_typed_parts
+from .ivf_pq import op7_ivf_pq
 from .mix_sources import op9_temperature
 from .ngram_jaccard import op6_prefix_tree
 from .quality_rules import op2_line_frequency
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_best_fit": op4_best_fit,
     "op5_link_graph": op5_link_graph,
     "op6_prefix_tree": op6_prefix_tree,
+    "op7_ivf_pq": op7_ivf_pq,
     "op9_temperature": op9_temperature,
     "op10_typed_parts": op10_typed_parts,
 }
