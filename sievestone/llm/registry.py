@@ -11,6 +11,7 @@ from .ngram_jaccard import op6_prefix_tree
 from .quality_rules import op2_line_frequency
 from .sstable import op1_sstable
 from .suffix_dedup import op3_suffix_array
+from .suffix_tree_lm import op8_suffix_tree
 from .url_filters import op5_link_graph
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_link_graph": op5_link_graph,
     "op6_prefix_tree": op6_prefix_tree,
     "op7_ivf_pq": op7_ivf_pq,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_temperature": op9_temperature,
     "op10_typed_parts": op10_typed_parts,
 }
