@@ -37,7 +37,9 @@ from ._store import table, written
 
 SPAN, LEAD = 50, 12
 #: Text whose strings are held and compared in a task at once, and text per bucket.
-CHUNK, BUCKET = 24 << 20, 8 << 20
+CHUNK, BUCKET = 16 << 20, 8 << 20
+#: Spans that a bucket sorts at once (more only if one landmark has more), and strings held against them.
+SPANS_AT_ONCE, ENTRIES_AT_ONCE = 500_000, 50_000
 #: Documents from which splitters are taken (they steer sizes only, never results).
 SAMPLE = 2000
 _PLACE_BITS = np.uint64(28)
@@ -99,9 +101,20 @@ def multikey_runs(data: np.ndarray, at: np.ndarray, group: np.ndarray, span: int
     return order, new
 
 
-def _settled(data: np.ndarray, first: np.ndarray, end: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prints(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of strings that come in order of place, a slice of the bytes at a time."""
+    one, two, at = np.empty(len(first), np.uint64), np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + t.SLICE)))
+        base, stop = first[at], end[at:to].max()
+        one[at:to] = t.span_hashes(data[base:stop], first[at:to] - base, end[at:to] - base)
+        two[at:to] = t.span_hashes(data[base:stop], first[at:to] - base, end[at:to] - base, 3)
+        at = to
+    return one, two
+
+
+def _settled(one: np.ndarray, two: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By equal strings: which come from the least identifier, and which repeat a smaller one's."""
-    one, two = t.span_hashes(data, first, end), t.span_hashes(data, first, end, 3)
     order = np.lexsort((docs, two, one))
     new = np.flatnonzero(t.first_of_runs(one[order], two[order]))
     sizes = np.diff(np.append(new, len(order)))
@@ -168,8 +181,7 @@ def _strings(docs: DataFrame, splitters: np.ndarray, span: int, lead: int) -> Da
             data = np.concatenate([d for d, _ in held])
             shift = np.cumsum([0, *(len(d) for d, _ in held)])[:-1]
             rows = {k: np.concatenate([r[k] + (s if k == "first" else 0) for (_, r), s in zip(held, shift)]) for k in held[0][1]}
-            end = rows["first"] + rows["size"]
-            send, drop = _settled(data, rows["first"], end, rows["doc"])
+            send, drop = _settled(*_prints(data, rows["first"], rows["first"] + rows["size"]), rows["doc"])
             for part in _marked(rows["doc"][drop], rows["at"][drop], rows["at"][drop] + rows["size"][drop]):
                 yield pa.RecordBatch.from_arrays([pa.array([-1] * part.num_rows, pa.int64()), part.column(0), part.column(1)], names=["bucket", "doc_id", "packed"])
             pick = np.flatnonzero(send)
@@ -220,6 +232,7 @@ def _compare(parts: list, span: int, lead: int) -> Iterator[pa.RecordBatch]:
     rows = {k: np.concatenate([r[k] for r, _ in parts]) for k, _ in _FIELDS}
     parts.clear()
     first = np.cumsum(rows["size"]) - rows["size"]
+    one, two = _prints(data, first, first + rows["size"])
     token, rest = word_at(data, first + rows["mark"]), word_at(data, first + rows["mark"] + 8, lead - 8)
     order = np.lexsort((rest, token))
     new = np.flatnonzero(t.first_of_runs(token[order], rest[order]))
@@ -230,34 +243,45 @@ def _compare(parts: list, span: int, lead: int) -> Iterator[pa.RecordBatch]:
     if not len(order):
         return
     group = np.cumsum(t.first_of_runs(token[order], rest[order]))
-    first, size, doc, at = first[order], rows["size"][order], rows["doc"][order], rows["at"][order]
+    first, size, doc, at, one, two = first[order], rows["size"][order], rows["doc"][order], rows["at"][order], one[order], two[order]
     # equal strings once, with their least identifier
-    one, two = t.span_hashes(data, first, first + size), t.span_hashes(data, first, first + size, 3)
     order = np.lexsort((doc, two, one, group))
     first, size, doc, at, group = (x[order] for x in (first, size, doc, at, group))
     kind = np.cumsum(t.first_of_runs(group, one[order], two[order])) - 1
     heads = np.flatnonzero(t.first_of_runs(kind))
-    # spans of all kinds, sorted within the landmark, and the least identifier of each
+    # spans of all kinds of whole landmarks, some at a time: sorted, and the least identifier of each
     spans = size[heads] - span + 1
-    begin = np.cumsum(spans) - spans
-    owner = np.repeat(np.arange(len(heads)), spans)
-    place = first[heads][owner] + np.arange(len(owner)) - begin[owner]
-    sorted_, fresh = multikey_runs(data, place, group[heads][owner], span)
-    runs = np.flatnonzero(fresh)
-    least = np.empty(len(owner), np.int64)
-    least[sorted_] = np.repeat(np.minimum.reduceat(doc[heads][owner][sorted_], runs), np.diff(np.append(runs, len(owner))))
-    # each document's spans against them
-    step = 200_000
+    landmark = np.flatnonzero(t.first_of_runs(group[heads]))
+    begin = np.concatenate([[0], np.cumsum(spans)])
+    cuts, k = [0], 0
+    while k < len(heads):
+        k = int(np.searchsorted(begin, begin[k] + SPANS_AT_ONCE))
+        after = np.searchsorted(landmark, k)
+        k = int(landmark[after]) if after < len(landmark) else len(heads)
+        cuts.append(k)
     found = []
-    for k in range(0, len(doc), step):
-        e = np.arange(k, min(k + step, len(doc)))
-        n = spans[kind[e]]
-        entry = np.repeat(e, n)
-        inner = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-        hit = least[begin[kind[entry]] + inner] < doc[entry]
-        found.append((doc[entry[hit]], at[entry[hit]] + inner[hit]))
-    docs, start = (np.concatenate(x) for x in zip(*found))
-    yield from _marked(docs, start, start + span)
+    entries = np.append(heads, len(doc))
+    for a, b in zip(cuts, cuts[1:]):
+        owner = np.repeat(np.arange(a, b), spans[a:b])
+        place = first[heads[owner]] + np.arange(begin[a], begin[b]) - begin[owner]
+        sorted_, fresh = multikey_runs(data, place, group[heads[owner]], span)
+        runs = np.flatnonzero(fresh)
+        least = np.empty(len(owner), np.int64)
+        least[sorted_] = np.repeat(np.minimum.reduceat(doc[heads[owner]][sorted_], runs), np.diff(np.append(runs, len(owner))))
+        for k in range(entries[a], entries[b], ENTRIES_AT_ONCE):  # each document's spans against them
+            e = np.arange(k, min(k + ENTRIES_AT_ONCE, entries[b]))
+            n = spans[kind[e]]
+            entry = np.repeat(e, n)
+            inner = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+            hit = least[begin[kind[entry]] - begin[a] + inner] < doc[entry]
+            # neighbouring spans of one entry as one
+            entry, inner = entry[hit], inner[hit]
+            if len(entry):
+                new = np.flatnonzero(np.concatenate([[True], (entry[1:] != entry[:-1]) | (inner[1:] != inner[:-1] + 1)]))
+                last = np.append(new[1:], len(entry)) - 1
+                found.append((doc[entry[new]], at[entry[new]] + inner[new], at[entry[new]] + inner[last] + span))
+    if found:
+        yield from _marked(*(np.concatenate(x) for x in zip(*found)))
 
 
 def _splitters(docs: DataFrame, buckets: int, rows: int, lead: int, span: int) -> np.ndarray:
