@@ -147,3 +147,25 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the verdict keeps."""
     good = line_frequency_verdict(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(good, docs["doc_id"] == good["_kept_id"], "left_semi")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM d),
+    l AS (SELECT doc_id, host, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+        FROM (SELECT doc_id, host, text, unnest(ls) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
+    win AS (SELECT doc_id, i, CASE WHEN i + 8 <= n THEN array_to_string(ws[i + 1 : i + 8], ' ') END AS key FROM (SELECT doc_id, ws, len(ws) AS n, unnest(range(len(ws))) AS i FROM w)),
+    twice AS (SELECT doc_id, i, (key IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, key) > 1)::INT AS f FROM win),
+    rep AS (SELECT doc_id, sum(c) AS n_repeat_words FROM (SELECT doc_id, max(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM twice) GROUP BY 1),
+    texts AS (SELECT host, text, min(doc_id) AS id FROM d GROUP BY 1, 2),
+    lim AS (SELECT host, greatest(50.0, 0.02 * count(*)) AS most FROM texts GROUP BY 1),
+    held AS (SELECT l.host, array_to_string(lw, ' ') AS key, count(DISTINCT t.id) AS docs, min(t.id) AS first_id FROM l JOIN texts t ON l.host IS NOT DISTINCT FROM t.host AND l.text = t.text GROUP BY 1, 2),
+    freq AS (SELECT held.* FROM held JOIN lim ON held.host IS NOT DISTINCT FROM lim.host WHERE docs > most),
+    taken AS (SELECT doc_id, sum(len(lw)) AS n FROM l JOIN freq f ON l.host IS NOT DISTINCT FROM f.host AND array_to_string(lw, ' ') = key AND doc_id != first_id GROUP BY 1),
+    base AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM w),
+    c AS (SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        coalesce(taken.n, 0)::BIGINT AS n_removed_words FROM base b LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN taken USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 20 OR n_words - n_removed_words < 0.3 * n_words)) AS kept FROM c
+"""

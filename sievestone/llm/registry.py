@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, url_filters
+from . import chat_format, ngram_jaccard, quality_rules, suffix_dedup, url_filters
 from .best_fit_packing import op4_best_fit
 from .chat_format import op10_typed_parts
 from .ivf_pq import op7_ivf_pq
@@ -26,4 +26,10 @@ QUERIES = {
     "op9_temperature": op9_temperature,
     "op10_typed_parts": op10_typed_parts,
 }
-ORACLE_SQL: dict[str, str] = {"op5_link_graph": url_filters.ORACLE, "op10_typed_parts": chat_format.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_frequency": quality_rules.ORACLE,
+    "op3_suffix_array": suffix_dedup.ORACLE,
+    "op5_link_graph": url_filters.ORACLE,
+    "op6_prefix_tree": ngram_jaccard.ORACLE,
+    "op10_typed_parts": chat_format.ORACLE,
+}

@@ -353,3 +353,17 @@ def keep_unrepeated(docs: DataFrame) -> DataFrame:
     changed = docs.join(made, docs["doc_id"] == made["_d"], "left").withColumn("text", F.when(F.col("_d").isNotNull(), F.col("kept")).otherwise(F.col("text")))
     changed = changed.where("_d IS NULL OR length(trim(regexp_replace(kept, '[\\\\s]', ''))) > 0")
     return changed.withColumn("n_chars", F.when(F.col("_d").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))).drop("_d", "kept")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    k AS (SELECT doc_id, 500 * k AS start, length(h) // 2 AS n, substr(h, 1000 * k + 1, 1098) AS part FROM (SELECT doc_id, h, unnest(range((length(h) // 2 + 499) // 500)) AS k FROM d)),
+    b AS (SELECT doc_id, start + j AS i, substr(part, 2 * j + 1, 2) AS byte, CASE WHEN start + j + 50 <= n THEN substr(part, 2 * j + 1, 100) END AS span
+        FROM (SELECT *, unnest(range(least(500, n - start))) AS j FROM k)),
+    m AS (SELECT span, min(doc_id) AS low FROM b WHERE span IS NOT NULL GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+    f AS (SELECT doc_id, i, byte, (low IS NOT NULL AND doc_id > low)::INT AS f FROM b LEFT JOIN m ON b.span = m.span),
+    c AS (SELECT doc_id, i, byte, max(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+    g AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM c)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(r, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d
+    LEFT JOIN (SELECT doc_id, sum(gone) AS n, count(*) FILTER (gone = 1 AND before = 0) AS r, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS k FROM g GROUP BY 1) x ON d.doc_id = x.doc_id
+"""
