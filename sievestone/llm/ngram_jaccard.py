@@ -8,10 +8,10 @@
   tree walked in preorder: overlap with the document is kept for the path that one candidate has in
   common with the one before, and a subtree is left as soon as the elements that remain cannot
   bring the overlap that is needed.
-* Candidates come in two steps.  First, each shared shingle links its documents to one of them.
-  Then only documents that are still in different components meet in full.  What the first step has
-  joined needs no further test, since only components are asked for; no pair between different
-  components is left out.
+* Candidates come in two steps.  First, in a few rounds, each shared shingle links its documents to
+  one of them.  Then only documents that are still in different components meet in full.  What the
+  first step has joined needs no further test, since only components are asked for; no pair between
+  different components is left out.
 
 Defined cases: texts without words, empty or null, have an empty set and link with nothing; fewer
 words than ``words`` are one shingle; repeated rows are one document; an empty table gives no
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -39,6 +39,10 @@ CELLS, RANGES = 1 << 22, 64
 BROADCAST_IDS = 500_000
 #: Candidates of one document that are compared in one task.
 PER_TASK = 512
+#: Rounds in which every shared shingle links its documents to one of them only.
+STARS = 2
+#: Parts of all shingles; what two sets share is at most the sum over parts of the smaller counts.
+PARTS = 32
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("known", "u1")])
 
 
@@ -107,8 +111,28 @@ def set_keys(docs: DataFrame, words: int, levels) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys binary")
 
 
+def set_sizes(docs: DataFrame, words: int, levels) -> DataFrame:
+    """doc_id, n, a 128-bit print of each document's set, and how many elements fall into each of ``PARTS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in t.slices(batches, "text"):
+            bounds, keys = ordered_sets(data, offsets, words, levels.value)
+            one, two = _prints(bounds, keys)
+            n, size = np.diff(bounds), rows.num_rows
+            part = np.repeat(np.arange(size) * PARTS, n) + (keys % np.uint64(PARTS)).astype(np.int64)
+            parts = pa.array(np.bincount(part, minlength=size * PARTS).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * PARTS), parts)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(x) for x in (n, one, two)), lists], names=["doc_id", "n", "print_1", "print_2", "parts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_1 long, print_2 long, parts array<int>")
+
+
+def _prints(bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    return tuple(t.run_hashes(x, bounds[:-1], bounds[1:]).view(np.int64) for x in (keys, keys + np.uint64(1)))
+
+
 def _postings(docs: DataFrame, words: int, percent: int, levels, buckets: int) -> DataFrame:
-    """Per task: a row for each document (doc_id, n, print_1, print_2), and packed postings by bucket.
+    """Per task, packed postings by bucket.
 
     Of one task's documents with equal sets only the first gives postings.  Where a task has a
     token more than once, one posting goes to the token's bucket and the others, known to be
@@ -123,11 +147,8 @@ def _postings(docs: DataFrame, words: int, percent: int, levels, buckets: int) -
         for rows, data, offsets in t.slices(batches, "text"):
             bounds, keys = ordered_sets(data, offsets, words, levels.value)
             n, ids = np.diff(bounds), np.asarray(rows.column("doc_id").fill_null(-(1 << 63)))
-            one = t.run_hashes(keys, bounds[:-1], bounds[1:]).view(np.int64)
-            two = t.run_hashes(keys + np.uint64(1), bounds[:-1], bounds[1:]).view(np.int64)
-            yield _made(doc_id=ids, n=n, print_1=one, print_2=two)
             first = np.zeros(len(n), bool)
-            for k, both in enumerate(zip(one.tolist(), two.tolist())):
+            for k, both in enumerate(zip(*(x.tolist() for x in _prints(bounds, keys)))):
                 if n[k] and both not in prints:
                     prints.add(both)
                     first[k] = True
@@ -138,18 +159,12 @@ def _postings(docs: DataFrame, words: int, percent: int, levels, buckets: int) -
             made["token"], made["doc"], made["n"], made["pos"] = keys[bounds[doc] + pos], ids[doc], n[doc], pos
             held.append(made)
             size += made.nbytes
-            if size > 1 << 26:
+            if size > 1 << 24:
                 yield from _dealt(held, buckets, pack)
                 held, size = [], 0
         yield from _dealt(held, buckets, pack)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_1 long, print_2 long, bucket long, packed binary")
-
-
-def _made(**columns: np.ndarray) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "print_1": pa.int64(), "print_2": pa.int64(), "bucket": pa.int64(), "packed": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) if k in columns else pa.nulls(size, kind) for k, kind in kinds.items()], names=list(kinds))
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, packed binary")
 
 
 def _dealt(held: list[np.ndarray], buckets: int, pack: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
@@ -167,7 +182,8 @@ def _dealt(held: list[np.ndarray], buckets: int, pack: zstandard.ZstdCompressor)
     ends = np.searchsorted(bucket, np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(ends))
     columns = lambda x: b"".join(x[k].tobytes() for k in POSTING.names)
-    yield _made(bucket=full, packed=[pack.compress(columns(rows[ends[k] : ends[k + 1]])) for k in full])
+    packed = [pack.compress(columns(rows[ends[k] : ends[k + 1]])) for k in full]
+    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -196,13 +212,38 @@ def _shared(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(keep, "token long, doc long, n long, pos long")
 
 
-def _possible(na, nb, percent: int):
-    """Whether sets of these sizes can link."""
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+def _possible(na: Column, at_a: Column, nb: Column, at_b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can link if what they share begins at these places.
+
+    The first shared element of two sets that link always passes, so testing it for every one they
+    share loses none.
+    """
+    need = F.ceil((na + nb) * percent / (100 + percent))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - at_a, nb - at_b) >= need)
+
+
+def _enough(both: Column, percent: int) -> Column:
+    """Whether the parts of two sets allow for the overlap that is needed."""
+    most = F.aggregate(F.zip_with("parts", "parts_b", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    return most >= F.ceil(both * percent / (100 + percent))
+
+
+def _candidates(percent: int) -> Column:
+    """Whether two rows of postings (the second with _b) are of different components and may link."""
+    n, pos, n_b, pos_b = (F.col(c) for c in ("n", "pos", "n_b", "pos_b"))
+    return (F.col("component") != F.col("component_b")) & _possible(n, pos, n_b, pos_b, percent) & _enough(n + n_b, percent)
+
+
+def _pairs(both: DataFrame, percent: int) -> DataFrame:
+    found = both.where(_candidates(percent)).select(F.col("doc_b").alias("a"), F.col("doc").alias("b")).distinct()
+    return written(found, "pairs")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked of pairs (a, b); sets: (doc_id, keys)."""
+def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
+    """The linked of pairs (a, b), a table, of documents (doc_id, text)."""
+    ids = written(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = written(set_keys(docs.join(ids, F.col("doc_id") == F.col("i"), "left_semi"), words, levels), "sets")
     counts = pairs.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("many"))
     salted = pairs.join(counts, F.col("a") == F.col("c")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / PER_TASK).cast("long")).alias("salt"))
     heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "keys")
@@ -264,33 +305,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(docs, words))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = written(_postings(docs, words, percent, levels, buckets), "postings")
-    sizes = made.where("packed IS NULL").select("doc_id", "n", "print_1", "print_2")
-    shared = written(_shared(made.where("packed IS NOT NULL").select("bucket", "packed")), "shared")
+    sizes = written(set_sizes(docs, words, levels), "sizes")
+    shared = written(_shared(_postings(docs, words, percent, levels, buckets)), "shared")
     same = sizes.where("n > 0").groupBy("print_1", "print_2").agg(F.min("doc_id").alias("first"))
     same = sizes.where("n > 0").join(same, ["print_1", "print_2"]).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     same = written(same, "same")
-    involved = written(shared.select(F.col("doc").alias("i")).distinct(), "involved")
-    few = involved.count() <= BROADCAST_IDS
-    sets = docs.join(F.broadcast(involved) if few else involved, F.col("doc_id") == F.col("i"), "left_semi")
-    sets = written(set_keys(sets, words, levels), "sets")
-    # first each shared token links its documents to one of them
-    chosen = shared.groupBy(F.col("token").alias("k")).agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc", F.col("n").alias("nb"))).alias("p"))
-    star = shared.join(chosen, F.col("token") == F.col("k")).where((F.col("doc") != F.col("p.doc")) & _possible(F.col("n"), F.col("p.nb"), percent))
-    star = written(star.select(F.col("p.doc").alias("a"), F.col("doc").alias("b")).distinct(), "star")
-    links = written(verify(star, sets, percent), "linked").union(same)
-    components = connected_components(links)
+    parts = written(sizes.select(F.col("doc_id").alias("i"), "parts").dropDuplicates(["i"]).join(shared.select(F.col("doc").alias("j")).distinct(), F.col("i") == F.col("j"), "left_semi"), "parts")
+    links, components, still = same, None, shared.withColumn("component", F.col("doc")).join(parts, F.col("doc") == F.col("i")).drop("i")
+    for k in range(STARS):
+        # each shared token links its documents to one of them, other ones in each round
+        chosen = still.groupBy(F.col("token").alias("k")).agg(F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), *still.columns[1:])).alias("p"))
+        star = still.join(chosen.select("k", *(F.col(f"p.{c}").alias(f"{c}_b") for c in still.columns[1:])), F.col("token") == F.col("k"))
+        links = written(verify(_pairs(star, percent), docs, words, percent, levels), "linked").union(links)
+        components = connected_components(links)
+        placed = shared.join(components, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
+        placed = written(placed, "placed")
+        open_ = placed.groupBy(F.col("token").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("k")
+        still = placed.join(open_, F.col("token") == F.col("k"), "left_semi").join(parts, F.col("doc") == F.col("i")).drop("i")
+        still = written(still, "still")
     # then documents of different components that still share a token meet
-    placed = shared.join(components, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
-    placed = written(placed, "placed")
-    open_ = placed.groupBy(F.col("token").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("k")
-    still = written(placed.join(open_, F.col("token") == F.col("k"), "left_semi"), "still")
     other = still.select(*(F.col(c).alias(f"{c}_b") for c in still.columns))
-    need = F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent))
-    meet = still.join(other, (F.col("token") == F.col("token_b")) & (F.col("doc") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & _possible(F.col("n"), F.col("n_b"), percent) & (F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= need))
-    meet = meet.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
-    meet = meet.join(star.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    more = written(verify(written(meet, "meet"), sets, percent), "linked")
+    meet = still.join(other, (F.col("token") == F.col("token_b")) & (F.col("doc") < F.col("doc_b")) & _candidates(percent))
+    more = written(verify(_pairs(meet, percent), docs, words, percent, levels), "linked")
     if more.limit(1).count():
         components = connected_components(links.union(more))
     joined = sizes.join(components, F.col("doc_id") == F.col("node"), "left")
