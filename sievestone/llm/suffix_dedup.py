@@ -37,9 +37,9 @@ from ._store import table, written
 
 SPAN, LEAD = 50, 12
 #: Text whose strings are held and compared in a task at once, and text per bucket.
-CHUNK, BUCKET = 16 << 20, 8 << 20
+CHUNK, BUCKET = 8 << 20, 4 << 20
 #: Spans that a bucket sorts at once (more only if one landmark has more), and strings held against them.
-SPANS_AT_ONCE, ENTRIES_AT_ONCE = 500_000, 50_000
+SPANS_AT_ONCE, ENTRIES_AT_ONCE = 250_000, 20_000
 #: Documents from which splitters are taken (they steer sizes only, never results).
 SAMPLE = 2000
 _PLACE_BITS = np.uint64(28)
@@ -209,7 +209,7 @@ def _strings(docs: DataFrame, splitters: np.ndarray, span: int, lead: int) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, doc_id long, packed binary")
 
 
-def _compared(strings: DataFrame, span: int, lead: int) -> DataFrame:
+def _compared(strings: DataFrame, span: int, lead: int, buckets: int) -> DataFrame:
     """Spans that repeat a smaller identifier's, by document and bucket: doc_id, spans."""
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def _compared(strings: DataFrame, span: int, lead: int) -> DataFrame:
         if parts:
             yield from _compare(parts, span, lead)
 
-    own = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(F.col("bucket"))
+    own = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).otherwise(F.col("bucket"))
     return strings.groupBy(own.alias("range")).applyInArrow(run, "doc_id long, spans binary")
 
 
@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataF
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(1, -(-size // BUCKET))
     strings = _strings(docs, _splitters(docs, buckets, rows, lead, span) if buckets > 1 else np.zeros(0, np.uint64), span, lead)
-    return written(_compared(strings, span, lead), "spans")
+    return written(_compared(strings, span, lead, buckets), "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, lead: int = LEAD, with_text: bool = True) -> DataFrame:
