@@ -31,7 +31,7 @@ SAMPLE = 20_000
 LISTS, PARTS, CODES, BLOCK = 1024, 16, 256, 4096
 #: Rows that a list should have, share of the lists that a query is compared with, and rows in them at least.  Vectors without
 #: clusters need a large share: on such data 0.6 finds about 0.95 of the nearest, 0.3 about 0.8.
-PER_LIST, PROBE_SHARE, LEAST_ROWS = 250, 0.62, 2000
+PER_LIST, PROBE_SHARE, LEAST_ROWS = 1000, 0.64, 2000
 #: Candidates kept of each block and query, and of each query for exact scoring.
 PER_BLOCK, RERANK = 24, 400
 
