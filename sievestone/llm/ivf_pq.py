@@ -5,8 +5,10 @@ with the codes of its residual.  A query is compared with the lists of the centr
 most, by one table of partial products per query (asymmetric distances); the best of all lists are
 scored again on the original vectors, in double precision.
 
-Lists are split into blocks of about ``BLOCK`` rows, so a list that holds a third of all rows (copies
-of one vector) is spread over many tasks; queries stream past a block.
+Copies of a vector are one entry, with the smallest identifiers that any answer can need.  Entries
+are dealt to groups of about ``GROUP`` by identifier, each with its own part of all lists, so that no
+group is larger because a list is; queries stream past a group, which keeps as many candidates of a
+query as are scored again in all.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; rows of one identifier are one vector; ties go to the smaller identifier;
@@ -28,12 +30,14 @@ from ._store import table, written
 
 #: Rows on which centroids and codebooks are fitted, at most.
 SAMPLE = 20_000
-LISTS, PARTS, CODES, BLOCK = 1024, 16, 256, 4096
+LISTS, PARTS, CODES = 1024, 16, 256
+#: Distinct vectors of a group, and tasks that compare at least (a group's queries are split among them).
+GROUP, TASKS = 1 << 18, 32
 #: Rows that a list should have, share of the lists that a query is compared with, and rows in them at least.  Vectors without
 #: clusters need a large share: on such data 0.6 finds about 0.95 of the nearest, 0.3 about 0.8.
 PER_LIST, PROBE_SHARE, LEAST_ROWS = 1000, 0.64, 2000
-#: Candidates kept of each block and query, and of each query for exact scoring.
-PER_BLOCK, RERANK = 24, 400
+#: Candidates of each query for exact scoring.
+RERANK = 400
 
 
 @dataclass
@@ -110,83 +114,92 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         return spark.createDataFrame([], names)
     own = own.where(F.size("v") == size.d)
     asked = clean(queries).where(F.size("v") == size.d).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    some = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    fitted = fit(_matrix(some.column("v")), size["count"])
+    # of equal vectors an answer holds the k smallest identifiers, besides the query's own
+    few = own.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    entries = written(few.groupBy("v").agg(F.min("vec_id").alias("entry"), F.collect_list("vec_id").alias("ids")), "entries")
+    some = entries.orderBy(F.xxhash64("entry"), "entry").limit(sample).select("v").toArrow()
+    many = entries.count()
+    fitted = fit(_matrix(some.column("v")), many)
     model = spark.sparkContext.broadcast(fitted)  # bounded: LISTS centroids and CODES rows of books
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 lists, codes = model.value.encode(_matrix(part.column("v")))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "vec_id", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), part.column("entry"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "entry", "code"])
 
-    coded = written(own.select("vec_id", "v").mapInArrow(encode, "list long, vec_id long, code binary"), "codes")
+    coded = written(entries.select("entry", "v").mapInArrow(encode, "list long, entry long, code binary"), "codes")
     counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # LISTS rows at most
-    sizes = np.array([counts.get(k, 0) for k in range(len(fitted.centroids))])
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                promise = _matrix(part.column("q")) @ model.value.centroids.T
-                order = np.argsort(-promise, 1, kind="stable")
-                found = np.cumsum(sizes[order], 1)
-                many = np.maximum(int(np.ceil(probe_share * order.shape[1])), (found < min(LEAST_ROWS, found[0, -1])).sum(1) + 1)  # at least so many rows
-                take = [order[j, : many[j]] for j in range(len(order))]
-                who = np.repeat(np.arange(len(order)), [len(x) for x in take])
-                lists = np.concatenate(take)
-                each = blocks[lists]
-                who, lists2 = np.repeat(who, each), np.repeat(lists, each)
-                block = np.arange(len(who)) - np.repeat(np.cumsum(each) - each, each)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists2), pa.array(block), part.column("query_id").take(pa.array(who)), pa.array(promise[who, lists2]), part.column("q").take(pa.array(who))],
-                    names=["list", "block", "vec_id", "promise", "q"],
-                )
-
-    per_list = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), (F.col("list") + 1).cast("int"))
-    held = coded.select("list", F.pmod(F.xxhash64("vec_id"), per_list).alias("block"), F.lit(0).alias("kind"), "vec_id", "code", F.lit(0.0).alias("promise"), F.lit(None).cast("array<double>").alias("q"))
-    wanted = asked.mapInArrow(probe, "list long, block long, vec_id long, promise double, q array<double>")
-    wanted = wanted.select("list", "block", F.lit(1).alias("kind"), "vec_id", F.lit(None).cast("binary").alias("code"), "promise", "q")
+    sizes = np.array([counts.get(j, 0) for j in range(len(fitted.centroids))])
+    groups = -(-many // GROUP)
+    splits = -(-TASKS // groups)
+
+    def probed(promise: np.ndarray) -> np.ndarray:
+        """Per query and list, whether they are compared."""
+        order = np.argsort(-promise, 1, kind="stable")
+        found = np.cumsum(sizes[order], 1)
+        least = np.maximum(int(np.ceil(probe_share * order.shape[1])), (found < min(LEAST_ROWS, found[0, -1])).sum(1) + 1)  # at least so many rows
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, np.arange(order.shape[1]) < least[:, None], 1)
+        return out
+
+    numbers = lambda n: F.explode(F.array(*(F.lit(j).cast("long") for j in range(n))))
+    none = F.lit(None)
+    held = coded.select(F.pmod(F.xxhash64("entry"), F.lit(groups)).alias("group"), numbers(splits).alias("split"), F.lit(0).alias("kind"), "list", F.col("entry").alias("id"), "code", none.cast("array<double>").alias("q"))
+    wanted = asked.select(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")).alias("all"), F.pmod(F.xxhash64("query_id"), F.lit(splits)).alias("split"), "query_id", "q")
+    wanted = wanted.select(F.explode("all").alias("group"), "split", F.lit(1).alias("kind"), none.cast("long").alias("list"), F.col("query_id").alias("id"), none.cast("binary").alias("code"), "q")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, codes, fresh = None, [], [], True
+        key, parts, fresh = None, [], True
         for batch in batches:
-            lists, block, kind = (np.asarray(batch.column(c)) for c in ("list", "block", "kind"))
-            cut = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])]))
-            for a, b in zip(cut, np.append(cut[1:], len(lists))):
-                if (lists[a], block[a]) != key:
-                    key, ids, codes, fresh = (lists[a], block[a]), [], [], True
+            group, split, kind = (np.asarray(batch.column(c)) for c in ("group", "split", "kind"))
+            cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (split[1:] != split[:-1]) | (kind[1:] != kind[:-1])])) if len(group) else []
+            for a, b in zip(cut, np.append(cut[1:], len(group))):
+                if (group[a], split[a]) != key:
+                    key, parts, fresh = (group[a], split[a]), [], True
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
-                    ids.append(np.asarray(part.column("vec_id")))
-                    codes.append(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(b - a, -1))
-                elif ids:
+                    parts.append((np.asarray(part.column("list")), np.asarray(part.column("id")), np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(b - a, -1)))
+                elif parts:
                     if fresh:
-                        order = np.argsort(np.concatenate(ids), kind="stable")
-                        ids, codes, fresh = [np.concatenate(ids)[order]], [np.concatenate(codes)[order]], False
-                    for at in range(0, b - a, 256):
-                        yield from best(part.slice(at, 256), ids[0], codes[0])
-
-    def best(asked: pa.RecordBatch, ids: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near = np.repeat(np.asarray(asked.column("promise"))[:, None], len(ids), 1)
-        for part, values in enumerate(model.value.tables(_matrix(asked.column("q")))):
-            near += values[:, codes[:, part]]
-        top = np.argsort(-near, 1, kind="stable")[:, :PER_BLOCK] if len(ids) > PER_BLOCK else np.tile(np.arange(len(ids)), (len(near), 1))
-        who = np.repeat(np.arange(len(near)), top.shape[1])
-        flat = top.ravel()
-        yield pa.RecordBatch.from_arrays([asked.column("vec_id").take(pa.array(who)), pa.array(ids[flat]), pa.array(near[who, flat])], names=["query_id", "vec_id", "near"])
-
-    rows = held.unionByName(wanted).repartition("list", "block").sortWithinPartitions("list", "block", "kind")
-    found = rows.mapInArrow(compare, "query_id long, vec_id long, near double").where("query_id != vec_id")
-    first = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    found = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= RERANK).select("query_id", F.col("vec_id").alias("c"))
-    pairs = found.join(own, F.col("c") == F.col("vec_id")).select("query_id", "vec_id", "v")
+                        lists, ids, codes = (np.concatenate(x) for x in zip(*parts))
+                        order = np.lexsort((ids, lists))
+                        parts, fresh = [(np.searchsorted(lists[order], np.arange(len(sizes) + 1)), ids[order], np.ascontiguousarray(codes[order].T))], False
+                    for at in range(0, b - a, 64):
+                        yield best(part.slice(at, 64), *parts[0])
+
+    def best(asked: pa.RecordBatch, starts: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        q = _matrix(asked.column("q"))
+        promise = q @ model.value.centroids.T
+        compared = probed(promise)
+        tables = [x.astype(np.float32) for x in model.value.tables(q)]
+        near = np.full((len(q), len(ids)), -np.inf, np.float32)
+        for j in np.flatnonzero(np.diff(starts)):
+            who, a, b = np.flatnonzero(compared[:, j]), starts[j], starts[j + 1]
+            if len(who):
+                sums = np.repeat(promise[who, j].astype(np.float32)[:, None], b - a, 1)
+                for values, code in zip(tables, codes):
+                    sums += values[who].take(code[a:b], 1)
+                near[who, a:b] = sums
+        top = np.argpartition(-near, RERANK - 1, 1)[:, :RERANK] if len(ids) > RERANK else np.tile(np.arange(len(ids)), (len(q), 1))
+        score = np.take_along_axis(near, top, 1)
+        who, at = np.nonzero(score > -np.inf)
+        return pa.RecordBatch.from_arrays([asked.column("id").take(pa.array(who)), pa.array(ids[top[who, at]]), pa.array(score[who, at].astype(np.float64))], names=["query_id", "c", "near"])
+
+    rows = held.unionByName(wanted).repartition("group", "split").sortWithinPartitions("group", "split", "kind")
+    found = rows.mapInArrow(compare, "query_id long, c long, near double")
+    if groups > 1:
+        first = Window.partitionBy("query_id").orderBy(F.desc("near"), "c")
+        found = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= RERANK)
+    pairs = found.select("query_id", "c").join(entries, F.col("c") == F.col("entry")).select("query_id", "entry", "ids", "v")
     pairs = pairs.join(asked.withColumnRenamed("query_id", "i"), F.col("query_id") == F.col("i"))
     score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    ranked = pairs.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), by)))
+    # each entry has an identifier that is not the query's, but one at most
+    good = ranked(pairs.select("query_id", "entry", "ids", score.alias("score")), "entry").where(F.col("rank") <= k + 1)
+    good = good.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
+    return ranked(good, "vec_id").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from sievestone.llm import ivf_pq
 from sievestone.llm.ivf_pq import op7_ivf_pq, search
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, list string"
@@ -57,3 +61,34 @@ def test_few_and_none(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     one = df.where("vec_id = 0")
     assert search(one, one).count() == 0
+
+
+def test_clusters_with_many_copies(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 32))
+    own = rng.integers(0, 60, 110_000)
+    x = (centres[own] + 0.5 * rng.normal(size=(len(own), 32))).astype(np.float32)
+    x[1000:21_000] = x[7]
+    x = (x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]).astype(np.float32)
+    path = str(tmp_path / "vectors.parquet")
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.float32()))}), path)
+    df = spark.read.parquet(path)
+    asked = [7, 20_999, *(int(i) for i in np.flatnonzero(own == own[7])[-40:]), *range(30_000, 110_000, 800)]
+    got = search(df, df.where(F.col("vec_id").isin(asked))).collect()
+    scores = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    want = {}
+    for q, s in zip(asked, scores):
+        s[q] = -np.inf
+        best = np.flatnonzero(s >= np.partition(s, -20)[-20] - 1e-12)
+        want[q] = [(int(j), s[j]) for j in sorted(best, key=lambda j: (-round(s[j], 12), j))[:20]]
+    assert compare(got, want) >= 0.95
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 20_999] == [7, *range(1000, 1019)]
+
+
+def test_groups(spark, monkeypatch):
+    monkeypatch.setattr(ivf_pq, "GROUP", 700)
+    rng = np.random.default_rng(3)
+    rows = {i: rng.normal(size=8).astype(np.float32).tolist() for i in range(3000)}
+    df = spark.createDataFrame([(i, x, 0, "", "") for i, x in rows.items()], SCHEMA)
+    got = search(df, df.where("vec_id % 50 = 0")).collect()
+    assert compare(got, exact(rows, [i for i in rows if i % 50 == 0])) >= 0.95
