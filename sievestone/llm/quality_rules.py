@@ -3,10 +3,14 @@
 ``line_frequency_verdict`` hashes the normalised lines of every text, counts for each line of a
 host the distinct documents that hold it (exact copies of a text count once), takes lines above
 the limit as removed everywhere but in the document with the smallest id that has them, and
-rejects documents that are depleted by that.
+rejects documents that are depleted by that.  ``keep_good`` hands on what is left of the others:
+their text without those lines.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null host is a host
-of its own; repeated rows are judged alike; ties do not arise; further columns are ignored.
+of its own; repeated rows are judged alike, and rows that share an identifier but not the text or
+host each by themselves; a row with a null identifier is judged like others, counts among the texts
+that hold a line and keeps its own lines, as in the SQL; ties do not arise; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from ._store import table, written
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _PROFILE = (
-    "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, host string, print long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, text_key long, line_keys array<long>, line_words array<int>"
 )
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -41,6 +45,37 @@ def repeated(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return twice, earlier
 
 
+def _lines(data: np.ndarray, offsets: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end, start of the next, row, first word and word after the last of every line that has a word."""
+    # lines end at \n and at the ends of texts
+    line_start = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offsets[:-1]]))
+    line_start = line_start[line_start < len(data)]
+    after = np.append(line_start[1:], len(data))[: len(line_start)]
+    line_end = after - (data[after - 1] == 10)
+    line_doc = np.searchsorted(offsets, line_start, "right") - 1
+    word_from, word_to = np.searchsorted(start, line_start), np.searchsorted(start, line_end)
+    full = word_to > word_from
+    return tuple(x[full] for x in (line_start, line_end, after, line_doc, word_from, word_to))
+
+
+def _line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, word_from: np.ndarray, word_to: np.ndarray) -> np.ndarray:
+    """Keys of normalised lines: lower-cased words, whatever white space lies between."""
+    return t.run_hashes(t.span_hashes(t.lower(data), start, end), word_from, word_to).view(np.int64)
+
+
+def without_lines(text: str, gone: list[int]) -> str:
+    """``text`` without the lines whose keys are in ``gone``."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    _, start, end = t.word_spans(data, offsets)
+    line_start, _, after, _, word_from, word_to = _lines(data, offsets, start)
+    cut = np.zeros(len(data) + 1, np.int32)
+    taken = np.isin(_line_keys(data, start, end, word_from, word_to), gone)
+    cut[line_start[taken]] += 1
+    np.add.at(cut, after[taken], -1)
+    return data[np.cumsum(cut[:-1]) == 0].tobytes().decode()
+
+
 def _profile_slice(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list]:
     rows = len(offsets) - 1
     doc, start, end = t.word_spans(data, offsets)
@@ -60,19 +95,9 @@ def _profile_slice(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
     np.add.at(cover, at[twice], 1)
     np.add.at(cover, at[twice] + 8, -1)
     covered = np.cumsum(cover[:-1]) > 0
-    # lines, which end at \n and at the ends of texts
-    line_start = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offsets[:-1]]))
-    line_start = line_start[line_start < len(data)]
-    after = np.append(line_start[1:], len(data))[: len(line_start)]
-    line_end = after - (data[after - 1] == 10)
-    line_doc = np.searchsorted(offsets, line_start, "right") - 1
-    word_from, word_to = np.searchsorted(start, line_start), np.searchsorted(start, line_end)
-    full = word_to > word_from
-    line_start, line_end, line_doc, word_from, word_to = (x[full] for x in (line_start, line_end, line_doc, word_from, word_to))
+    line_start, line_end, _, line_doc, word_from, word_to = _lines(data, offsets, start)
     _, again = repeated(line_doc, t.span_hashes(data, line_start, line_end))
-    # normalised lines: lower-cased words, whatever white space lies between
-    normal = t.span_hashes(t.lower(data), start, end)
-    keys = t.run_hashes(normal, word_from, word_to).view(np.int64)
+    keys = _line_keys(data, start, end, word_from, word_to)
     line_at = np.searchsorted(line_doc, np.arange(rows + 1))
     return {
         "n_words": np.diff(word_at),
@@ -92,13 +117,42 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in t.slices(batches, "text"):
             made = _profile_slice(data, offsets)
-            names = ["doc_id", "host", *made]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("host"), *(x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in made.values())], names=names)
+            names = ["doc_id", "host", "print", *made]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names[:3]), *(x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in made.values())], names=names)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
     return picked.mapInArrow(run, _PROFILE)
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float, min_words_left: int, min_share_left: float) -> DataFrame:
+    """The verdict of every row with its host and the print of its text, and the keys of the lines it loses."""
+    base = written(profile(docs, id_col, text_col, host_col), "profile")
+    texts = base.groupBy("host", "text_key").agg(F.min("doc_id").alias("doc_id"))
+    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * max_share).alias("most"))
+    lines = base.select("doc_id", "host", "print", "text_key", F.explode(F.arrays_zip("line_keys", "line_words")).alias("line"))
+    lines = lines.select("doc_id", "host", "print", "text_key", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("words"))
+    # one document stands for the copies of a text: count distinct texts, and rows only once per text and line
+    counts = lines.groupBy("host", "key", "text_key").agg(F.min("doc_id").alias("doc_id")).groupBy("host", "key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    frequent = counts.where(F.col("docs") > min_docs).join(limits.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where("docs > most")
+    frequent = written(frequent.select(F.col("host").alias("h"), F.col("key").alias("k"), "first_doc"), "frequent")
+    taken = (
+        lines.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")) & (F.col("doc_id") != F.col("first_doc")))
+        .groupBy("doc_id", "host", "print")
+        .agg(F.sum("words").cast("long").alias("taken"), F.collect_set("key").alias("gone"))
+        .select(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("print").alias("p"), "taken", "gone")
+    )
+    copies = base.where("doc_id IS NOT NULL").groupBy("doc_id", "host", "print").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("print").alias("p"), F.col("count").alias("rows"))
+    judged = base.select("doc_id", "host", "print", *_COUNTS)
+    for more in (taken, copies):
+        same = (F.col("doc_id") == F.col("d")) & F.col("host").eqNullSafe(F.col("h")) & (F.col("print") == F.col("p"))
+        judged = judged.join(more, same, "left").drop("d", "h", "p")
+    removed = F.floor(F.coalesce(F.col("taken"), F.lit(0)) / F.coalesce(F.col("rows"), F.lit(1)))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    left = F.col("n_words") - F.col("n_removed_words")
+    depleted = (F.col("n_removed_words") > 0) & ((left < min_words_left) | (left < min_share_left * F.col("n_words")))
+    return judged.withColumn("n_removed_words", removed).select("doc_id", "host", "print", "gone", *_COUNTS, "n_removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+
+
 def line_frequency_verdict(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -115,38 +169,43 @@ def line_frequency_verdict(
     distinct documents.  A document is depleted when frequent lines took words from it and fewer
     than ``min_words_left`` words or ``min_share_left`` of its words stay.
     """
-    base = written(profile(docs, id_col, text_col, host_col), "profile")
-    texts = base.groupBy("host", "text_key").agg(F.min("doc_id").alias("doc_id"))
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * max_share).alias("most"))
-    lines = base.select("doc_id", "host", "text_key", F.explode(F.arrays_zip("line_keys", "line_words")).alias("line"))
-    lines = lines.select("doc_id", "host", "text_key", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("words"))
-    # one document stands for the copies of a text: count distinct texts, and rows only once per text and line
-    counts = lines.groupBy("host", "key", "text_key").agg(F.min("doc_id").alias("doc_id")).groupBy("host", "key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
-    frequent = counts.where(F.col("docs") > min_docs).join(limits.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where("docs > most")
-    frequent = written(frequent.select(F.col("host").alias("h"), F.col("key").alias("k"), "first_doc"), "frequent")
-    taken = (
-        lines.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")) & (F.col("doc_id") != F.col("first_doc")))
-        .groupBy("doc_id")
-        .agg(F.sum("words").cast("long").alias("taken"))
-        .withColumnRenamed("doc_id", "d")
-    )
-    copies = base.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("c"), F.col("count").alias("rows"))
-    judged = base.select("doc_id", "host", *_COUNTS).join(taken, F.col("doc_id") == F.col("d"), "left").join(copies, F.col("doc_id") == F.col("c"), "left")
-    removed = F.floor(F.coalesce(F.col("taken"), F.lit(0)) / F.coalesce(F.col("rows"), F.lit(1)))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    left = F.col("n_words") - F.col("n_removed_words")
-    depleted = (F.col("n_removed_words") > 0) & ((left < min_words_left) | (left < min_share_left * F.col("n_words")))
-    return judged.withColumn("n_removed_words", removed).select("doc_id", *_COUNTS, "n_removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    judged = _judged(docs, id_col, text_col, host_col, min_docs, max_share, min_words_left, min_share_left)
+    return judged.drop("host", "print", "gone")
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency_verdict(table(spark, sf_dir, "documents"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the verdict keeps."""
-    good = line_frequency_verdict(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(good, docs["doc_id"] == good["_kept_id"], "left_semi")
+def keep_good(docs: DataFrame, min_docs: int = 50, max_share: float = 0.02) -> DataFrame:
+    """The rows of ``docs`` that the verdict keeps, with the text (and ``n_chars``) that is left without frequent lines.
+
+    The verdict belongs to an identifier (null or not), host and text.
+    """
+    judged = _judged(docs, "doc_id", "text", "source", min_docs, max_share, 20, 0.3)
+    changed = judged.where("NOT kept OR gone IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("print").alias("_p"), F.col("kept").alias("_kept"), F.col("gone").alias("_gone"))
+    changed = written(changed.dropDuplicates(["_d", "_h", "_p"]), "changed")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64("text") == F.col("_p"))
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, gone = [batch.column(c) for c in names], batch.column("_gone")
+            if gone.null_count < len(gone):
+                texts = columns[at].to_pylist()
+                for k in np.flatnonzero(np.asarray(gone.is_valid())):
+                    texts[k] = without_lines(texts[k], gone[int(k)].as_py())
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    left = docs.join(changed, same, "left").where("coalesce(_kept, true)")
+    if "n_chars" in names:
+        left = left.withColumn("_lost", F.col("_gone").isNotNull())
+        names = [*names, "_lost"]
+    out = left.select(*names, "_gone").mapInArrow(run, left.select(*names).schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_lost"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).drop("_lost")
+    return out
 
 
 ORACLE = r"""

@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from sievestone.llm.quality_rules import line_frequency_verdict
+from sievestone.llm.quality_rules import keep_good, line_frequency_verdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rows string"
@@ -72,3 +72,24 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, text, "en", "a", 0, ""), (1, text, "en", "a", 0, ""), (2, text + " z", "en", "a", 0, "")], SCHEMA)
     out = line_frequency_verdict(df, min_docs=0, max_share=0.0)
     assert out.count() == 3
+
+
+def test_frequent_lines_go_from_the_text(spark):
+    shared = "Every page of this host says so"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(25))
+    rows = [(i, f"{shared}\n{own(i)}\n\n  every PAGE\tof this host says so \né {own(i + 100)}\n{shared}", "a" if i < 9 else None) for i in range(18)]
+    rows += [(30, f"{own(30)}\n{shared}", "a"), (31, own(31) + "\n", "a"), (32, shared, "a"), (33, f"{own(33)}\n{shared}", "b")]
+    rows += [(None, own(40), "a"), (None, own(41), None), (None, "too short", "a"), (30, own(42), "a"), (30, "short as well", "a")]
+    df = spark.createDataFrame([(i, x, "en", h, len(x), "clash") for i, x, h in rows], SCHEMA).repartition(5)
+    got = keep_good(df, min_docs=5, max_share=0.0)
+    assert got.dtypes == df.dtypes
+    verdict = line_frequency_verdict(df, min_docs=5, max_share=0.0)
+    removed = {r.doc_id: r.n_removed_words for r in verdict.where("doc_id < 30").collect()}
+    left = [f"{own(i)}\n\né {own(i + 100)}\n" for i in range(18)]
+    want = [(i, rows[i][1] if i in (0, 9) else left[i], rows[i][2]) for i in range(18)]
+    want += [(30, own(30) + "\n", "a"), rows[19], rows[21], rows[22], rows[23], rows[25]]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert all(r.n_chars == len(r.text) and r.rows == "clash" for r in got.collect())
+    words = {i: len(WORD.findall(x)) for i, x, _ in want if i is not None and i < 30}
+    assert all(words[i] == len(WORD.findall(rows[i][1])) - removed[i] for i in words)
