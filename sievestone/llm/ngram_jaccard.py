@@ -14,8 +14,10 @@
   different components is left out.
 
 Defined cases: texts without words, empty or null, have an empty set and link with nothing; fewer
-words than ``words`` are one shingle; repeated rows are one document; an empty table gives no
-rows; further columns are ignored.
+words than ``words`` are one shingle; repeated rows are one document; a null identifier has a count, links with
+nothing and is of no component (null), as in the SQL; an empty table gives no rows; further columns
+are ignored.  ``keep_first`` tells rows without identifier apart by their texts, so their near copies
+go too.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -43,6 +45,8 @@ PER_TASK = 512
 STARS = 2
 #: Parts of all shingles; what two sets share is at most the sum over parts of the smaller counts.
 PARTS = 32
+#: Stand-ins for null identifiers are hashes from here on, larger than identifiers.
+_UNNAMED = 1 << 62
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("known", "u1")])
 
 
@@ -146,7 +150,7 @@ def _postings(docs: DataFrame, words: int, percent: int, levels, buckets: int) -
         size = 0
         for rows, data, offsets in t.slices(batches, "text"):
             bounds, keys = ordered_sets(data, offsets, words, levels.value)
-            n, ids = np.diff(bounds), np.asarray(rows.column("doc_id").fill_null(-(1 << 63)))
+            n, ids = np.diff(bounds), np.asarray(rows.column("doc_id"))
             first = np.zeros(len(n), bool)
             for k, both in enumerate(zip(*(x.tolist() for x in _prints(bounds, keys)))):
                 if n[k] and both not in prints:
@@ -306,9 +310,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = spark.sparkContext.broadcast(frequency_levels(docs, words))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = written(set_sizes(docs, words, levels), "sizes")
+    docs = docs.where("doc_id IS NOT NULL")  # others link with nothing
     shared = written(_shared(_postings(docs, words, percent, levels, buckets)), "shared")
-    same = sizes.where("n > 0").groupBy("print_1", "print_2").agg(F.min("doc_id").alias("first"))
-    same = sizes.where("n > 0").join(same, ["print_1", "print_2"]).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    full = sizes.where("n > 0 AND doc_id IS NOT NULL")
+    same = full.groupBy("print_1", "print_2").agg(F.min("doc_id").alias("first"))
+    same = full.join(same, ["print_1", "print_2"]).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     same = written(same, "same")
     parts = written(sizes.select(F.col("doc_id").alias("i"), "parts").dropDuplicates(["i"]).join(shared.select(F.col("doc").alias("j")).distinct(), F.col("i") == F.col("j"), "left_semi"), "parts")
     links, components, still = same, None, shared.withColumn("component", F.col("doc")).join(parts, F.col("doc") == F.col("i")).drop("i")
@@ -338,9 +344,20 @@ def op6_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one whose doc_id is the component's."""
-    first = jaccard_components(docs, words=5, percent=80).where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
+    """One document of each component: the one whose doc_id is the component's.
+
+    Rows with a null doc_id come after all others, in the order of a hash of their text; of equal
+    texts with words one row stays, and all rows without words, which link with nothing.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)).bitwiseOR(F.lit(_UNNAMED)))
+    keyed = docs.withColumn("_key", key)
+    first = jaccard_components(keyed, "_key", words=5, percent=80).where("component_id = doc_id")
+    first = written(first.groupBy(F.col("doc_id").alias("_first")).agg(F.max("n_shingles").alias("_n")), "first")
+    named = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    unnamed = keyed.where("doc_id IS NULL").join(first, F.col("_key") == F.col("_first"))
+    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("_key")))
+    texts = unnamed.where("_n > 0").withColumn("_r", one).where("_r = 1")
+    return named.unionByName(texts.select(*docs.columns)).unionByName(unnamed.where("_n = 0").select(*docs.columns))
 
 
 ORACLE = r"""

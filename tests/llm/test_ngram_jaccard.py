@@ -85,6 +85,21 @@ def test_edge_cases(spark):
     assert {r.doc_id for r in keep_first(df).collect()} == {1, 2, 3, 4, 6, 7, 8}
 
 
+def test_null_identifiers(spark):
+    own = lambda i, n=40: " ".join(f"w{i}x{k}" for k in range(n))
+    near = lambda i: own(i) + " end"
+    rows = [(1, own(1)), (None, near(1)), (None, own(2)), (None, own(2)), (None, near(2)), (None, own(3)), (5, own(5)), (7, near(5)), (None, ""), (None, None), (None, " ")]
+    df = spark.createDataFrame([(i, x, "", "", "", "") for i, x in rows], SCHEMA).repartition(4)
+    got = jaccard_components(df)
+    assert rows_of(got.where("doc_id IS NOT NULL")) == {(1, 37, 1), (5, 37, 5), (7, 38, 5)}
+    assert [r.component_id for r in got.where("doc_id IS NULL").collect()] == [None] * 8
+    kept = [(r.doc_id, r.text) for r in keep_first(df).collect()]
+    assert keep_first(df).dtypes == df.dtypes
+    two = [x for x in kept if x[1] in (own(2), near(2))]
+    assert len(two) == 1 and two[0][0] is None
+    assert sorted((x for x in kept if x not in two), key=str) == sorted([(1, own(1)), (None, own(3)), (5, own(5)), (None, ""), (None, None), (None, " ")], key=str)
+
+
 def test_on_the_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert rows_of(op6_prefix_tree(spark, "/root/testdata/sf0.001")) == brute(rows)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from .test_best_fit_packing import check_packing
@@ -21,3 +23,22 @@ def test_stages_one_after_another(spark):
     check_packing(list(left.items()), packed)
     total = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {r.doc_id for r in total.collect()} == ids[3]
+
+
+def test_rows_without_identifier_pass_the_stages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    blank = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).cache()
+    text = {i: r.text for i, r in enumerate(blank.collect())}
+    verdict = {x[0]: x[-1] for x in rules([(i, x, None) for i, x in text.items()], 1000, 1.0)}
+    frame, counts = blank, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, "").cache()
+        assert frame.dtypes == docs.dtypes
+        counts.append(frame.where("doc_id IS NULL").count())
+    unnamed = {i for i, r in enumerate(blank.collect()) if r.doc_id is None}
+    assert counts[0] == sum(verdict[i] for i in unnamed)
+    good = [(i, x) for i, x in text.items() if verdict[i]]
+    groups = {c for i, _, c in jaccard(good, 5, 80) if i in unnamed}
+    mixed = {c for i, _, c in jaccard(good, 5, 80) if i not in unnamed}
+    assert counts[1] == len(groups - mixed) and counts[2] > 0 and counts[3] > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, "").where("doc_id IS NULL").count() > 0
