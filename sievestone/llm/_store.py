@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``.  Where that is unset a local one is made, in local mode only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext._conf.set("spark.checkpoint.dir", root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -22,11 +29,34 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/llm-{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind, where this version of Spark can do that."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there and lost executors cost nothing."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_end_with_the_query(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.shared_folder = path
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for made in tables:
+        spark = made.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.shared_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,57 +1,62 @@
-"""Exact Jaccard join of n-gram sets over a prefix tree.
-
-* Every shingle gets a place in one global order: rare before frequent, by counts of all shingles of
-  all documents in a table of fixed size, then by hash.
-* Two sets that link must share one of the first ``n - ceil(t * n) + 1`` shingles of either.  Only
-  these are shuffled, packed, and only those that two documents share are kept.
-* Candidates of one document stand side by side in their global order, so that they are a prefix
-  tree walked in preorder: overlap with the document is kept for the path that one candidate has in
-  common with the one before, and a subtree is left as soon as the elements that remain cannot
-  bring the overlap that is needed.
-* Candidates come in two steps.  First, in a few rounds, each shared shingle links its documents to
-  one of them.  Then only documents that are still in different components meet in full.  What the
-  first step has joined needs no further test, since only components are asked for; no pair between
+"""Exact Jaccard join of n-gram sets over prefix trees.
+
+* Every set is kept in one global order, that of its shingles' hashes, so a set is a path and sets
+  that begin alike share one.
+* For sets up to a size, the order is cut into one segment more than the number of shingles in
+  which two sets that link can differ.  Two that link therefore agree in a whole segment, and only
+  sets that agree in one meet.  Segments hold several shingles each, so unlike single shingles
+  they are hardly ever shared by chance, however large the corpus is.
+* Sets that meet in a segment first meet its least document only.  The candidates of a document
+  stand side by side in the global order, so that they are a prefix tree walked in preorder: the
+  overlap is kept for the path that one candidate has in common with the one before, and a subtree
+  is left as soon as the elements that remain cannot bring the overlap that is needed.
+* What these walks join needs no further test, since only components are asked for.  Where a segment
+  still has documents of different components, all of these meet, in blocks; no pair between
   different components is left out.
 
 Defined cases: texts without words, empty or null, have an empty set and link with nothing; fewer
 words than ``words`` are one shingle; repeated rows are one document; a null identifier has a count, links with
 nothing and is of no component (null), as in the SQL; an empty table gives no rows; further columns
-are ignored.  ``keep_first`` tells rows without identifier apart by their texts, so their near copies
-go too.
+are ignored; a text of any length is one set, held whole by one task at a time.  ``keep_first`` tells rows without
+identifier apart by their texts, so their near copies go too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
 from ._graph import connected_components
-from ._store import table, written
+from ._store import dropped, table, written
 
-#: Cells of the table of counts, and the ranges in which its sums are made.  Fixed, so the table that
-#: all tasks get is always of this many bytes.
-CELLS, RANGES = 1 << 22, 64
 #: At most so many identifiers (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Candidates of one document that are compared in one task.
-PER_TASK = 512
-#: Rounds in which every shared shingle links its documents to one of them only.
-STARS = 2
+#: Candidates of one document that are compared in one task, and documents of a segment in one block.
+PER_TASK, BLOCK = 512, 1024
+#: Postings (each a segment of a document) that a task holds before it deals them out.
+HELD = 1 << 20
+#: Ratio of the largest set sizes of neighbouring bands, at least.
+BAND = 1.5
 #: Parts of all shingles; what two sets share is at most the sum over parts of the smaller counts.
-PARTS = 32
+PARTS = 64
+#: Bytes of a shingle's hash that sets are compared by.
+KEY_BYTES = 6
 #: Stand-ins for null identifiers are hashes from here on, larger than identifiers.
 _UNNAMED = 1 << 62
-POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("known", "u1")])
+POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("hub", "<i8"), ("m", "<u4")])
+_EMPTY = np.uint64(0x2545F4914F6CDD1D)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit hash of every shingle of lower-cased words, repeated ones too."""
+    """Row and 64-bit hash of every shingle of lower-cased words, repeated ones too, by row."""
     data = t.lower(data)
     row, start, end = t.word_spans(data, offsets)
     hashes = t.span_hashes(data, start, end)
@@ -61,86 +66,137 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     short = np.flatnonzero((counts > 0) & (counts < words))
     first = np.searchsorted(row, short)
     rows = np.concatenate([row[full], short])
-    return rows, t.run_hashes(hashes, np.concatenate([full, first]), np.concatenate([full + words, first + counts[short]]))
+    keys = t.run_hashes(hashes, np.concatenate([full, first]), np.concatenate([full + words, first + counts[short]]))
+    if len(short):
+        order = np.argsort(rows, kind="stable")
+        rows, keys = rows[order], keys[order]
+    return rows, keys
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(8)).astype(np.int64) & (CELLS - 1)
+def ordered_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and keys of each row's set in the global order."""
+    rows, keys = shingles(data, offsets, words)
+    bounds = np.searchsorted(rows, np.arange(len(offsets)))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        keys[a:b].sort()
+    new = t.first_of_runs(rows, keys)
+    return np.concatenate([[0], np.cumsum(new)])[bounds], keys[new]
 
 
-def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
-    """For each cell eight times the logarithm to 2 of its count over all documents, in one byte."""
-    width = CELLS // RANGES
+@cache
+def bands(percent: int) -> tuple[tuple[int, int, int], ...]:
+    """(largest size, most differences of two linked sets of the band, segments) of each band.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, pack = np.zeros(CELLS, np.uint32), zstandard.ZstdCompressor(level=1)
-        for _, data, offsets in t.slices(batches, "text"):
-            sums += np.bincount(_cells(shingles(data, offsets, words)[1]), minlength=CELLS).astype(np.uint32)
-        packed = [pack.compress(part.tobytes()) for part in sums.reshape(RANGES, width)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int64()), pa.array(packed, pa.binary())], names=["part", "sums"])
+    There are so many segments more than differences that a set hardly ever has as many empty ones.
+    """
+    out, r = [], 1
+    while r < 1 << 40:
+        k = (100 - percent) * 2 * r // (100 + percent)
+        m = k + 1
+        while k and (short := (empty := m * exp(-r / m)) + 4 * sqrt(empty) + 2 + k - m) > 0:
+            m += 1 + int(short)
+        out.append((r, k, m))
+        r = max(r + 1, int(BAND * r), 100 * r // percent)
+    return tuple(out)
+
+
+def segments(bounds: np.ndarray, keys: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and token of the segments by which each set meets others.
+
+    A set has the segments of its band, and those of the next one if it can link with a set there.
+    Two sets that link agree in at least one segment more than their differences leave; as a set with
+    too many empty segments for one of these to hold anything also names its empty ones, two sets
+    that link have a token in common.
+    """
+    n = np.diff(bounds)
+    sizes, differ, pieces = (np.array(x, np.int64) for x in zip(*bands(percent)))
+    own = np.searchsorted(sizes, n)
+    values = np.zeros(len(keys) + 1, np.uint64)
+    np.cumsum(t.mix(keys), out=values[1:])
+    rows, tokens = [], []
+    for step in (0, 1):
+        use = (n > 0) & ((100 * n // percent > sizes[own]) if step else True)
+        row = np.flatnonzero(use)
+        if not len(row):
+            continue
+        band = own[row] + step
+        place = np.repeat(np.arange(len(row)), n[row])
+        at = np.arange(len(place)) - np.repeat(np.cumsum(n[row]) - n[row], n[row]) + bounds[:-1][row][place]
+        piece = ((keys[at] >> np.uint64(32)).astype(np.float64) * (pieces[band][place] / 2.0**32)).astype(np.int64)
+        new = np.flatnonzero(t.first_of_runs(place, piece))
+        begin, end = at[new], at[np.append(new[1:], len(at)) - 1] + 1
+        place, piece = place[new], piece[new]
+        name = t.mix((band[place].astype(np.uint64) << np.uint64(40)) + piece.astype(np.uint64))
+        rows.append(row[place])
+        tokens.append(t.mix(values[end] - values[begin] + name))
+        # sets with too many empty segments name these as well
+        empty = pieces[band] - np.bincount(place, minlength=len(row))
+        most = np.minimum(differ[band], n[row] * (100 - percent) // percent)
+        for k in np.flatnonzero(empty > pieces[band] - most - 1):
+            gone = np.setdiff1d(np.arange(pieces[band[k]]), piece[place == k])
+            rows.append(np.full(len(gone), row[k]))
+            tokens.append(t.mix(t.mix((np.uint64(band[k]) << np.uint64(40)) + gone.astype(np.uint64)) ^ _EMPTY))
+    return (np.concatenate(rows), np.concatenate(tokens)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def packed_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and keys (big-endian, in global order) of each document's set."""
 
-    def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, part, open_ = np.zeros(width, np.uint64), 0, zstandard.ZstdDecompressor()
-        for batch in group:
-            for part, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums += np.frombuffer(open_.decompress(x.as_py()), np.uint32)
-        level = np.minimum(255, 8 * np.log2(sums + 1.0)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([level.tobytes()], pa.binary())], names=["part", "level"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in t.slices(batches, "text"):
+            bounds, keys = ordered_sets(data, offsets, words)
+            at = pa.array((KEY_BYTES * bounds).astype(np.int32)).buffers()[1]
+            high = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+            packed = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, at, pa.py_buffer(high.tobytes())])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), packed], names=["doc_id", "keys"])
 
-    summed = docs.select("text").mapInArrow(count, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, level binary")
-    return np.frombuffer(b"".join(r.level for r in sorted(summed.collect())), np.uint8)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys binary")
 
 
-def ordered_sets(data: np.ndarray, offsets: np.ndarray, words: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and keys of each row's set in the global order: level in the top byte, then hash."""
-    row, hashes = shingles(data, offsets, words)
-    keys = (levels[_cells(hashes)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
-    order = np.lexsort((keys, row))
-    row, keys = row[order], keys[order]
-    new = t.first_of_runs(row, keys)
-    row, keys = row[new], keys[new]
-    return np.searchsorted(row, np.arange(len(offsets))), keys
+def _unpacked_set(keys: bytes) -> np.ndarray:
+    """Keys of a packed set; two that are equal in the bytes kept count once."""
+    wide = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+    wide[:, 8 - KEY_BYTES :] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    out = wide.reshape(-1).view(">u8").astype(np.uint64)
+    return out[t.first_of_runs(out)]
 
 
-def set_keys(docs: DataFrame, words: int, levels) -> DataFrame:
-    """doc_id and keys (big-endian 64-bit, in global order) of each document's set."""
+def set_sizes(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n and a 128-bit print of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in t.slices(batches, "text"):
-            bounds, keys = ordered_sets(data, offsets, words, levels.value)
-            at = pa.array((8 * bounds).astype(np.int32)).buffers()[1]
-            packed = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, at, pa.py_buffer(keys.astype(">u8").tobytes())])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), packed], names=["doc_id", "keys"])
+            bounds, keys = ordered_sets(data, offsets, words)
+            columns = [pa.array(x) for x in (np.diff(bounds), *_prints(bounds, keys))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], names=["doc_id", "n", "print_1", "print_2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_1 long, print_2 long")
 
 
-def set_sizes(docs: DataFrame, words: int, levels) -> DataFrame:
-    """doc_id, n, a 128-bit print of each document's set, and how many elements fall into each of ``PARTS``."""
+def set_parts(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and how many elements of the set fall into each of ``PARTS``, as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in t.slices(batches, "text"):
-            bounds, keys = ordered_sets(data, offsets, words, levels.value)
-            one, two = _prints(bounds, keys)
-            n, size = np.diff(bounds), rows.num_rows
-            part = np.repeat(np.arange(size) * PARTS, n) + (keys % np.uint64(PARTS)).astype(np.int64)
-            parts = pa.array(np.bincount(part, minlength=size * PARTS).astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * PARTS), parts)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(x) for x in (n, one, two)), lists], names=["doc_id", "n", "print_1", "print_2", "parts"])
+            bounds, keys = ordered_sets(data, offsets, words)
+            part = np.repeat(np.arange(rows.num_rows) * PARTS, np.diff(bounds)) + (keys % np.uint64(PARTS)).astype(np.int64)
+            counts = np.bincount(part, minlength=rows.num_rows * PARTS).astype("<u4").reshape(-1, PARTS)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["doc_id", "parts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_1 long, print_2 long, parts array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, parts binary")
 
 
 def _prints(bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(t.run_hashes(x, bounds[:-1], bounds[1:]).view(np.int64) for x in (keys, keys + np.uint64(1)))
 
 
-def _postings(docs: DataFrame, words: int, percent: int, levels, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
     """Per task, packed postings by bucket.
 
-    Of one task's documents with equal sets only the first gives postings.  Where a task has a
-    token more than once, one posting goes to the token's bucket and the others, known to be
-    shared, to buckets of their own, so no bucket gets more than one posting of a token per task.
+    Of one task's documents with equal sets only the first gives postings.  Where a task has a token
+    more than once, the posting of the least document goes to the token's bucket and the others,
+    already tied to that document, to buckets of their own, so no bucket gets more of a token than
+    one posting each time a task deals out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,21 +205,20 @@ def _postings(docs: DataFrame, words: int, percent: int, levels, buckets: int) -
         held: list[np.ndarray] = []
         size = 0
         for rows, data, offsets in t.slices(batches, "text"):
-            bounds, keys = ordered_sets(data, offsets, words, levels.value)
-            n, ids = np.diff(bounds), np.asarray(rows.column("doc_id"))
+            bounds, keys = ordered_sets(data, offsets, words)
+            ids, n = np.asarray(rows.column("doc_id")), np.diff(bounds)
             first = np.zeros(len(n), bool)
             for k, both in enumerate(zip(*(x.tolist() for x in _prints(bounds, keys)))):
                 if n[k] and both not in prints:
                     prints.add(both)
                     first[k] = True
-            length = np.where(first, n - (percent * n + 99) // 100 + 1, 0)
-            doc = np.repeat(np.arange(len(n)), length)
-            pos = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
-            made = np.empty(len(doc), POSTING)
-            made["token"], made["doc"], made["n"], made["pos"] = keys[bounds[doc] + pos], ids[doc], n[doc], pos
+            row, tokens = segments(bounds, keys, percent)
+            pick = first[row]
+            made = np.zeros(int(pick.sum()), POSTING)
+            made["token"], made["doc"], made["n"] = tokens[pick], ids[row[pick]], n[row[pick]]
             held.append(made)
-            size += made.nbytes
-            if size > 1 << 24:
+            size += len(made)
+            if size > HELD:
                 yield from _dealt(held, buckets, pack)
                 held, size = [], 0
         yield from _dealt(held, buckets, pack)
@@ -171,17 +226,22 @@ def _postings(docs: DataFrame, words: int, percent: int, levels, buckets: int) -
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, packed binary")
 
 
+def _tied(rows: np.ndarray) -> np.ndarray:
+    """The postings by token and document, each with the least document of its token as ``hub``."""
+    rows = rows[np.lexsort((rows["doc"], rows["token"]))]
+    new = np.flatnonzero(t.first_of_runs(rows["token"]))
+    times = np.diff(np.append(new, len(rows)))
+    rows["hub"], rows["m"] = np.repeat(rows["doc"][new], times), np.repeat(rows["n"][new], times)
+    return rows
+
+
 def _dealt(held: list[np.ndarray], buckets: int, pack: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
     if not held:
         return
-    rows = np.concatenate(held)
-    rows = rows[np.argsort(rows["token"], kind="stable")]
-    new = t.first_of_runs(rows["token"])
-    alone = new & np.append(new[1:], True)
-    rows["known"] = ~alone
-    mixed = t.mix(rows["token"] + np.where(new, 0, rows["doc"]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    bucket = (mixed % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    rows = _tied(np.concatenate(held))
+    spread = rows["token"] + np.where(rows["doc"] == rows["hub"], 0, rows["doc"]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = (t.mix(spread) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((rows["doc"], bucket))  # one document's postings side by side pack best
     rows, bucket = rows[order], bucket[order]
     ends = np.searchsorted(bucket, np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(ends))
@@ -200,65 +260,48 @@ def _unpacked(data: bytes) -> np.ndarray:
     return rows
 
 
-def _shared(packed: DataFrame) -> DataFrame:
-    """Postings of tokens that two documents share: token, doc, n, pos."""
+def _ties(packed: DataFrame, percent: int) -> DataFrame:
+    """token, a and b (a before b), and whether their sizes allow for a link, for all tokens that two documents share.
+
+    The ties of a token are a tree that holds all its documents.
+    """
 
-    def keep(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         rows = np.concatenate([_unpacked(open_.decompress(x.as_py())) for batch in group for x in batch.column("packed")])
-        rows = rows[np.argsort(rows["token"], kind="stable")]
-        new = t.first_of_runs(rows["token"])
-        rows = rows[~(new & np.append(new[1:], True)) | (rows["known"] > 0)]
+        least = rows["doc"] == rows["hub"]
+        met = _tied(rows[least])
+        rows = np.concatenate([rows[~least], met[met["doc"] != met["hub"]]])
+        n, m = rows["n"].astype(np.int64), rows["m"].astype(np.int64)
+        fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
         for k in range(0, len(rows), 100_000):
             part = rows[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part["token"].view(np.int64)), *(pa.array(part[c].astype(np.int64)) for c in ("doc", "n", "pos"))], names=["token", "doc", "n", "pos"])
-
-    return packed.groupBy("bucket").applyInArrow(keep, "token long, doc long, n long, pos long")
-
-
-def _possible(na: Column, at_a: Column, nb: Column, at_b: Column, percent: int) -> Column:
-    """Whether sets of these sizes can link if what they share begins at these places.
-
-    The first shared element of two sets that link always passes, so testing it for every one they
-    share loses none.
-    """
-    need = F.ceil((na + nb) * percent / (100 + percent))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - at_a, nb - at_b) >= need)
-
-
-def _enough(both: Column, percent: int) -> Column:
-    """Whether the parts of two sets allow for the overlap that is needed."""
-    most = F.aggregate(F.zip_with("parts", "parts_b", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    return most >= F.ceil(both * percent / (100 + percent))
+            yield pa.RecordBatch.from_arrays([pa.array(part["token"].view(np.int64)), pa.array(part["hub"].copy()), pa.array(part["doc"].copy()), pa.array(fits[k : k + 100_000])], names=["token", "a", "b", "fits"])
 
+    return packed.groupBy("bucket").applyInArrow(run, "token long, a long, b long, fits boolean")
 
-def _candidates(percent: int) -> Column:
-    """Whether two rows of postings (the second with _b) are of different components and may link."""
-    n, pos, n_b, pos_b = (F.col(c) for c in ("n", "pos", "n_b", "pos_b"))
-    return (F.col("component") != F.col("component_b")) & _possible(n, pos, n_b, pos_b, percent) & _enough(n + n_b, percent)
 
-
-def _pairs(both: DataFrame, percent: int) -> DataFrame:
-    found = both.where(_candidates(percent)).select(F.col("doc_b").alias("a"), F.col("doc").alias("b")).distinct()
-    return written(found, "pairs")
+def _in_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids`` (a table with one column i, distinct)."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col("doc_id") == F.col("i"), "left_semi")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
-    """The linked of pairs (a, b), a table, of documents (doc_id, text)."""
-    ids = written(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = written(set_keys(docs.join(ids, F.col("doc_id") == F.col("i"), "left_semi"), words, levels), "sets")
-    counts = pairs.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("many"))
-    salted = pairs.join(counts, F.col("a") == F.col("c")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / PER_TASK).cast("long")).alias("salt"))
-    heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "keys")
-    tails = salted.join(sets, F.col("b") == F.col("doc_id")).select("a", "salt", F.lit(1).alias("kind"), "b", "keys")
+def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The linked of pairs (a, b), a table, of documents (doc_id, text): a table."""
+    many = pairs.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("many"))
+    salted = pairs.join(many, F.col("a") == F.col("c")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / PER_TASK).cast("long")).alias("salt"))
+    heads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"))
+    asked = written(heads.unionByName(salted.select("a", "salt", F.lit(1).alias("kind"), "b")), "asked")
+    ids = written(asked.select(F.col("b").alias("i")).distinct(), "ids")
+    sets = packed_sets(_in_ids(docs, ids), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, walk = None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
             for a, kind, b, keys in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                keys = np.frombuffer(keys, ">u8").astype(np.uint64)
+                keys = _unpacked_set(keys)
                 if kind == 0:
                     own, walk = a, PreorderWalk(keys, percent)
                 elif walk is not None and own == a and walk.links(keys):
@@ -266,8 +309,10 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, levels)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
-    rows = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "keys")
-    return rows.select("a", "kind", "b", "keys").mapInArrow(run, "a long, b long")
+    rows = sets.join(asked, F.col("doc_id") == F.col("b")).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "keys")
+    linked = written(rows.select("a", "kind", "b", "keys").mapInArrow(run, "a long, b long"), "linked")
+    dropped(asked, ids)
+    return linked
 
 
 class PreorderWalk:
@@ -303,38 +348,112 @@ class PreorderWalk:
         return depth == len(other) and have >= need
 
 
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that share a token and may link.
+
+    members: token, block, other, doc, component, n, parts; those of one (token, block, other) meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in batches:
+            table_ = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks()
+            batch = table_.to_batches()[0]
+            keys = [np.asarray(batch.column(k)) for k in ("token", "block", "other")]
+            starts = np.flatnonzero(t.first_of_runs(*keys))
+            for a, b in zip(starts, starts[1:]):
+                yield from pairs(batch.slice(a, b - a))
+            rest = batch.slice(starts[-1])
+        if rest is not None:
+            yield from pairs(rest)
+
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        doc, component, n, home = (np.asarray(rows.column(k)) for k in ("doc", "component", "n", "home"))
+        block, other = rows.column("block")[0].as_py(), rows.column("other")[0].as_py()
+        parts = np.frombuffer(b"".join(rows.column("parts").to_pylist()), "<u4").reshape(len(doc), PARTS).astype(np.int64)
+        for k in range(len(doc)):
+            may = (doc > doc[k]) & (component != component[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            if block != other:
+                may &= home != home[k]
+            at = np.flatnonzero(may)
+            need = -(-percent * (n[at] + n[k]) // (100 + percent))
+            at = at[np.minimum(parts[at], parts[k]).sum(1) >= need]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc[k])), pa.array(doc[at])], names=["a", "b"])
+
+    dealt = members.repartition("token", "block", "other").sortWithinPartitions("token", "block", "other")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _of_documents(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs (a, b and further columns) of which a and b are of different components."""
+    one, two = (components.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"of_{x}")) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
+    return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*pairs.columns)
+
+
+def _settled(links: list[DataFrame], before: DataFrame | None = None) -> DataFrame:
+    """Components by all links so far."""
+    both = links[0]
+    for x in links[1:]:
+        both = both.union(x)
+    after = connected_components(both)
+    if before is not None:
+        dropped(before)
+    return after
+
+
+def _components(docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of documents that have links: a table."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = sizes.where("n > 0 AND doc_id IS NOT NULL")
+    first = full.groupBy("print_1", "print_2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
+    first = written(first.drop("last"), "first")
+    same = full.join(first, ["print_1", "print_2"]).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    same = written(same.distinct(), "same")
+    ties = written(_ties(_postings(docs, words, percent, buckets), percent), "ties")
+    # copies of one set stand for one document from here on
+    stand = same.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    pairs = written(_of_documents(ties.groupBy("a", "b").agg(F.count("*").alias("tokens"), F.first("fits").alias("fits")), stand), "pairs")
+    # each document meets the one with which it shares most tokens, then all others to which it is tied
+    best = pairs.where("fits").groupBy("b").agg(F.max_by("a", F.struct("tokens", -F.col("a"))).alias("a")).select("a", "b")
+    best = written(best, "best")
+    links = [same, verify(best, docs, words, percent)]
+    components = _settled(links)
+    others = written(_of_documents(pairs.where("fits").select("a", "b").join(best, ["a", "b"], "left_anti"), components), "others")
+    if others.limit(1).count():
+        links.append(verify(others, docs, words, percent))
+        components = _settled(links, components)
+    # then those of different components that still share a token
+    apart = written(_of_documents(pairs.select("a", "b"), components), "apart")
+    if apart.limit(1).count():
+        open_ = ties.join(apart, ["a", "b"], "left_semi").select(F.col("token").alias("k")).distinct()
+        members = ties.join(open_, F.col("token") == F.col("k"), "left_semi").select("token", F.explode(F.array("a", "b")).alias("doc")).distinct()
+        members = written(members, "members")
+        ids = written(members.select(F.col("doc").alias("i")).distinct(), "ids")
+        parts = set_parts(_in_ids(docs, ids), words).withColumnRenamed("doc_id", "i").dropDuplicates(["i"])
+        known = sizes.select(F.col("doc_id").alias("j"), "n").dropDuplicates(["j"])
+        own = components.select(F.col("node").alias("c"), "component")
+        about = ids.join(parts, "i").join(known, F.col("i") == F.col("j")).join(own, F.col("i") == F.col("c"), "left").select("i", "parts", "n", F.coalesce("component", "i").alias("component"))
+        many = members.groupBy(F.col("token").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        placed = members.join(many, F.col("token") == F.col("k")).withColumn("home", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+        placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        placed = placed.select("token", F.least("home", "j").alias("block"), F.greatest("home", "j").alias("other"), "home", "doc")
+        met = _met(placed.join(about, F.col("doc") == F.col("i")).drop("i"), percent)
+        met = written(met.join(pairs.where("fits").select("a", "b"), ["a", "b"], "left_anti"), "met")
+        if met.limit(1).count():
+            links.append(verify(met, docs, words, percent))
+            components = _settled(links, components)
+        dropped(members, ids, met)
+    dropped(*links, first, ties, pairs, best, others, apart)
+    return components
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every row."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    levels = spark.sparkContext.broadcast(frequency_levels(docs, words))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = written(set_sizes(docs, words, levels), "sizes")
-    docs = docs.where("doc_id IS NOT NULL")  # others link with nothing
-    shared = written(_shared(_postings(docs, words, percent, levels, buckets)), "shared")
-    full = sizes.where("n > 0 AND doc_id IS NOT NULL")
-    same = full.groupBy("print_1", "print_2").agg(F.min("doc_id").alias("first"))
-    same = full.join(same, ["print_1", "print_2"]).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    same = written(same, "same")
-    parts = written(sizes.select(F.col("doc_id").alias("i"), "parts").dropDuplicates(["i"]).join(shared.select(F.col("doc").alias("j")).distinct(), F.col("i") == F.col("j"), "left_semi"), "parts")
-    links, components, still = same, None, shared.withColumn("component", F.col("doc")).join(parts, F.col("doc") == F.col("i")).drop("i")
-    for k in range(STARS):
-        # each shared token links its documents to one of them, other ones in each round
-        chosen = still.groupBy(F.col("token").alias("k")).agg(F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), *still.columns[1:])).alias("p"))
-        star = still.join(chosen.select("k", *(F.col(f"p.{c}").alias(f"{c}_b") for c in still.columns[1:])), F.col("token") == F.col("k"))
-        links = written(verify(_pairs(star, percent), docs, words, percent, levels), "linked").union(links)
-        components = connected_components(links)
-        placed = shared.join(components, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
-        placed = written(placed, "placed")
-        open_ = placed.groupBy(F.col("token").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("k")
-        still = placed.join(open_, F.col("token") == F.col("k"), "left_semi").join(parts, F.col("doc") == F.col("i")).drop("i")
-        still = written(still, "still")
-    # then documents of different components that still share a token meet
-    other = still.select(*(F.col(c).alias(f"{c}_b") for c in still.columns))
-    meet = still.join(other, (F.col("token") == F.col("token_b")) & (F.col("doc") < F.col("doc_b")) & _candidates(percent))
-    more = written(verify(_pairs(meet, percent), docs, words, percent, levels), "linked")
-    if more.limit(1).count():
-        components = connected_components(links.union(more))
+    sizes = written(set_sizes(docs, words), "sizes")
+    components = _components(docs.where("doc_id IS NOT NULL"), sizes, words, percent)  # others link with nothing
     joined = sizes.join(components, F.col("doc_id") == F.col("node"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
