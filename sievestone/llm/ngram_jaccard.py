@@ -87,14 +87,20 @@ def ordered_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
 def bands(percent: int) -> tuple[tuple[int, int, int], ...]:
     """(largest size, most differences of two linked sets of the band, segments) of each band.
 
-    There are so many segments more than differences that a set hardly ever has as many empty ones.
+    There are so many segments more than differences that a set hardly ever has as many empty ones;
+    in bands too small for that, as many as bring it nearest.
     """
+
+    def short(m: int) -> float:
+        empty = m * exp(-r / m)
+        return empty + 4 * sqrt(empty) + 2 + k - m
+
     out, r = [], 1
     while r < 1 << 40:
         k = (100 - percent) * 2 * r // (100 + percent)
         m = k + 1
-        while k and (short := (empty := m * exp(-r / m)) + 4 * sqrt(empty) + 2 + k - m) > 0:
-            m += 1 + int(short)
+        while k and (lacks := short(m)) > 0 and short(more := m + 1 + int(lacks)) < lacks:
+            m = more
         out.append((r, k, m))
         r = max(r + 1, int(BAND * r), 100 * r // percent)
     return tuple(out)
