@@ -32,7 +32,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         points = after
         if not points.where("to != was OR far != to").limit(1).count():
             dropped(both)
-            return points.select("node", F.col("to").alias("component"))
+            found = points.select("node", F.col("to").alias("component"))
+            found.shared_folder = points.shared_folder
+            return found
 
 
 def _followed(points: DataFrame) -> DataFrame:
