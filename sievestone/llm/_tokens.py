@@ -4,6 +4,8 @@ A text is cut only before single spaces and single newlines that stand between t
 that are not white space.  The byte-level pattern never joins characters across such a place and
 looks no further than the next one, so the pieces' ids in order are the whole text's ids
 (``tests/llm/test_tokens.py`` compares them).  Everything else goes to the tokenizer in one piece.
+The vocabulary's control strings get their own ids where a text holds them, as the tokenizer does by
+default; they hold no white space, so no cut falls inside one, and where one could, texts are not cut.
 """
 
 from __future__ import annotations
@@ -34,16 +36,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Whether an added token may reach over white space, so that texts are never cut.
+        self.uncut = any(x.lstrip or x.rstrip or any(c.isspace() for c in x.content) for x in added)
         self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
-        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.last_id = max(vocabulary.values())
+        self.id_bytes = np.zeros(self.last_id + 1, np.int64)
         for token, k in vocabulary.items():
             self.id_bytes[k] = len(token)  # byte-level tokens have one character for each byte
 
     def _fill(self, pieces: Iterable[str]) -> None:
         missing = [p for p in pieces if p not in self.cache]
-        joins = [len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace() for p in missing]
+        joins = [not self.uncut and len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace() for p in missing]
         alone = [p for p, j in zip(missing, joins) if not j]
         for k in range(0, len(alone), 1024):
             part = alone[k : k + 1024]
@@ -67,7 +72,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, distinct = [], set()
         for text in texts:
-            pieces = _CUT.split(text) if self._odd(text) else self._words(text)
+            pieces = [text] if self.uncut else _CUT.split(text) if self._odd(text) else self._words(text)
             cut.append(pieces)
             distinct.update(pieces)
         distinct.discard("")

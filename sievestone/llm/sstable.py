@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 from ._store import new_folder, table, written
-from ._tokens import default_path, encoded
+from ._tokens import default_path, encoded, encoder
 
 MAGIC = b"SSTTOK01"
 _FOOTER = struct.Struct("<QIQIQQB7x8s")
@@ -182,7 +182,7 @@ def write_sstables(docs: DataFrame, folder: str, tokenizer: str | None = None, e
         for rows, ids in encoded(batches, path, end_id):
             if writer is None:
                 sink = store.open_output_stream(f"{place}/{name}")
-                writer = ShardWriter(sink, width=2)
+                writer = ShardWriter(sink, width=2 if max(encoder(path).last_id, end_id or 0) < 1 << 16 else 4)
             for doc_id, value in zip(rows.column("doc_id").to_pylist(), ids):
                 writer.add(doc_id, value)
         if writer is not None:

@@ -41,6 +41,17 @@ def test_nulls_long_texts_and_clashing_columns(spark):
     assert set(found) == {i for i, _ in rows}
 
 
+def test_vocabulary_beyond_two_bytes(spark, tmp_path):
+    wide = Tokenizer.from_file(default_path())
+    wide.add_tokens([f"<|x{k}|>" for k in range(20_000)])
+    wide.save(str(tmp_path / "wide.json"))
+    df = spark.createDataFrame([(1, "a <|x19999|> b <|endoftext|>", "", "")], SCHEMA)
+    manifest = write_sstables(df, new_folder(spark, "t"), tokenizer=str(tmp_path / "wide.json"))
+    with open_shard(manifest.first().uri) as source:
+        ids = np.frombuffer(Shard(source).lookup(1), "<u4").tolist()
+    assert ids == [*wide.encode("a <|x19999|> b <|endoftext|>", add_special_tokens=False).ids, 0] and max(ids) > 65_535
+
+
 def test_empty_and_repeated(spark):
     assert read_sstables(write_sstables(spark.createDataFrame([], SCHEMA), new_folder(spark, "t"))).count() == 0
     df = spark.createDataFrame([(1, "a", "", ""), (1, "a", "", ""), (None, "b", "", "")], SCHEMA)
