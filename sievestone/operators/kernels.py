@@ -128,11 +128,12 @@ def normalize_background(image: np.ndarray, size: int) -> np.ndarray:
 def cleanup(binary: np.ndarray) -> np.ndarray:
     scale = max(1.0, (binary.size / (1920 * 1080)) ** 0.5)
     odd = lambda n: int(n * scale) | 1
-    return closed(opened(binary, ellipse(odd(3))), ellipse(odd(5)), 2)
+    return closed(opened(binary, ellipse(odd(3))), ellipse(odd(12)), 2)
 
 
 def adaptive_threshold(image: np.ndarray, block: int, c: int) -> np.ndarray:
     block = max(3, block | 1)
+    image = clahe(image, 2.0, 8)
     out = np.where(image > smooth(image, block) - c, 255, 0)
     return 255 - out if (out > 0).mean() > 0.5 else out
 
@@ -208,7 +209,7 @@ def watershed(on: np.ndarray, peak_share: float) -> np.ndarray:
     depth = distance(on)
     if not on.any():
         return np.zeros(on.shape, np.int64)
-    gap = max(1, int(10 * (on.size / (1920 * 1080)) ** 0.5), 3)
+    gap = max(10, int(10 * (on.size / (1920 * 1080)) ** 0.5))
     peak = on & (depth == _windows(depth, 2 * gap + 1).max((2, 3))) & (depth >= peak_share * depth.max())
     labels = components(np.where(peak, 255, 0))
     heap = [(-depth[y, x], y, x) for y, x in zip(*np.nonzero(labels))]

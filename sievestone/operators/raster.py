@@ -150,13 +150,21 @@ def contours(labels: DataFrame) -> DataFrame:
     return labels.select("run_id", "y", "x", "label").groupBy("run_id").applyInPandas(run, f"run_id {kind}, label long, seq long, x long, y long")
 
 
-def segment(pixels: DataFrame, separate: bool = True) -> DataFrame:
-    """Threshold, clean up, label and filter by area: a label table (the classical strategy)."""
+def threshold(pixels: DataFrame, method: str = "adaptive") -> DataFrame:
+    """Objects as 255: a fixed level on black backgrounds, else ``adaptive`` or ``otsu``, which inverts all but bright objects on dark."""
     flagged = pixels.join(border(pixels).select("run_id", "polarity", "black_background"), "run_id")
     black = fixed_threshold(flagged.where("black_background").select("run_id", "y", "x", "v"))
-    bright = otsu(flagged.where("NOT black_background AND polarity != 'dark_on_bright'").select("run_id", "y", "x", "v"))
-    dark = otsu(flagged.where("NOT black_background AND polarity = 'dark_on_bright'").select("run_id", "y", "x", "v"), dark_on_bright=True)
-    binary = fill_holes(cleanup(black.unionByName(bright).unionByName(dark)))
+    other = flagged.where("NOT black_background")
+    if method == "adaptive":
+        return black.unionByName(adaptive_threshold(other.select("run_id", "y", "x", "v")))
+    bright = otsu(other.where("polarity = 'bright_on_dark'").select("run_id", "y", "x", "v"))
+    dark = otsu(other.where("polarity != 'bright_on_dark'").select("run_id", "y", "x", "v"), dark_on_bright=True)
+    return black.unionByName(bright).unionByName(dark)
+
+
+def segment(pixels: DataFrame, separate: bool = True, method: str = "adaptive") -> DataFrame:
+    """Threshold, clean up, label and filter by area: a label table (the classical strategy)."""
+    binary = fill_holes(cleanup(threshold(pixels, method)))
     labels = watershed(binary) if separate else components(binary)
     size = pixels.groupBy("run_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     low, high = area_limits(F.col("h"), F.col("w"))
@@ -192,7 +200,7 @@ def stitch_weighted(tiles: DataFrame, weight: Column) -> DataFrame:
 
 
 def test_time_views(pixels: DataFrame, size: DataFrame) -> DataFrame:
-    """Nine turned and mirrored views of each image: run_id, view, y, x, v; ``undo_view`` turns them back."""
+    """Nine turned and mirrored views of each image: run_id, view, y, x, v."""
     y, x, h, w = (F.col(c) for c in ("y", "x", "h", "w"))
     places = [(y, x), (x, h - 1 - y), (h - 1 - y, w - 1 - x), (w - 1 - x, y), (y, w - 1 - x), (h - 1 - y, x), (x, y), (w - 1 - x, h - 1 - y), (y, x)]
     views = F.explode(F.array(*(F.struct(F.lit(k).alias("view"), a.cast("int").alias("y"), b.cast("int").alias("x")) for k, (a, b) in enumerate(places))))

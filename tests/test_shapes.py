@@ -97,6 +97,25 @@ def test_kernels():
     assert kernels.hull_fill(hole).sum() >= a.sum()
 
 
+def test_cleanup_bridges_gaps_and_seeds_keep_apart():
+    a = np.zeros((80, 120), int)
+    a[20:60, 20:55] = a[20:60, 62:100] = 255  # seven pixels of translucent gap
+    assert kernels.components(a).max() == 2 and kernels.components(kernels.cleanup(a)).max() == 1
+    bar = np.zeros((40, 80), bool)
+    bar[15:25, 10:18] = bar[15:25, 22:30] = bar[18:22, 18:22] = True
+    assert kernels.watershed(bar, 0.2).max() == 2
+    assert kernels.adaptive_threshold(np.full((5, 3), 9), 45, 2).shape == (5, 3)
+
+
+def test_objects_of_unclear_polarity_are_inverted(spark):
+    a = np.full((80, 80), 130)
+    a[30:50, 30:50] = 60
+    df = image(spark, a)
+    assert raster.border(df).first().polarity == "auto"
+    made = array(raster.threshold(df, "otsu")) > 0
+    assert np.array_equal(made, a == 60)
+
+
 def test_tiles_cover_and_stitch(spark):
     a = np.random.default_rng(2).integers(0, 255, (50, 70))
     df = image(spark, a)
