@@ -26,7 +26,9 @@ CRITERIA = (
     ("abnormal_pct", "abnormal_pct", "max_abnormal_pct", "<=", 100.0),
     ("cv_length", "cv_length", "max_cv_length", "<=", 100.0),
 )
+#: Texts of runs that pass no grade and of runs without objects.
 NOT_MET = "Sample does not meet minimum quality criteria."
+NO_OBJECTS = "None (No grains detected)"
 
 
 def rules(spark: SparkSession, overrides: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
@@ -71,3 +73,11 @@ def grade(quality: DataFrame, rule_rows: DataFrame) -> DataFrame:
         F.when(F.col("best").isNull(), NOT_MET).otherwise(text).alias("explanation"),
         F.coalesce("best.checks", F.array().cast("array<struct<criterion:string,value:double,threshold:double,operator:string,passed:boolean>>")).alias("criteria_results"), "all_evaluations",
     )
+
+
+def with_empty_runs(runs: DataFrame, graded: DataFrame) -> DataFrame:
+    """All runs; one without objects is rejected by name, without criteria."""
+    empty = F.array().cast(graded.schema["criteria_results"].dataType)
+    return runs.select("run_id").join(graded, "run_id", "left").withColumns(
+        {"grade": F.coalesce("grade", F.lit(NO_OBJECTS)), "grade_key": F.coalesce("grade_key", F.lit("reject")), "criteria_results": F.coalesce("criteria_results", empty)}
+    )

@@ -207,6 +207,62 @@ def test_time_views(pixels: DataFrame, size: DataFrame) -> DataFrame:
     return pixels.join(size, "run_id").select("run_id", "v", views.alias("p")).select("run_id", "p.view", "p.y", "p.x", "v")
 
 
+def undo_views(views: DataFrame, size: DataFrame) -> DataFrame:
+    """Pixels of the nine views back at their places in the image: run_id, view, y, x, v."""
+    y, x, h, w = (F.col(c) for c in ("y", "x", "h", "w"))
+    back = [(y, x), (h - 1 - x, y), (h - 1 - y, w - 1 - x), (x, w - 1 - y), (y, w - 1 - x), (h - 1 - y, x), (x, y), (h - 1 - x, w - 1 - y), (y, x)]
+    place = F.element_at(F.array(*(F.struct(a.cast("int").alias("y"), b.cast("int").alias("x")) for a, b in back)), F.col("view") + 1)
+    return views.join(size, "run_id").select("run_id", "view", "v", place.alias("p")).select("run_id", "view", "p.y", "p.x", "v")
+
+
+def tile_weight(tile: int = 512) -> Column:
+    """Weight of a pixel by its distance to the middle of its tile: 1 there, a Gaussian of a sixth of the tile."""
+    dy, dx = F.col("y") - F.col("ty") - tile // 2, F.col("x") - F.col("tx") - tile // 2
+    return F.exp(-(dy * dy + dx * dx) / (2 * (tile / 6) ** 2))
+
+
+def label_colours(labels: DataFrame) -> DataFrame:
+    """A hue for each label, evenly spaced over the half-degrees 0 to 179, as red, green and blue: run_id, label, hue, r, g, b."""
+    seen = labels.where("label > 0").select("run_id", "label").distinct()
+    counts = seen.groupBy("run_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("label")) - 1
+    hue = F.floor(F.when((rank > 0) & (rank == F.col("n") - 1), 179.0).when(F.col("n") > 1, rank * (179.0 / (F.col("n") - 1))).otherwise(0.0))
+    sixth = lambda shift: (F.col("hue") / 30.0 + shift) % 6
+    channel = lambda shift: F.round(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs(sixth(shift) - 3) - 1))).cast("int")
+    return seen.join(counts, "run_id").select("run_id", "label", hue.alias("hue")).withColumns({"r": channel(0), "g": channel(4), "b": channel(2)})
+
+
+def distances(binary: DataFrame) -> DataFrame:
+    """Distance of each object pixel to the nearest pixel outside, and its view scaled to 0 to 255: run_id, y, x, d, view."""
+    kind = dict(binary.dtypes)["run_id"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((int(group["y"].max()) + 1, int(group["x"].max()) + 1), bool)
+        image[group["y"], group["x"]] = group["v"] > 0
+        d = kernels.distance(image)
+        y, x = np.nonzero(np.ones_like(image))
+        view = np.floor(d / d.max() * 255) if d.max() > 0 else np.zeros_like(d)
+        return pd.DataFrame({"run_id": group["run_id"].iloc[0], "y": y, "x": x, "d": d.ravel(), "view": view.ravel().astype(np.int64)})
+
+    return binary.select("run_id", "y", "x", "v").groupBy("run_id").applyInPandas(run, f"run_id {kind}, y long, x long, d double, view long")
+
+
+def first_with_objects(strategies: dict[str, DataFrame | None]) -> DataFrame:
+    """Label tables of several strategies: of each run those of the first that found an object, with its name.
+
+    A strategy that is not there is None; runs in which none finds an object keep the last one's pixels.
+    """
+    there = [(name, df.select("run_id", "y", "x", "label")) for name, df in strategies.items() if df is not None]
+    rows = None
+    for k, (name, df) in enumerate(there):
+        part = df.withColumns({"method": F.lit(name), "_k": F.lit(k)})
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        raise ValueError("no strategy is available")
+    best = rows.groupBy("run_id").agg(F.coalesce(F.min(F.when(F.col("label") > 0, F.col("_k"))), F.max("_k")).alias("_best"))
+    return rows.join(best, "run_id").where("_k = _best").drop("_k", "_best")
+
+
 def k_means_foreground(pixels: DataFrame, columns: tuple[str, ...] = ("c0", "c1", "c2"), seed: int = 1) -> DataFrame:
     """Two colour clusters of one image table; the one rarer at the edges is foreground (255).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,18 @@ CARRIED = ("aspect_ratio", "circularity", "solidity", "eccentricity", "orientati
 #: Colours of the grades and categories as red, green, blue in hex.
 GRADE_COLOURS = {"Premium": "#2E7D32", "Grade A": "#66BB6A", "Grade B": "#FFA726", "Grade C": "#FF7043", "Reject": "#EF5350"}
 
+#: Colours of categories in annotated images as red, green, blue in hex.
+CATEGORY_COLOURS = {
+    "whole_grain": "#00FF00",
+    "broken_grain": "#FF0000",
+    "long_grain": "#0000FF",
+    "medium_grain": "#FFA500",
+    "short_grain": "#00FFFF",
+    "oversized_grain": "#FF00FF",
+    "undersized_grain": "#800080",
+    "abnormal_grain": "#800000",
+}
+
 
 def grains(classified: DataFrame) -> DataFrame:
     """One row per object in the run's unit (columns keep their names in mm), with flags."""
@@ -72,6 +86,35 @@ def quality_table(quality: DataFrame, graded: DataFrame) -> DataFrame:
     return quality.join(graded.select("run_id", "grade"), "run_id", "left").select("run_id", F.explode(made).alias("r")).select("run_id", "r.*")
 
 
+def annotations(classified: DataFrame) -> DataFrame:
+    """What is drawn on each object: its colour, its size as text, and where its label and size stand."""
+    shown = lambda a, b, places, unit: F.concat(fixed(a, places), F.lit("x"), fixed(b, places), F.lit(unit))
+    size = F.when(F.col("length_mm").isNotNull(), shown(F.col("length_mm"), F.col("width_mm"), 1, "mm")).otherwise(shown(F.col("length_px"), F.col("width_px"), 0, "px"))
+    found = F.lit(CATEGORY_COLOURS["whole_grain"])
+    for k, v in CATEGORY_COLOURS.items():
+        found = F.when(F.col("primary_category") == k, v).otherwise(found)
+    places = [c for x, c in (("centroid_x", F.col("centroid_x").cast("long").alias("x")), ("centroid_y", F.col("centroid_y").cast("long").alias("y"))) if x in classified.columns]
+    return classified.select("run_id", "label", found.alias("colour"), size.alias("size_text"), *places)
+
+
+def as_text(rows: DataFrame, *columns: str, first: Sequence[str] = ("length_mm", "width_mm", "area_mm2")) -> DataFrame:
+    """Measurements with two places as text, a dash where there is none; ``first`` leads where it has values."""
+    text = lambda c: F.coalesce(fixed(F.col(c)), F.lit("—")).alias(c)
+    return rows.select("run_id", "label", *(text(c) for c in (*first, *columns) if c in rows.columns))
+
+
+def total_files(reports: DataFrame, *lists: str) -> DataFrame:
+    """How many files all reports list together; a missing list has none."""
+    return reports.agg(F.coalesce(F.sum(sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(0))), F.lit(0)).alias("n_files"))
+
+
+def rear_camera(devices: DataFrame) -> DataFrame:
+    """The first video input whose label names the back or the rear: (position, kind, label)."""
+    label = F.lower("label")
+    there = devices.where((F.col("kind") == "videoinput") & (label.contains("back") | label.contains("rear")))
+    return there.orderBy("position").limit(1)
+
+
 def left_join_classes(measured: DataFrame, classes: DataFrame) -> DataFrame:
     return measured.join(classes, ["run_id", "label"], "left")
 
@@ -178,8 +221,15 @@ def colour(grade: Column) -> Column:
     return found
 
 
+def facts(classified: DataFrame) -> DataFrame:
+    """Nineteen columns per object in millimetres (null without a calibration), and its run."""
+    mm = lambda c: F.col(c) if c in classified.columns else F.lit(None).cast("double").alias(c)
+    flags = ("whole", "broken", "long", "medium", "short", "oversized", "undersized", "abnormal")
+    return classified.select(
+        "run_id", "label", mm("area_mm2"), mm("length_mm"), mm("width_mm"), mm("perimeter_mm"), *CARRIED, "primary_category", *(F.array_contains("categories", f"{f}_grain").alias(f"is_{f}") for f in flags)
+    )
+
+
 def star_schema(classified: DataFrame, counts: DataFrame, quality: DataFrame, graded: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
     """Five tables: facts in millimetres with flags, categories, and one-row snapshots per run."""
-    flags = [*FLAGS, "oversized", "undersized", "abnormal"]
-    facts = classified.select("run_id", "label", "area_mm2", "length_mm", "width_mm", *CARRIED, "primary_category", *(F.array_contains("categories", f"{f}_grain").alias(f"is_{f}") for f in flags))
-    return {"GrainFacts": facts, "CategoryDim": counts, "QualitySnapshot": quality, "GradingSnapshot": graded.select("run_id", "grade", "grade_key", "explanation"), "RunMetadata": runs}
+    return {"GrainFacts": facts(classified), "CategoryDim": counts, "QualitySnapshot": quality, "GradingSnapshot": graded.select("run_id", "grade", "grade_key", "explanation"), "RunMetadata": runs}

@@ -129,6 +129,16 @@ def outliers(long: DataFrame, fence: float = 1.5, z: float = 3.0) -> DataFrame:
     return placed.groupBy(*KEYS, "iqr_lower", "iqr_upper").agg(listed(far).alias("iqr_outliers"), listed(beyond).alias("zscore_outliers"))
 
 
+def outlier_counts(found: DataFrame) -> DataFrame:
+    """How many values of each metric lie beyond the fences and beyond the deviations."""
+    return found.select(*KEYS, F.size("iqr_outliers").alias("n_iqr"), F.size("zscore_outliers").alias("n_zscore"))
+
+
+def with_empty_runs(runs: DataFrame, described: DataFrame) -> DataFrame:
+    """All runs; one without objects has one row with ``error``."""
+    return runs.select("run_id").join(described, "run_id", "left").withColumn("error", F.when(F.col("metric").isNull(), "No grains to analyze"))
+
+
 def correlation(wide: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of metrics that the table has, in one pass: run_id, m1, m2, r."""
     here = [m for m in metrics if m in wide.columns]

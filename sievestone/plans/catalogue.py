@@ -223,10 +223,17 @@ _GRADED = f"""{_RULES}, best AS (SELECT run_id AS r, min(grade_rank) AS k FROM q
     graded AS (SELECT q.*, rules.* EXCLUDE (grade), coalesce(rules.label, 'Reject') AS grade, coalesce(rules.grade, 'reject') AS grade_key FROM qual q LEFT JOIN best ON run_id = r LEFT JOIN rules ON grade_rank = k)"""
 
 
-@query(f"WITH {s.quality_sql()}, {_GRADED} SELECT run_id, grade, grade_key, CASE WHEN label IS NULL THEN 0 ELSE 4 END AS n_criteria, label IS NULL AS none_passed FROM graded")
+_EXPLAINED = " || chr(10) || ".join(
+    ["'Sample classified as **' || label || '**.'", *(f"printf('  • {c}: %.2f {sign} %.2f → PASS', {c}, {limit})" for c, limit, sign in (("broken_pct", "mb", "<="), ("uniformity_index", "mu", ">="), ("abnormal_pct", "ma", "<="), ("cv_length", "mc", "<="))),
+     "'  • Total grains: ' || total_grains", *(f"printf('  • {name}: %.2f%%', {c})" for name, c in (("Broken", "broken_pct"), ("Uniformity", "uniformity_index"), ("Abnormal", "abnormal_pct")))]
+)
+
+
+@query(f"""WITH {s.quality_sql()}, {_GRADED} SELECT run_id, grade, grade_key, CASE WHEN label IS NULL THEN 0 ELSE 4 END AS n_criteria, label IS NULL AS none_passed,
+    CASE WHEN label IS NULL THEN '{grading.NOT_MET}' ELSE {_EXPLAINED} END AS explanation FROM graded""")
 def grade_final(spark, sf_dir):
     made = _grade(spark, sf_dir)
-    return made.select("run_id", "grade", "grade_key", F.size("criteria_results").alias("n_criteria"), (F.col("explanation") == grading.NOT_MET).alias("none_passed"))
+    return made.select("run_id", "grade", "grade_key", F.size("criteria_results").alias("n_criteria"), (F.col("explanation") == grading.NOT_MET).alias("none_passed"), "explanation")
 
 
 # -- reports and dashboards
@@ -250,17 +257,17 @@ def scatter_points(spark, sf_dir):
 def _hist_sql(with_cte: str, source: str, column: str, bins: int) -> str:
     return f"""WITH {with_cte}, ends AS (SELECT run_id, min({column}) AS lo, max({column}) AS hi, (max({column}) - min({column})) / {bins} AS step FROM {source} GROUP BY 1),
     n AS (SELECT run_id, CASE WHEN step > 0 THEN least(floor(({column} - lo) / step), {bins - 1}) ELSE 0 END::INT AS bin, count(*) AS n FROM {source} JOIN ends USING (run_id) GROUP BY 1, 2)
-    SELECT e.run_id, e.bin::INT AS bin, coalesce(n, 0) AS count FROM (SELECT *, unnest(range(CASE WHEN step > 0 THEN {bins} ELSE 1 END)) AS bin FROM ends) e LEFT JOIN n ON e.run_id = n.run_id AND e.bin = n.bin"""
+    SELECT e.run_id, e.bin::INT AS bin, CASE WHEN step > 0 THEN printf('%.2f', lo + e.bin * step) || '-' || printf('%.2f', lo + (e.bin + 1) * step) ELSE printf('%.2f', lo) END AS bin_label, coalesce(n, 0) AS count FROM (SELECT *, unnest(range(CASE WHEN step > 0 THEN {bins} ELSE 1 END)) AS bin FROM ends) e LEFT JOIN n ON e.run_id = n.run_id AND e.bin = n.bin"""
 
 
 @query(_hist_sql(s.parts_sql(), "spec", "length_px", 8))
 def histogram8(spark, sf_dir):
-    return reporting.histogram(s.parts(spark, sf_dir), "length_px", 8).drop("bin_label")
+    return reporting.histogram(s.parts(spark, sf_dir), "length_px", 8)
 
 
 @query(_hist_sql(s.EVENTS_SQL, "ev", "value", 30))
 def hist30(spark, sf_dir):
-    return reporting.histogram(s.events(spark, sf_dir), "value", 30).drop("bin_label")
+    return reporting.histogram(s.events(spark, sf_dir), "value", 30)
 
 
 @query(f"""WITH {s.quality_sql(PPM)}, {_GRADED} SELECT g.run_id, total_grains, round(broken_pct, 4) AS broken_pct, round(uniformity_index, 4) AS uniformity_index, grade,
@@ -340,6 +347,48 @@ def range_slicer(spark, sf_dir):
     return rounded(reporting.sliced(s.parts(spark, sf_dir).select("run_id", "label", "length_px"), "length_px", 1000, 1200), "length_px")
 
 
+_COLOUR_SQL = "CASE primary_category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reporting.CATEGORY_COLOURS.items()) + f" ELSE '{reporting.CATEGORY_COLOURS['whole_grain']}' END"
+
+
+@query(f"WITH {s.classes_sql(PPM)} SELECT run_id, label, {_COLOUR_SQL} AS colour, printf('%.1fx%.1fmm', length_mm, width_mm) AS size_text FROM cls")
+def annotation_text(spark, sf_dir):
+    return reporting.annotations(_classified(spark, sf_dir, PPM)).select("run_id", "label", "colour", "size_text")
+
+
+_ALL_FLAGS = ("whole", "broken", "long", "medium", "short", "oversized", "undersized", "abnormal")
+
+
+@query(f"""WITH {s.classes_sql(PPM)} SELECT run_id, label, round(area_mm2, 8) AS area_mm2, round(length_mm, 6) AS length_mm, round(width_mm, 6) AS width_mm, round(aspect_ratio, 6) AS aspect_ratio, circularity, round(solidity, 6) AS solidity,
+    eccentricity, orientation_angle, primary_category, {", ".join(f"list_contains(categories, '{f}_grain') AS is_{f}" for f in _ALL_FLAGS)} FROM cls""")
+def grain_facts(spark, sf_dir):
+    made = rounded(reporting.facts(_classified(spark, sf_dir, PPM)).drop("perimeter_mm"), "length_mm", "width_mm", "aspect_ratio", "solidity", places=6)
+    return rounded(made, "area_mm2", places=8)
+
+
+@query(f"WITH {s.parts_sql()} SELECT run_id, label, printf('%.2f', length_px) AS length_px, printf('%.2f', width_px) AS width_px, coalesce(CASE WHEN label % 10 != 0 THEN printf('%.2f', area_px) END, '—') AS area_px FROM spec")
+def measurement_text(spark, sf_dir):
+    rows = s.parts(spark, sf_dir).withColumn("area_px", F.when(F.col("label") % 10 != 0, F.col("area_px")))
+    return reporting.as_text(rows, "length_px", "width_px", "area_px", first=())
+
+
+@query(f"""WITH {s.EVENTS_SQL}, b AS (SELECT run_id, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, avg(value) AS mean, stddev_pop(value) AS sd FROM ev WHERE value IS NOT NULL GROUP BY 1)
+    SELECT run_id, 'value' AS metric, count(*) FILTER (n >= 4 AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)))::INT AS n_iqr, count(*) FILTER (n >= 4 AND sd > 0 AND abs(value - mean) / sd > 3)::INT AS n_zscore
+    FROM ev JOIN b USING (run_id) WHERE value IS NOT NULL GROUP BY 1""")
+def outlier_counts(spark, sf_dir):
+    return statistics.outlier_counts(statistics.outliers(statistics.to_long(s.events(spark, sf_dir), ["value"])))
+
+
+@query(f"""WITH {s.quality_sql()}, {_GRADED}, g AS (SELECT run_id, grade, grade_key, run_id AS found FROM graded WHERE run_id LIKE '%-k1%'), m AS (SELECT run_id, round(avg(length_px), 4) AS mean FROM spec WHERE run_id LIKE '%-k1%' GROUP BY 1)
+    SELECT r.run_id, m.mean, CASE WHEN m.mean IS NULL THEN 'No grains to analyze' END AS error, coalesce(grade, '{grading.NO_OBJECTS}') AS grade, coalesce(grade_key, 'reject') AS grade_key
+    FROM (SELECT DISTINCT run_id FROM spec) r LEFT JOIN g ON r.run_id = g.run_id LEFT JOIN m ON r.run_id = m.run_id""")
+def empty_runs(spark, sf_dir):
+    rows = s.parts(spark, sf_dir)
+    runs, found = rows.select("run_id").distinct(), F.col("run_id").contains("-k1")
+    described = statistics.describe(statistics.to_long(rows.where(found), ["length_px"])).select("run_id", "metric", "mean")
+    graded = grading.with_empty_runs(runs, _grade(spark, sf_dir).where(found)).select("run_id", "grade", "grade_key")
+    return rounded(statistics.with_empty_runs(runs, described).drop("metric"), "mean").join(graded, "run_id")
+
+
 # -- shapes
 
 _POLY = ("area_px", "perimeter_px", "centroid_x", "centroid_y", "equivalent_diameter_px", "circularity", "extent")
@@ -416,6 +465,47 @@ def tile_and_stitch_max(spark, sf_dir):
     return raster.stitch_max(raster.cut_tiles(px, raster.tile_origins(size, 24, 6), 24))
 
 
+def _raster_size(px: DataFrame) -> DataFrame:
+    return px.groupBy("run_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+
+
+@query(f"WITH {s.RASTER_SQL} SELECT run_id, unnest(range(9))::INT AS view, y, x, v FROM px")
+def views_and_back(spark, sf_dir):
+    px = s.raster(spark, sf_dir)
+    made = raster.undo_views(raster.test_time_views(px, _raster_size(px)), _raster_size(px))
+    return made.select("run_id", "view", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
+
+
+@query(f"""WITH {s.RASTER_SQL}, o AS (SELECT * FROM (VALUES (0), (18), (36), (40)) t(o)), t AS (SELECT px.*, a.o AS ty, b.o AS tx, exp(-((y - a.o - 12) ** 2 + (x - b.o - 12) ** 2) / 32.0) AS wt FROM px, o a, o b
+    WHERE y BETWEEN a.o AND a.o + 23 AND x BETWEEN b.o AND b.o + 23) SELECT run_id, y, x, round(sum((v + ty + tx) * wt) / sum(wt), 4) AS v FROM t GROUP BY 1, 2, 3""")
+def tile_and_stitch_weighted(spark, sf_dir):
+    px = s.raster(spark, sf_dir)
+    tiles = raster.cut_tiles(px, raster.tile_origins(_raster_size(px), 24, 6), 24).withColumn("v", F.col("v") + F.col("ty") + F.col("tx"))
+    return rounded(raster.stitch_weighted(tiles, raster.tile_weight(24)), "v")
+
+
+@query(f"""WITH {s.RASTER_SQL}, l AS (SELECT DISTINCT run_id, v // 25 AS label FROM px WHERE v >= 25), h AS (SELECT run_id, label, floor(CASE WHEN k > 0 AND k = n - 1 THEN 179 WHEN n > 1 THEN k * (179.0::DOUBLE / (n - 1)) ELSE 0 END)::BIGINT AS hue
+    FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY label) - 1 AS k, count(*) OVER (PARTITION BY run_id) AS n FROM l))
+    SELECT run_id, label, hue, {", ".join(f"round(255 * greatest(0, least(1, abs(fmod(hue / 30.0::DOUBLE + {k}, 6) - 3) - 1)))::INT AS {c}" for c, k in (("r", 0), ("g", 4), ("b", 2)))} FROM h""")
+def label_colours(spark, sf_dir):
+    return raster.label_colours(s.raster(spark, sf_dir).select("run_id", F.floor(F.col("v") / 25).alias("label")))
+
+
+@query(f"""WITH {s.RASTER_SQL}, d AS (SELECT a.run_id, a.y, a.x, CASE WHEN any_value(a.v) <= 100 THEN 0 ELSE sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) END AS d FROM px a JOIN px b ON a.run_id = b.run_id AND b.v <= 100 GROUP BY 1, 2, 3)
+    SELECT run_id, y, x, round(d, 6) AS d, floor(d / max(d) OVER (PARTITION BY run_id) * 255)::BIGINT AS view FROM d""")
+def distance_view(spark, sf_dir):
+    binary = s.raster(spark, sf_dir).withColumn("v", F.when(F.col("v") > 100, 255).otherwise(0).cast("long"))
+    return rounded(raster.distances(binary), "d", places=6)
+
+
+@query(f"WITH {s.RASTER_SQL} SELECT run_id, CASE WHEN run_id < 2 THEN 'bright' ELSE 'all' END AS method, count(*) AS n FROM px WHERE run_id < 2 AND v > 170 OR run_id >= 2 AND v > 100 GROUP BY 1, 2")
+def strategy_cascade(spark, sf_dir):
+    px = s.raster(spark, sf_dir)
+    made = lambda test: px.withColumn("label", F.when(test, 1).otherwise(0))
+    found = raster.first_with_objects({"model": None, "bright": made((F.col("run_id") < 2) & (F.col("v") > 170)), "all": made(F.col("v") > 100)})
+    return found.where("label > 0").groupBy("run_id", "method").agg(F.count("*").alias("n"))
+
+
 @query()
 def kmeans_foreground(spark, sf_dir):
     rows = s.table(spark, sf_dir, "embeddings").select(F.lit(0).alias("run_id"), F.floor(F.col("vec_id") / 20).alias("y"), (F.col("vec_id") % 20).alias("x"), *(F.col("embedding")[k].cast("double").alias(f"c{k}") for k in range(3)))
