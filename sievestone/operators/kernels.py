@@ -201,7 +201,10 @@ def distance(on: np.ndarray) -> np.ndarray:
     for y in range(len(rows) - 2, -1, -1):
         rows[y] = np.minimum(rows[y], rows[y + 1] + 1)
     x = np.arange(on.shape[1])
-    return np.sqrt(np.min(rows[:, None, :] ** 2 + ((x[:, None] - x[None, :]) ** 2)[None], 2))
+    aside, out = (x[:, None] - x[None, :]) ** 2, np.zeros(on.shape)
+    for y in np.flatnonzero(on.any(1)):  # a row at a time: memory stays at the square of the width
+        out[y] = np.sqrt((rows[y] ** 2 + aside).min(1))
+    return out
 
 
 def watershed(on: np.ndarray, peak_share: float) -> np.ndarray:

@@ -144,7 +144,9 @@ def contours(labels: DataFrame) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((int(group["y"].max()) + 1, int(group["x"].max()) + 1), np.int64)
         image[group["y"], group["x"]] = group["label"]
-        rows = [(k, n, x, y) for k in np.unique(image[image > 0]) for n, (x, y) in enumerate(kernels.outer_contour(image == k))]
+        there = group[group["label"] > 0].groupby("label")
+        boxes = pd.concat([there[["y", "x"]].min(), there[["y", "x"]].max() + 1], axis=1).itertuples()
+        rows = [(k, n, x + left, y + top) for k, top, left, bottom, right in boxes for n, (x, y) in enumerate(kernels.outer_contour(image[top:bottom, left:right] == k))]
         return pd.DataFrame(rows, columns=["label", "seq", "x", "y"]).assign(run_id=group["run_id"].iloc[0])[["run_id", "label", "seq", "x", "y"]]
 
     return labels.select("run_id", "y", "x", "label").groupBy("run_id").applyInPandas(run, f"run_id {kind}, label long, seq long, x long, y long")
