@@ -415,9 +415,23 @@ def hu_moments(spark, sf_dir):
     return rounded(made, "hu_moments_0", "hu_moments_1", places=6)
 
 
-@query()
+_HU_FORMS = (
+    "n20 + n02", "(n20 - n02) ** 2 + 4 * n11 ** 2", "r * r + s * s", "p * p + q * q", "r * p * (p * p - 3 * q * q) + s * q * (3 * p * p - q * q)",
+    "(n20 - n02) * (p * p - q * q) + 4 * n11 * p * q", "s * p * (p * p - 3 * q * q) - r * q * (3 * p * p - q * q)",
+)
+
+
+# moments of the polygon moved to its centroid, unlike the operator's
+@query(f"""WITH {s.POLYGONS_SQL}, c AS (SELECT run_id, label, sum(x * y2 - x2 * y) / 2 AS a, sum((x + x2) * (x * y2 - x2 * y)) / 6 AS mx, sum((y + y2) * (x * y2 - x2 * y)) / 6 AS my FROM edge GROUP BY 1, 2),
+    u AS (SELECT run_id, label, sign(a) AS sg, abs(a) AS a, x - mx / a AS x, y - my / a AS y, x2 - mx / a AS x2, y2 - my / a AS y2 FROM edge JOIN c USING (run_id, label) WHERE a != 0), w AS (SELECT *, sg * (x * y2 - x2 * y) AS w FROM u),
+    n AS (SELECT run_id, label, sum(w * (x * x + x * x2 + x2 * x2)) / 12 / a ** 2 AS n20, sum(w * (y * y + y * y2 + y2 * y2)) / 12 / a ** 2 AS n02, sum(w * (x * (2 * y + y2) + x2 * (y + 2 * y2))) / 24 / a ** 2 AS n11,
+    sum(w * (x ** 3 + x * x * x2 + x * x2 * x2 + x2 ** 3)) / 20 / a ** 2.5 AS n30, sum(w * (y ** 3 + y * y * y2 + y * y2 * y2 + y2 ** 3)) / 20 / a ** 2.5 AS n03,
+    sum(w * (x * x * (3 * y + y2) + 2 * x * x2 * (y + y2) + x2 * x2 * (y + 3 * y2))) / 60 / a ** 2.5 AS n21, sum(w * (y * y * (3 * x + x2) + 2 * y * y2 * (x + x2) + y2 * y2 * (x + 3 * x2))) / 60 / a ** 2.5 AS n12 FROM w GROUP BY run_id, label, a),
+    h AS (SELECT run_id, label, {", ".join(f"{form} AS h{k}" for k, form in enumerate(_HU_FORMS))} FROM (SELECT *, n30 + n12 AS p, n21 + n03 AS q, n30 - 3 * n12 AS r, 3 * n21 - n03 AS s FROM n))
+    SELECT run_id, label, {", ".join(f"round(sign(h{k}) * ln(1 + abs(h{k})), 9) + 0.0::DOUBLE AS hu_moments_{k}" for k in range(7))} FROM h""")
 def hu_moments_all(spark, sf_dir):
-    return rounded(geometry.hu_moments(s.polygons(spark, sf_dir)), *_HU, places=9)
+    made = rounded(geometry.hu_moments(s.polygons(spark, sf_dir)), *_HU, places=9)
+    return made.select("run_id", "label", *((F.col(c) + F.lit(0.0)).alias(c) for c in _HU))
 
 
 @query(f"""WITH {s.RASTER_SQL}, o AS (SELECT run_id, v // 25 AS label, y, x FROM px WHERE v >= 25), c AS (SELECT run_id, label, avg(x) AS cx, avg(y) AS cy FROM o GROUP BY 1, 2),
