@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, ngram_jaccard, quality_rules, suffix_dedup, url_filters
+from . import chat_format, filter_audit, hard_negatives, ngram_jaccard, quality_rules, suffix_dedup, url_filters
 from .best_fit_packing import op4_best_fit
 from .chat_format import op10_typed_parts
+from .filter_audit import op13_filter_audit
+from .hard_negatives import op11_blocked_gemm
 from .ivf_pq import op7_ivf_pq
 from .mix_sources import op9_temperature
 from .ngram_jaccard import op6_prefix_tree
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_temperature": op9_temperature,
     "op10_typed_parts": op10_typed_parts,
+    "op11_blocked_gemm": op11_blocked_gemm,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_frequency": quality_rules.ORACLE,
@@ -32,4 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_link_graph": url_filters.ORACLE,
     "op6_prefix_tree": ngram_jaccard.ORACLE,
     "op10_typed_parts": chat_format.ORACLE,
+    "op11_blocked_gemm": hard_negatives.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
