@@ -10,6 +10,7 @@ from .hard_negatives import op11_blocked_gemm
 from .ivf_pq import op7_ivf_pq
 from .mix_sources import op9_temperature
 from .ngram_jaccard import op6_prefix_tree
+from .quality_classifier import op12_random_indexing
 from .quality_rules import op2_line_frequency
 from .sstable import op1_sstable
 from .suffix_dedup import op3_suffix_array
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_temperature": op9_temperature,
     "op10_typed_parts": op10_typed_parts,
     "op11_blocked_gemm": op11_blocked_gemm,
+    "op12_random_indexing": op12_random_indexing,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
