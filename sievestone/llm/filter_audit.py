@@ -51,20 +51,20 @@ def cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = rows.groupBy("id", "part", "print", "mask").agg(F.count("*").alias("n"))
     is_one = lambda c: F.coalesce(F.max(F.col(c) == 1), F.lit(False))
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("i")).agg(is_one("quality").alias("is_good"), is_one("toxic").alias("is_toxic"))
-    # rows without an identifier have no labels, and would meet in one task of the join
-    named = counted.where("id IS NOT NULL").join(known, F.col("id") == F.col("i"), "left")
+    # rows without an identifier have no labels; by that alone they would meet in one task of the join
+    key = F.coalesce("id", F.xxhash64("print", "part"))
+    named = counted.withColumn("key", key).join(known, (F.col("key") == F.col("i")) & F.col("id").isNotNull(), "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    named = named.select("id", "part", "print", "mask", "n", flag("is_good"), flag("is_toxic"))
+    named = named.select("id", "part", "print", "mask", "n", flag("is_good"), flag("is_toxic"), F.col("id").isNull().alias("unnamed"))
     # of the rows of a text that agree in all else: how many, and how many of them have the least identifier
-    held = named.groupBy("print", "part", "mask", "is_good", "is_toxic").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("first"), F.sum("n").alias("n"))
+    held = named.groupBy("print", "part", "mask", "is_good", "is_toxic", "unnamed").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("first"), F.sum("n").alias("n"))
     least = held.groupBy(F.col("print").alias("p")).agg(F.min("id").alias("least"))
     held = held.join(least, F.col("print") == F.col("p"))
-    fresh = F.when(F.col("id") == F.col("least"), F.col("first")).otherwise(0)
+    fresh = F.when(F.col("unnamed"), F.col("n")).when(F.col("id") == F.col("least"), F.col("first")).otherwise(0)
     kinds = F.explode(F.array(F.struct(F.col("mask").alias("mask"), fresh.alias("n")), F.struct((F.col("mask") + COPY).alias("mask"), (F.col("n") - fresh).alias("n"))))
     held = held.select("part", "is_good", "is_toxic", kinds.alias("c")).select("part", "c.mask", "c.n", "is_good", "is_toxic").where("n > 0")
-    unnamed = counted.where("id IS NULL").select("part", "mask", "n", F.lit(False).alias("is_good"), F.lit(False).alias("is_toxic"))
     of = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0))
-    return held.unionByName(unnamed).groupBy("part", "mask").agg(F.sum("n").alias("n"), of("is_good").alias("good"), of("is_toxic").alias("toxic"))
+    return held.groupBy("part", "mask").agg(F.sum("n").alias("n"), of("is_good").alias("good"), of("is_toxic").alias("toxic"))
 
 
 def audit(cells: DataFrame, filters: str = FILTERS) -> DataFrame:
