@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 #: Labels in order of priority for the primary category.
 PRIORITY = ("broken_grain", "abnormal_grain", "oversized_grain", "undersized_grain", "long_grain", "medium_grain", "short_grain", "whole_grain")
 
@@ -37,8 +39,11 @@ def classify(rows: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     ppm = have("pixels_per_mm", 0.0, 0.0)
     unit = lambda mm, px: F.coalesce(F.when(ppm > 0, F.col(mm)), F.col(px)) if mm in rows.columns else F.col(px)
     sized = rows.withColumns({"_length": unit("length_mm", "length_px"), "_area": unit("area_mm2", "area_px")})
-    medians = sized.groupBy(F.col("run_id").alias("_run")).agg(F.percentile("_length", F.lit(0.5)).alias("_ml"), F.percentile("_area", F.lit(0.5)).alias("_ma"))
-    known = sized.join(medians, F.col("run_id").eqNullSafe(F.col("_run")))
+    both = sized.select("run_id", F.col("_length").cast("double").alias("length"), F.col("_area").cast("double").alias("area")).unpivot("run_id", ["length", "area"], "_of", "_v")
+    medians = order.quantiles(order.values(both, ["run_id", "_of"], "_v"), ["run_id", "_of"], "_v", (0.5,))
+    of = lambda name: F.max(F.when(F.col("_of") == name, F.col("q")[0]))
+    medians = medians.groupBy(F.col("run_id").alias("_run")).agg(of("length").alias("_ml"), of("area").alias("_ma"))
+    known = sized.join(medians, F.col("run_id").eqNullSafe(F.col("_run")), "left")
     length, area, ml, ma = (F.col(c) for c in ("_length", "_area", "_ml", "_ma"))
     in_mm = (ppm > 0) & (F.col("length_mm").isNotNull() if "length_mm" in rows.columns else F.lit(False))
     by_mm = F.when(length >= limits.long_mm, "long_grain").when(length >= limits.medium_mm, "medium_grain").otherwise("short_grain")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sievestone.functions.expr import fixed
 
+from . import order
+
 FLAGS = ("broken", "whole", "long", "medium", "short")
 CARRIED = ("aspect_ratio", "circularity", "solidity", "eccentricity", "orientation_angle")
 #: Colours of the grades and categories as red, green, blue in hex.
@@ -119,11 +121,10 @@ def left_join_classes(measured: DataFrame, classes: DataFrame) -> DataFrame:
     return measured.join(classes, ["run_id", "label"], "left")
 
 
-def zip_join(left: DataFrame, right: DataFrame, order: str = "label") -> DataFrame:
-    """Pairs rows of a run by their place in order; the shorter side ends it."""
-    w = Window.partitionBy("run_id").orderBy(order)
-    placed = [df.withColumn("_at", F.row_number().over(w)) for df in (left, right)]
-    return placed[0].join(placed[1].drop(order), ["run_id", "_at"]).drop("_at")
+def zip_join(left: DataFrame, right: DataFrame, by: str = "label") -> DataFrame:
+    """Pairs rows of a run by their place in the order of ``by``; the shorter side ends it."""
+    placed = [order.ordinals(df, ["run_id"], by, "_at") for df in (left, right)]
+    return placed[0].join(placed[1].drop(by), ["run_id", "_at"]).drop("_at")
 
 
 def trend(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -136,7 +137,7 @@ def trend(rows: DataFrame, x: str, y: str) -> DataFrame:
 def box_plot(long: DataFrame) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 quartile ranges; how many lie beyond."""
     there = long.where("value IS NOT NULL")
-    q = there.groupBy("run_id", "metric").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = order.quantiles(order.values(there, ["run_id", "metric"], "value"), ["run_id", "metric"], "value", (0.25, 0.5, 0.75))
     q = q.select("run_id", "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)

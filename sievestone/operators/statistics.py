@@ -12,11 +12,13 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.functions.expr import finite, pearson, t_quantile
 
+from . import order
+
 KEYS = ("run_id", "metric")
 #: Metrics that are described for every run.
 METRICS = (
@@ -34,26 +36,40 @@ def to_long(wide: DataFrame, metrics: Sequence[str], run: str = "run_id", label:
     return picked.unpivot(["run_id", "label"], here, "metric", "value")
 
 
+#: Quantiles of a description, in the order of their names.
+SHARES = {"p5": 0.05, "p10": 0.10, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.90, "p95": 0.95}
+
+
 def describe(long: DataFrame) -> DataFrame:
-    """21 statistics per (run_id, metric) over values that are there; groups without any are left out."""
+    """21 statistics per (run_id, metric) over values that are there; groups without any are left out.
+
+    Moments are one aggregate; mode and quantiles come from counts of distinct values (``order``).
+    """
     v = F.col("value")
     n = F.count(v)
-    quantiles = F.percentile(v, F.array(*(F.lit(p) for p in (0.05, 0.10, 0.25, 0.5, 0.75, 0.90, 0.95))))
     made = long.where(v.isNotNull()).groupBy(*KEYS).agg(
-        n.alias("count"), F.avg(v).alias("mean"), F.mode(v, True).alias("mode"), F.min(v).alias("min"), F.max(v).alias("max"),
+        n.alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_dev"),
-        F.when(n > 2, F.skewness(v)).otherwise(0.0).alias("skewness"), F.when(n > 3, F.kurtosis(v)).otherwise(0.0).alias("kurtosis"), quantiles.alias("q"),
+        F.when(n > 2, F.skewness(v)).otherwise(0.0).alias("skewness"), F.when(n > 3, F.kurtosis(v)).otherwise(0.0).alias("kurtosis"),
     )
-    q = lambda k: F.col("q")[k]
+    counted = order.values(long, KEYS, "value")
+    made = _with(_with(made, order.modes(counted, KEYS, "value")), order.quantiles(counted, KEYS, "value", tuple(SHARES.values())))
+    q = {name: F.col("q")[k] for k, name in enumerate(SHARES)}
     half = t_quantile(F.col("count") - 1) * F.col("std_dev") / F.sqrt("count")
     return made.select(
-        *KEYS, "count", "mean", q(3).alias("median"), "mode", "min", "max", (F.col("max") - F.col("min")).alias("range"), "variance", "std_dev",
+        *KEYS, "count", "mean", q["median"].alias("median"), "mode", "min", "max", (F.col("max") - F.col("min")).alias("range"), "variance", "std_dev",
         F.when((F.col("mean") != 0) & (F.col("count") > 1), F.try_divide("std_dev", "mean") * 100).otherwise(0.0).alias("cv"),
-        q(2).alias("q1"), q(4).alias("q3"), (q(4) - q(2)).alias("iqr"), q(0).alias("p5"), q(1).alias("p10"), q(5).alias("p90"), q(6).alias("p95"), "skewness", "kurtosis",
+        *(q[k].alias(k) for k in ("q1", "q3")), (q["q3"] - q["q1"]).alias("iqr"), *(q[k].alias(k) for k in ("p5", "p10", "p90", "p95")), "skewness", "kurtosis",
         F.when(F.col("count") > 1, F.col("mean") - half).otherwise(F.col("mean")).alias("ci_95_lower"), F.when(F.col("count") > 1, F.col("mean") + half).otherwise(F.col("mean")).alias("ci_95_upper"),
     )
 
 
+def _with(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of the same run, null or not, and metric side by side."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in KEYS})
+    return left.join(named, F.col("run_id").eqNullSafe(F.col("_run_id")) & (F.col("metric") == F.col("_metric"))).drop("_run_id", "_metric")
+
+
 def totals(wide: DataFrame) -> DataFrame:
     """Rows per run, empty values included, and whether the run has millimetres."""
     return wide.groupBy("run_id").agg(F.count("*").alias("total_grains"), F.coalesce(F.bool_or(F.col("pixels_per_mm") > 0), F.lit(False)).alias("calibrated"))
@@ -119,10 +135,11 @@ def outliers(long: DataFrame, fence: float = 1.5, z: float = 3.0) -> DataFrame:
     ``z`` population deviations, with the fences; empty and null for fewer than four values."""
     there = long.where("value IS NOT NULL")
     v = F.col("value")
-    bounds = there.groupBy(*KEYS).agg(F.count("*").alias("n"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    spread = there.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    bounds = _with(spread, order.quantiles(order.values(there, KEYS, "value"), KEYS, "value", (0.25, 0.75)))
     q1, q3 = F.col("q")[0], F.col("q")[1]
     bounds = bounds.select(*KEYS, "n", "mean", "sd", F.when(F.col("n") >= 4, q1 - fence * (q3 - q1)).alias("iqr_lower"), F.when(F.col("n") >= 4, q3 + fence * (q3 - q1)).alias("iqr_upper"))
-    placed = there.withColumn("pos", F.row_number().over(Window.partitionBy(*KEYS).orderBy("label")) - 1).join(bounds, list(KEYS))
+    placed = _with(order.ordinals(there, KEYS, "label"), bounds)
     far = (v < F.col("iqr_lower")) | (v > F.col("iqr_upper"))
     beyond = (F.col("n") >= 4) & (F.abs(F.try_divide(v - F.col("mean"), F.col("sd"))) > z)
     listed = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("pos"))))
