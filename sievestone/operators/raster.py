@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import frames, kernels, links
 
 
 def gray(b: Column, g: Column, r: Column) -> Column:
@@ -84,7 +84,7 @@ def _per_image(pixels: DataFrame, make: Callable[[np.ndarray], np.ndarray], out:
 
 def components(binary: DataFrame) -> DataFrame:
     """Labels of eight-connected components, numbered by their first pixel in reading order; 0 outside."""
-    return _per_image(binary, kernels.components, "label")
+    return links.labels(binary)
 
 
 def filter_area(labels: DataFrame, low: int | Column, high: int | Column) -> DataFrame:
@@ -100,27 +100,27 @@ def areas(labels: DataFrame) -> DataFrame:
 
 
 def adaptive_threshold(pixels: DataFrame, block: int = 45, c: int = 2) -> DataFrame:
-    return _per_image(pixels, lambda image: kernels.adaptive_threshold(image, block, c))
+    return frames.adaptive_threshold(pixels, block, c)
 
 
 def denoise(pixels: DataFrame, method: str = "gaussian") -> DataFrame:
-    return _per_image(pixels, lambda image: kernels.denoise(image, method))
+    return frames.smooth5(pixels) if method == "gaussian" else _per_image(pixels, lambda image: kernels.denoise(image, method))
 
 
 def equalize(pixels: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
-    return _per_image(pixels, lambda image: kernels.clahe(image, clip, tiles))
+    return frames.equalize(pixels, clip, tiles)
 
 
 def top_hat(pixels: DataFrame, size: int = 51) -> DataFrame:
-    return _per_image(pixels, lambda image: kernels.normalize_background(image, size))
+    return frames.top_hat(pixels, size)
 
 
 def cleanup(binary: DataFrame) -> DataFrame:
-    return _per_image(binary, kernels.cleanup)
+    return frames.cleanup(binary)
 
 
 def fill_holes(binary: DataFrame) -> DataFrame:
-    return _per_image(binary, kernels.fill_holes)
+    return links.fill_holes(binary)
 
 
 def hull_fill(binary: DataFrame) -> DataFrame:

@@ -114,3 +114,37 @@ POLYGONS_SQL = """poly AS (SELECT run_id, label, seq, floor(r * 2 * cos(2 * pi()
         FROM (SELECT *, unnest(range(n)) AS seq FROM (SELECT p_type AS run_id, p_partkey AS label, greatest(3, p_size)::BIGINT AS n, 40.0::DOUBLE + p_partkey % 60 AS r FROM part))),
     edge AS (SELECT run_id, label, seq, x::DOUBLE AS x, y::DOUBLE AS y, coalesce(lead(x) OVER w, first_value(x) OVER w)::DOUBLE AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w)::DOUBLE AS y2
         FROM poly WINDOW w AS (PARTITION BY run_id, label ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+#: Side of a scene, of its cells, cells of a row, and objects of a scene.
+SCENE, CELL, ROW_CELLS = 256, 18, 14
+OBJECTS = ROW_CELLS * ROW_CELLS
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 256 x 256 pixels, one for every 196 parts: (run_id, y, x, v).
+
+    Four of five parts are bright ellipses in cells of a grid, some of which touch; the background is
+    darker and uneven.
+    """
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_size").cast("long").alias("z"))
+    run, cell = F.floor(F.col("k") / OBJECTS), F.col("k") % OBJECTS
+    o = p.select(
+        run.alias("run_id"), (F.floor(cell / ROW_CELLS) * CELL + 10).alias("cy"), (cell % ROW_CELLS * CELL + 10).alias("cx"), (3 + F.col("z") % 6).alias("ry"), (3 + (F.col("z") * 7 + F.col("k")) % 7).alias("rx"),
+        (150 + F.col("k") % 80).alias("bright"), (F.col("k") % 5 != 0).alias("there"),
+    )
+    images = o.select("run_id").distinct().select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SCENE - 1).cast("long"))).alias("y")).select("run_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SCENE - 1).cast("long"))).alias("x"))
+    around = lambda r, c: F.sequence(F.greatest(F.lit(0), c - r).cast("long"), F.least(F.lit(SCENE - 1), c + r).cast("long"))
+    lit = o.where("there").select("*", F.explode(around(F.col("ry"), F.col("cy"))).alias("y")).select("*", F.explode(around(F.col("rx"), F.col("cx"))).alias("x"))
+    dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
+    lit = lit.where(dy * dy * F.col("rx") * F.col("rx") + dx * dx * F.col("ry") * F.col("ry") <= F.col("rx") * F.col("rx") * F.col("ry") * F.col("ry")).groupBy("run_id", "y", "x").agg(F.max("bright").alias("bright"))
+    uneven = 80 + F.floor(F.col("x") / 16) + (F.col("x") * 31 + F.col("y") * 17 + F.col("run_id") * 7) % 12
+    return images.join(lit, ["run_id", "y", "x"], "left").select("run_id", "y", "x", F.coalesce("bright", uneven).cast("long").alias("v"))
+
+
+SCENES_SQL = f"""obj AS (SELECT p_partkey // {OBJECTS} AS run_id, (p_partkey % {OBJECTS}) // {ROW_CELLS} * {CELL} + 10 AS cy, (p_partkey % {OBJECTS}) % {ROW_CELLS} * {CELL} + 10 AS cx, 3 + p_size % 6 AS ry, 3 + (p_size * 7 + p_partkey) % 7 AS rx,
+        150 + p_partkey % 80 AS bright, p_partkey % 5 != 0 AS there FROM part),
+    frame AS (SELECT run_id, y, unnest(range({SCENE})) AS x FROM (SELECT run_id, unnest(range({SCENE})) AS y FROM (SELECT DISTINCT run_id FROM obj))),
+    lit AS (SELECT run_id, y, x, max(bright) AS bright FROM (SELECT *, unnest(range(greatest(0, cx - rx), least({SCENE - 1}, cx + rx) + 1)) AS x FROM (SELECT *, unnest(range(greatest(0, cy - ry), least({SCENE - 1}, cy + ry) + 1)) AS y FROM obj WHERE there))
+        WHERE (y - cy) ** 2 * rx ** 2 + (x - cx) ** 2 * ry ** 2 <= rx ** 2 * ry ** 2 GROUP BY 1, 2, 3),
+    scene AS (SELECT f.run_id::BIGINT AS run_id, f.y, f.x, coalesce(bright, 80 + f.x // 16 + (f.x * 31 + f.y * 17 + f.run_id * 7) % 12)::BIGINT AS v FROM frame f LEFT JOIN lit l ON f.run_id = l.run_id AND f.y = l.y AND f.x = l.x)"""
