@@ -47,15 +47,57 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.shared_folder = path
+    if _recording:
+        _side.append(path)
     return made
 
 
+#: Folders of tables that steps have made beside their results, and whether such are noted now.
+_side: list[str] = []
+_recording = False
+
+
+@contextmanager
+def side_tables(docs: DataFrame) -> Iterator[None]:
+    """Notes the tables that a step makes beside its result, and deletes those of steps before it.
+
+    They are deleted only where the files that ``docs`` reads show that it needs none of them: what
+    came before it has been written and read again.
+    """
+    global _recording
+    read = docs.inputFiles() if _side else []
+    if read and not any(path.rpartition("/")[2] in file for file in read for path in _side):
+        for path in _side:
+            _delete(docs.sparkSession, path)
+        _side.clear()
+        gc.collect()
+    _recording = True
+    try:
+        yield
+    finally:
+        _recording = False
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores as it takes not to clash with ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and that nothing reads any more."""
     for made in tables:
-        spark = made.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(made.shared_folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(made.sparkSession, made.shared_folder)
     gc.collect()
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 from ._graph import connected_components
-from ._store import dropped, table, written
+from ._store import dropped, table, unused, written
 
 #: At most so many identifiers (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -474,15 +474,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id come after all others, in the order of a hash of their text; of equal
     texts with words one row stays, and all rows without words, which link with nothing.
     """
+    name, head, size, rank = unused(docs.columns, "_key", "_first", "_size", "_rank")
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)).bitwiseOR(F.lit(_UNNAMED)))
-    keyed = docs.withColumn("_key", key)
-    first = jaccard_components(keyed, "_key", words=5, percent=80).where("component_id = doc_id")
-    first = written(first.groupBy(F.col("doc_id").alias("_first")).agg(F.max("n_shingles").alias("_n")), "first")
-    named = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    unnamed = keyed.where("doc_id IS NULL").join(first, F.col("_key") == F.col("_first"))
-    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("_key")))
-    texts = unnamed.where("_n > 0").withColumn("_r", one).where("_r = 1")
-    return named.unionByName(texts.select(*docs.columns)).unionByName(unnamed.where("_n = 0").select(*docs.columns))
+    keyed = docs.withColumn(name, key)
+    first = jaccard_components(keyed.select(name, "text"), name, words=5, percent=80).where("component_id = doc_id")
+    first = written(first.groupBy(F.col("doc_id").alias(head)).agg(F.max("n_shingles").alias(size)), "first")
+    named = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id").cast("long") == F.col(head), "left_semi")
+    unnamed = keyed.where("doc_id IS NULL").join(first, F.col(name) == F.col(head))
+    one = F.row_number().over(Window.partitionBy(name).orderBy(F.col(name)))
+    texts = unnamed.where(F.col(size) > 0).withColumn(rank, one).where(F.col(rank) == 1)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return named.unionByName(texts.select(*own)).unionByName(unnamed.where(F.col(size) == 0).select(*own))
 
 
 ORACLE = r"""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._store import table, written
+from ._store import table, unused, written
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -182,30 +182,30 @@ def keep_good(docs: DataFrame, min_docs: int = 50, max_share: float = 0.02) -> D
 
     The verdict belongs to an identifier (null or not), host and text.
     """
-    judged = _judged(docs, "doc_id", "text", "source", min_docs, max_share, 20, 0.3)
-    changed = judged.where("NOT kept OR gone IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("print").alias("_p"), F.col("kept").alias("_kept"), F.col("gone").alias("_gone"))
-    changed = written(changed.dropDuplicates(["_d", "_h", "_p"]), "changed")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64("text") == F.col("_p"))
-    names, at = docs.columns, docs.columns.index("text")
+    doc, host, print_, kept, gone, lost = unused(docs.columns, "_doc", "_host", "_print", "_kept", "_gone", "_lost")
+    judged = _judged(docs.select("doc_id", "text", "source"), "doc_id", "text", "source", min_docs, max_share, 20, 0.3)
+    changed = judged.where("NOT kept OR gone IS NOT NULL").select(F.col("doc_id").alias(doc), F.col("host").alias(host), F.col("print").alias(print_), F.col("kept").alias(kept), F.col("gone").alias(gone))
+    changed = written(changed.dropDuplicates([doc, host, print_]), "changed")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.col("source").cast("string").eqNullSafe(F.col(host)) & (F.xxhash64("text") == F.col(print_))
+    at = docs.columns.index("text")
+    names = [*docs.columns, lost]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, gone = [batch.column(c) for c in names], batch.column("_gone")
-            if gone.null_count < len(gone):
+            columns, lines = [batch.column(k) for k in range(len(names))], batch.column(len(names))
+            if lines.null_count < len(lines):
                 texts = columns[at].to_pylist()
-                for k in np.flatnonzero(np.asarray(gone.is_valid())):
-                    texts[k] = without_lines(texts[k], gone[int(k)].as_py())
+                for k in np.flatnonzero(np.asarray(lines.is_valid())):
+                    texts[k] = without_lines(texts[k], lines[int(k)].as_py())
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    left = docs.join(changed, same, "left").where("coalesce(_kept, true)")
-    if "n_chars" in names:
-        left = left.withColumn("_lost", F.col("_gone").isNotNull())
-        names = [*names, "_lost"]
-    out = left.select(*names, "_gone").mapInArrow(run, left.select(*names).schema)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.join(changed, same, "left").where(F.coalesce(kept, F.lit(True))).select(*own, F.col(gone).isNotNull().alias(lost), gone)
+    out = left.mapInArrow(run, left.select(*own, lost).schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lost"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).drop("_lost")
-    return out
+        out = out.withColumn("n_chars", F.when(F.col(lost), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(lost)
 
 
 ORACLE = r"""

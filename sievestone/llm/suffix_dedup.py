@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._store import table, written
+from ._store import table, unused, written
 
 SPAN, LEAD = 50, 12
 #: Text whose strings are held and compared in a task at once, and text per bucket.
@@ -348,11 +348,23 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_unrepeated(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept text; rows of which nothing but white space is left go."""
-    made = remove_repeats(docs.select("doc_id", "text")).where("n_removed > 0").select(F.col("doc_id").alias("_d"), "kept").dropDuplicates(["_d"])
-    changed = docs.join(made, docs["doc_id"] == made["_d"], "left").withColumn("text", F.when(F.col("_d").isNotNull(), F.col("kept")).otherwise(F.col("text")))
-    changed = changed.where("_d IS NULL OR length(trim(regexp_replace(kept, '[\\\\s]', ''))) > 0")
-    return changed.withColumn("n_chars", F.when(F.col("_d").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))).drop("_d", "kept")
+    """``docs`` with the kept text (and ``n_chars``, where there is one); rows of which nothing but white space is left go.
+
+    Identifiers whose rows differ in text stay whole, as a span does not tell which of the rows it is of.
+    """
+    doc, kept, low, high = unused(docs.columns, "_doc", "_kept", "_low", "_high")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = own.groupBy(F.col("doc_id").alias(doc)).agg(F.min(F.xxhash64("text")).alias(low), F.max(F.xxhash64("text")).alias(high))
+    mixed = prints.where(F.col(low) != F.col(high)).select(doc)
+    made = remove_repeats(own).where("n_removed > 0").select(F.col("doc_id").alias(doc), F.col("kept").alias(kept))
+    made = made.join(mixed, doc, "left_anti").dropDuplicates([doc])
+    changed = docs.join(made, F.col("doc_id").cast("long") == F.col(doc), "left")
+    cut = F.col(doc).isNotNull()
+    changed = changed.where(~cut | (F.length(F.trim(F.regexp_replace(kept, "[\\s]", ""))) > 0))
+    new = {"text": F.when(cut, F.col(kept)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return changed.withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = """

@@ -42,3 +42,41 @@ def test_rows_without_identifier_pass_the_stages(spark):
     mixed = {c for i, _, c in jaccard(good, 5, 80) if i not in unnamed}
     assert counts[1] == len(groups - mixed) and counts[2] > 0 and counts[3] > 0
     assert corpus_pipeline.STAGES[-1][1](spark, frame, "").where("doc_id IS NULL").count() > 0
+
+
+def test_rows_of_one_identifier_keep_their_texts(spark):
+    shared = "this passage is in several documents and is surely longer than fifty bytes "
+    rows = [(1, shared + "alpha", "s"), (2, shared + "beta", "s"), (2, "gamma has nothing to do with any of the others, not a single passage of it", "s"), (3, shared + "delta", "s"), (3, shared + "delta", "s")]
+    docs = spark.createDataFrame([(i, x, "en", s, "k", "m", "d") for i, x, s in rows], "doc_id long, text string, lang string, source string, kept string, mix string, _doc string")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect())
+    assert got[:3] == sorted(x[:2] for x in rows)[:3] and [i for i, _ in got] == [1, 2, 2, 3, 3]
+    assert got[3] == got[4] and shared not in got[3][1]
+
+
+def test_clashing_names_and_empty_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").drop("n_chars").limit(60)
+    more = docs
+    for name in ("kept", "mix", "_d", "_doc", "_kept", "_gone", "_key", "row", "Token", "spans"):
+        more = more.withColumn(name, F.lit(name))
+    frame = more.cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, "").cache()
+        assert frame.columns == more.columns and frame.count() > 0
+        assert frame.where("kept != 'kept' OR mix != 'mix' OR _d != '_d' OR row != 'row'").count() == 0
+    frame = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, "").cache()
+        assert frame.count() == 0
+
+
+def test_side_tables_go_when_their_stage_is_read_again(spark, tmp_path):
+    from sievestone.llm import _store
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    folder = _store.shared_root(spark).removeprefix("file://")
+    before = set(__import__("os").listdir(folder))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    left = set(__import__("os").listdir(folder)) - before
+    assert {x.split("-")[1] for x in left} <= {"sizes", "pieces", "plan", "ranked", "tokens", "encoded", "lengths"} and docs.count() > 0
