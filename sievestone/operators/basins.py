@@ -99,8 +99,9 @@ def flood(deep: DataFrame, markers: DataFrame, depth: str = "d2") -> DataFrame:
     forced = marked.join(first, ["run_id", "marker"]).select("run_id", "node", "_first")
     points = steepest(deep, depth).join(forced, ["run_id", "node"], "left").select("run_id", "node", F.coalesce("_first", "to").alias("to"))
     basin = followed(points)
+    pairs = cut(_pairs(deep, depth))
     ends = [basin.select("run_id", F.col("node").alias(c), F.col("to").alias(f"_{c}")) for c in "ab"]
-    passes = _pairs(deep, depth).join(ends[0], ["run_id", "a"]).join(ends[1], ["run_id", "b"]).where("_a != _b")
+    passes = pairs.join(ends[0], ["run_id", "a"]).join(ends[1], ["run_id", "b"]).where("_a != _b")
     low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
     passes = cut(passes.groupBy("run_id", low.alias("a"), high.alias("b")).agg(F.max(F.least("da", "db")).alias("depth")))
     held = basin.select("run_id", F.col("to").alias("basin")).distinct().join(first.select("run_id", F.col("_first").alias("basin"), "marker"), ["run_id", "basin"], "left")
@@ -185,8 +186,8 @@ def unevenness(colours: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 def colour_watershed(colours: DataFrame, markers: DataFrame, columns: tuple[str, ...] = ("c0", "c1", "c2")) -> DataFrame:
     """run_id, y, x and marker: markers flood what is open over the evenest colours; -1 where two of them meet."""
-    even = unevenness(colours, columns).select(*ROW, (-F.col("rise")).alias("d"))
-    flooded = cut(flood(even, markers.where("marker > 0"), "d"))
+    even = cut(unevenness(colours, columns).select(*ROW, (-F.col("rise")).alias("d")))
+    flooded = cut(flood(even, cut(markers.where("marker > 0")), "d"))
     steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0)))))
     moved = flooded.select("run_id", "y", "x", F.col("marker").alias("_m"), steps.alias("s")).select("run_id", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x"), "_m")
     apart = flooded.join(moved, list(ROW)).where("marker != _m").select(*ROW).distinct().withColumn("_edge", F.lit(True))

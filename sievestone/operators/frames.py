@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .links import cut
+
 ROW = ("run_id", "y", "x")
 
 
@@ -112,11 +114,11 @@ def erode(px: DataFrame, kernel: Sequence[int], times: int = 1) -> DataFrame:
 
 
 def opened(px: DataFrame, kernel: Sequence[int], times: int = 1) -> DataFrame:
-    return dilate(erode(px, kernel, times), kernel, times)
+    return cut(dilate(erode(px, kernel, times), kernel, times))
 
 
 def closed(px: DataFrame, kernel: Sequence[int], times: int = 1) -> DataFrame:
-    return erode(dilate(px, kernel, times), kernel, times)
+    return cut(erode(dilate(px, kernel, times), kernel, times))
 
 
 def cleanup(binary: DataFrame) -> DataFrame:

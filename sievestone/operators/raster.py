@@ -1,7 +1,8 @@
 """Pixel tables (run_id, y, x, v): thresholds, polarity, components, tiles and clusters.
 
-Everything with a relational form is one: histograms, border means and tile sums are aggregates.
-Neighbourhood operations that need an image as a whole run once per image in ``kernels``.
+Histograms, border means and tile sums are aggregates; neighbourhoods are frames over lines of an image
+(``frames``), components and watersheds tables of links (``links``, ``basins``).  Only the smoothing
+methods that no strategy uses, hulls of components, and the trace of one object's contour call ``kernels``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import frames, kernels, links
+from . import basins, frames, kernels, links
+from .order import ordinals
 
 
 def gray(b: Column, g: Column, r: Column) -> Column:
@@ -91,7 +93,7 @@ def filter_area(labels: DataFrame, low: int | Column, high: int | Column) -> Dat
     """Objects whose pixels number between the limits, relabelled 1, 2, ... in the order of their labels."""
     low, high = (F.lit(x) if isinstance(x, int) else x for x in (low, high))
     sizes = labels.where("label > 0").groupBy("run_id", "label").agg(F.count("*").alias("area")).where(F.col("area").between(low, high))
-    numbered = sizes.withColumn("new", F.row_number().over(Window.partitionBy("run_id").orderBy("label"))).select("run_id", "label", "new")
+    numbered = ordinals(sizes, ["run_id"], "label", "new").select("run_id", "label", (F.col("new") + 1).alias("new"))
     return labels.join(numbered, ["run_id", "label"], "left").select("run_id", "y", "x", F.coalesce("new", F.lit(0)).alias("label"))
 
 
@@ -134,22 +136,21 @@ def distance(binary: DataFrame) -> DataFrame:
 
 def watershed(binary: DataFrame, peak_share: float = 0.2) -> DataFrame:
     """Labels after separating objects that touch."""
-    return _per_image(binary, lambda image: kernels.watershed(image > 0, peak_share), "label")
+    return basins.watershed(binary, peak_share)
 
 
 def contours(labels: DataFrame) -> DataFrame:
-    """Vertex table of the outer contour of every labelled object."""
+    """Vertex table of the outer contour of every labelled object: a task holds one object, not its image."""
     kind = dict(labels.dtypes)["run_id"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((int(group["y"].max()) + 1, int(group["x"].max()) + 1), np.int64)
-        image[group["y"], group["x"]] = group["label"]
-        there = group[group["label"] > 0].groupby("label")
-        boxes = pd.concat([there[["y", "x"]].min(), there[["y", "x"]].max() + 1], axis=1).itertuples()
-        rows = [(k, n, x + left, y + top) for k, top, left, bottom, right in boxes for n, (x, y) in enumerate(kernels.outer_contour(image[top:bottom, left:right] == k))]
-        return pd.DataFrame(rows, columns=["label", "seq", "x", "y"]).assign(run_id=group["run_id"].iloc[0])[["run_id", "label", "seq", "x", "y"]]
+    def trace(group: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(group["y"].min()), int(group["x"].min())
+        on = np.zeros((int(group["y"].max()) - top + 1, int(group["x"].max()) - left + 1), bool)
+        on[group["y"] - top, group["x"] - left] = True
+        rows = [(n, x + left, y + top) for n, (x, y) in enumerate(kernels.outer_contour(on))]
+        return pd.DataFrame(rows, columns=["seq", "x", "y"]).assign(run_id=group["run_id"].iloc[0], label=group["label"].iloc[0])[["run_id", "label", "seq", "x", "y"]]
 
-    return labels.select("run_id", "y", "x", "label").groupBy("run_id").applyInPandas(run, f"run_id {kind}, label long, seq long, x long, y long")
+    return labels.where("label > 0").select("run_id", "label", "y", "x").groupBy("run_id", "label").applyInPandas(trace, f"run_id {kind}, label long, seq long, x long, y long")
 
 
 def threshold(pixels: DataFrame, method: str = "adaptive") -> DataFrame:
@@ -165,18 +166,19 @@ def threshold(pixels: DataFrame, method: str = "adaptive") -> DataFrame:
 
 
 def segment(pixels: DataFrame, separate: bool = True, method: str = "adaptive") -> DataFrame:
-    """Threshold, clean up, label and filter by area: a label table (the classical strategy)."""
-    binary = fill_holes(cleanup(threshold(pixels, method)))
-    labels = watershed(binary) if separate else components(binary)
-    size = pixels.groupBy("run_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    """Threshold, clean up, label, filter by area, part what touches and filter again: a label table (the classical strategy)."""
     low, high = area_limits(F.col("h"), F.col("w"))
-    limits = size.select("run_id", low.alias("low"), high.alias("high"))
-    return _filter_by_run(labels, limits)
+    limits = frames.sizes(pixels).select("run_id", low.alias("low"), high.alias("high"))
+    binary = links.cut(fill_holes(cleanup(threshold(pixels, method))))
+    labels = links.cut(_filter_by_run(components(binary), limits))
+    if not separate:
+        return labels
+    return _filter_by_run(watershed(labels.select("run_id", "y", "x", F.when(F.col("label") > 0, 255).otherwise(0).alias("v"))), limits)
 
 
 def _filter_by_run(labels: DataFrame, limits: DataFrame) -> DataFrame:
     sizes = areas(labels).join(limits, "run_id").where("area BETWEEN low AND high")
-    numbered = sizes.withColumn("new", F.row_number().over(Window.partitionBy("run_id").orderBy("label"))).select("run_id", "label", "new")
+    numbered = ordinals(sizes, ["run_id"], "label", "new").select("run_id", "label", (F.col("new") + 1).alias("new"))
     return labels.join(numbered, ["run_id", "label"], "left").select("run_id", "y", "x", F.coalesce("new", F.lit(0)).alias("label"))
 
 
@@ -204,7 +206,8 @@ def stitch_weighted(tiles: DataFrame, weight: Column) -> DataFrame:
 def test_time_views(pixels: DataFrame, size: DataFrame) -> DataFrame:
     """Nine turned and mirrored views of each image: run_id, view, y, x, v."""
     y, x, h, w = (F.col(c) for c in ("y", "x", "h", "w"))
-    places = [(y, x), (x, h - 1 - y), (h - 1 - y, w - 1 - x), (w - 1 - x, y), (y, w - 1 - x), (h - 1 - y, x), (x, y), (w - 1 - x, h - 1 - y), (y, x)]
+# turned to the left by 0 to 3 quarters, mirrored top to bottom and left to right, then turned by 1 to 3 quarters and mirrored top to bottom
+    places = [(y, x), (w - 1 - x, y), (h - 1 - y, w - 1 - x), (x, h - 1 - y), (h - 1 - y, x), (y, w - 1 - x), (x, y), (y, w - 1 - x), (w - 1 - x, h - 1 - y)]
     views = F.explode(F.array(*(F.struct(F.lit(k).alias("view"), a.cast("int").alias("y"), b.cast("int").alias("x")) for k, (a, b) in enumerate(places))))
     return pixels.join(size, "run_id").select("run_id", "v", views.alias("p")).select("run_id", "p.view", "p.y", "p.x", "v")
 
@@ -212,7 +215,7 @@ def test_time_views(pixels: DataFrame, size: DataFrame) -> DataFrame:
 def undo_views(views: DataFrame, size: DataFrame) -> DataFrame:
     """Pixels of the nine views back at their places in the image: run_id, view, y, x, v."""
     y, x, h, w = (F.col(c) for c in ("y", "x", "h", "w"))
-    back = [(y, x), (h - 1 - x, y), (h - 1 - y, w - 1 - x), (x, w - 1 - y), (y, w - 1 - x), (h - 1 - y, x), (x, y), (h - 1 - x, w - 1 - y), (y, x)]
+    back = [(y, x), (x, w - 1 - y), (h - 1 - y, w - 1 - x), (h - 1 - x, y), (h - 1 - y, x), (y, w - 1 - x), (x, y), (y, w - 1 - x), (h - 1 - x, w - 1 - y)]
     place = F.element_at(F.array(*(F.struct(a.cast("int").alias("y"), b.cast("int").alias("x")) for a, b in back)), F.col("view") + 1)
     return views.join(size, "run_id").select("run_id", "view", "v", place.alias("p")).select("run_id", "view", "p.y", "p.x", "v")
 

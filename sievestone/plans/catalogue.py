@@ -524,24 +524,3 @@ def strategy_cascade(spark, sf_dir):
 def kmeans_foreground(spark, sf_dir):
     rows = s.table(spark, sf_dir, "embeddings").select(F.lit(0).alias("run_id"), F.floor(F.col("vec_id") / 20).alias("y"), (F.col("vec_id") % 20).alias("x"), *(F.col("embedding")[k].cast("double").alias(f"c{k}") for k in range(3)))
     return raster.k_means_foreground(rows)
-
-
-@query()
-def adaptive_threshold(spark, sf_dir):
-    return raster.adaptive_threshold(s.raster(spark, sf_dir), 15, 2)
-
-
-@query()
-def morphology(spark, sf_dir):
-    return raster.fill_holes(raster.cleanup(raster.otsu(s.raster(spark, sf_dir))))
-
-
-@query()
-def watershed_segments(spark, sf_dir):
-    return raster.areas(raster.segment(s.raster(spark, sf_dir)))
-
-
-@query()
-def contour_measurements(spark, sf_dir):
-    made = geometry.measure(raster.contours(raster.segment(s.raster(spark, sf_dir))))
-    return rounded(made, *(c for c, kind in made.dtypes if kind == "double"))

@@ -90,7 +90,7 @@ def test_images_without_seeds_and_small_objects(spark):
 
 
 def test_marker_sets_and_colour_watershed(spark):
-    a = discs(60, 110, [(30, 24, 18), (30, 61, 18), (30, 95, 12)])
+    a = discs(60, 110, [(30, 18, 14), (30, 55, 14), (30, 92, 14)])
     df = image(spark, a)
     got = array(basins.marker_sets(df), "marker")
     clean = a
@@ -107,7 +107,7 @@ def test_marker_sets_and_colour_watershed(spark):
     colours = df.selectExpr("run_id", "y", "x", "double(v) AS c0", "double(v) AS c1", "double(x) / 1000 AS c2")
     flooded = array(basins.colour_watershed(colours, basins.marker_sets(df)), "marker")
     assert set(np.unique(flooded)) == {-1, 1, 2, 3, 4}
-    assert flooded[30, 24] == 2 and flooded[30, 61] == 3 and flooded[30, 95] == 4 and flooded[2, 2] == 1
+    assert flooded[30, 18] == 2 and flooded[30, 55] == 3 and flooded[30, 92] == 4 and flooded[2, 2] == 1
     assert abs((flooded > 1).sum() - (a > 0).sum()) < 0.25 * (a > 0).sum()
 
 
