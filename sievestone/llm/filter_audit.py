@@ -7,8 +7,8 @@ steps before tells which filters a cell has failed earlier, conditional sums ove
 step's figures, and a window over all orders and steps of a filter gives its share.
 
 The last filter asks for a text that a smaller identifier has.  Texts are compared by SHA-256: rows
-are first counted by identifier and text, then the least identifier of a text is joined to its
-counts by part and mask, of which a text has few however many copies there are.
+are first counted by identifier and text, then the least identifier of a text comes from its counts by
+part and labels, of which a text has few however many copies there are.
 
 Defined cases: a null text is empty, and equal to one; a null part is the empty string's; words,
 distinct words and characters are counted in whole texts of any length, one text at a time;
@@ -58,8 +58,8 @@ def cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     named = named.select("id", "part", "print", "mask", "n", flag("is_good"), flag("is_toxic"), F.col("id").isNull().alias("unnamed"))
     # of the rows of a text that agree in all else: how many, and how many of them have the least identifier
     held = named.groupBy("print", "part", "mask", "is_good", "is_toxic", "unnamed").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("first"), F.sum("n").alias("n"))
-    least = held.groupBy(F.col("print").alias("p")).agg(F.min("id").alias("least"))
-    held = held.join(least, F.col("print") == F.col("p"))
+    # a text has a row per part, and for each kind of labels, however many copies there are
+    held = held.withColumn("least", F.min("id").over(Window.partitionBy("print")))
     fresh = F.when(F.col("unnamed"), F.col("n")).when(F.col("id") == F.col("least"), F.col("first")).otherwise(0)
     kinds = F.explode(F.array(F.struct(F.col("mask").alias("mask"), fresh.alias("n")), F.struct((F.col("mask") + COPY).alias("mask"), (F.col("n") - fresh).alias("n"))))
     held = held.select("part", "is_good", "is_toxic", kinds.alias("c")).select("part", "c.mask", "c.n", "is_good", "is_toxic").where("n > 0")
