@@ -266,28 +266,3 @@ def first_with_objects(strategies: dict[str, DataFrame | None]) -> DataFrame:
         raise ValueError("no strategy is available")
     best = rows.groupBy("run_id").agg(F.coalesce(F.min(F.when(F.col("label") > 0, F.col("_k"))), F.max("_k")).alias("_best"))
     return rows.join(best, "run_id").where("_k = _best").drop("_k", "_best")
-
-
-def k_means_foreground(pixels: DataFrame, columns: tuple[str, ...] = ("c0", "c1", "c2"), seed: int = 1) -> DataFrame:
-    """Two colour clusters of one image table; the one rarer at the edges is foreground (255).
-
-    Ties go to the first cluster as background; if nothing or over nine tenths is foreground, the
-    cluster that is brighter in the last colour is taken.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    made = VectorAssembler(inputCols=list(columns), outputCol="_f").transform(pixels)
-    model = KMeans(k=2, seed=seed, maxIter=10, tol=1e-4, featuresCol="_f", predictionCol="cluster").fit(made)
-    placed = model.transform(made).drop("_f")
-    size = placed.groupBy("run_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    at_edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("my")) | (F.col("x") == F.col("mx"))
-    votes = placed.join(size, "run_id").groupBy("run_id").agg(
-        F.count_if(at_edge & (F.col("cluster") == 0)).alias("e0"), F.count_if(at_edge & (F.col("cluster") == 1)).alias("e1"), F.avg("cluster").alias("ones")
-    )
-    centres = model.clusterCenters()
-    brighter = int(len(centres) > 1 and centres[1][-1] > centres[0][-1])
-    front = F.when(F.col("e0") >= F.col("e1"), 1).otherwise(0)
-    share = F.when(front == 1, F.col("ones")).otherwise(1 - F.col("ones"))
-    votes = votes.select("run_id", F.when((share == 0) | (share > 0.9), brighter).otherwise(front).alias("front"))
-    return placed.join(votes, "run_id").select("run_id", "y", "x", F.when(F.col("cluster") == F.col("front"), 255).otherwise(0).alias("v"))

@@ -518,9 +518,3 @@ def strategy_cascade(spark, sf_dir):
     made = lambda test: px.withColumn("label", F.when(test, 1).otherwise(0))
     found = raster.first_with_objects({"model": None, "bright": made((F.col("run_id") < 2) & (F.col("v") > 170)), "all": made(F.col("v") > 100)})
     return found.where("label > 0").groupBy("run_id", "method").agg(F.count("*").alias("n"))
-
-
-@query()
-def kmeans_foreground(spark, sf_dir):
-    rows = s.table(spark, sf_dir, "embeddings").select(F.lit(0).alias("run_id"), F.floor(F.col("vec_id") / 20).alias("y"), (F.col("vec_id") % 20).alias("x"), *(F.col("embedding")[k].cast("double").alias(f"c{k}") for k in range(3)))
-    return raster.k_means_foreground(rows)

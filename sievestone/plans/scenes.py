@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.operators import frames, geometry, raster
+from sievestone.operators import colours, frames, geometry, raster
 from sievestone.sources import specimens as s
 
 from .catalogue import query, rounded
@@ -120,3 +120,62 @@ def watershed_segments(spark, sf_dir):
 def contour_measurements(spark, sf_dir):
     made = geometry.measure(raster.contours(_labels(spark, sf_dir)))
     return rounded(made, *(c for c, kind in made.dtypes if kind == "double"))
+
+
+#: Side of the reduced image, attempts and rounds of the clustering queries.
+SMALL, ATTEMPTS, ROUNDS = 96, 4, 10
+
+
+def _coloured(spark, sf_dir) -> DataFrame:
+    """Scenes as colour images: objects in warm colours on a bluish ground."""
+    warm = F.when(F.col("v") >= 150, 60).otherwise(-30)
+    return s.scenes(spark, sf_dir).select("run_id", "y", "x", (F.col("v") * 4 / 5).cast("long").alias("b"), "v", warm.alias("w")).select(
+        "run_id", "y", "x", "b", (F.col("v") * 9 / 10).cast("long").alias("g"), F.greatest(F.lit(0), F.least(F.lit(255), F.col("v") + F.col("w"))).cast("long").alias("r"))
+
+
+def _hsv_sql(source: str) -> str:
+    return f"""SELECT run_id, y, x, CASE WHEN h < 0 THEN h + 180 ELSE h END AS c0, CASE WHEN m = 0 THEN 0 ELSE floor(255.0::DOUBLE * d / m + 0.5)::BIGINT END AS c1, m AS c2 FROM (SELECT *, floor(CASE WHEN d = 0 THEN 0 WHEN m = r THEN 30.0::DOUBLE * (g - b) / d
+        WHEN m = g THEN 60 + 30.0::DOUBLE * (b - r) / d ELSE 120 + 30.0::DOUBLE * (r - g) / d END + 0.5)::BIGINT AS h FROM (SELECT *, greatest(b, g, r) AS m, greatest(b, g, r) - least(b, g, r) AS d FROM {source}))"""
+
+
+def _two_means_sql() -> str:
+    """Unrolled rounds: centres of every scene and attempt."""
+    far = lambda k: " + ".join(f"(c{j} - {k}{j}) * (c{j} - {k}{j})" for j in range(3))
+    b_near = f"({far('b')} < {far('a')})"
+    sums = ", ".join(f"sum(CASE WHEN {'' if k == 'b' else 'NOT '}{b_near} THEN {x} ELSE 0 END)::BIGINT AS {k}{name}" for k in "ab" for name, x in (("n", "n"), ("q", "n * (c0 * c0 + c1 * c1 + c2 * c2)"), *((f"s{j}", f"n * c{j}") for j in range(3))))
+    keys = "run_id, attempt, a0, a1, a2, b0, b1, b2, done"
+    new = ", ".join(f"CASE WHEN NOT done AND {k}n > 0 THEN {k}s{j}::DOUBLE / {k}n ELSE {k}{j} END AS n{k}{j}" for k in "ab" for j in range(3))
+    shift = lambda k: " + ".join(f"(n{k}{j} - {k}{j}) * (n{k}{j} - {k}{j})" for j in range(3))
+    start = ", ".join(f"arg_{'min' if k == 'a' else 'max'}(c{j}, h)::DOUBLE AS {k}{j}" for k in "ab" for j in range(3))
+    out = [f"r0 AS MATERIALIZED (SELECT run_id, attempt, {start}, false AS done FROM (SELECT *, md5(concat_ws(',', 1, attempt, c0, c1, c2)) AS h FROM (SELECT *, unnest(range({ATTEMPTS})) AS attempt FROM colour)) GROUP BY 1, 2)"]
+    for k in range(ROUNDS):
+        out.append(f"""r{k + 1} AS MATERIALIZED (SELECT run_id, attempt, {", ".join(f"n{c}{j} AS {c}{j}" for c in "ab" for j in range(3))}, done OR greatest({shift("a")}, {shift("b")}) <= 1 AS done
+            FROM (SELECT *, {new} FROM (SELECT {keys}, {sums} FROM colour JOIN r{k} USING (run_id) GROUP BY ALL)))""")
+    spread = lambda k: f"({k}q - 2 * ({k}0 * {k}s0 + {k}1 * {k}s1 + {k}2 * {k}s2) + {k}n * ({k}0 * {k}0 + {k}1 * {k}1 + {k}2 * {k}2))"
+    out.append(f"""best AS MATERIALIZED (SELECT run_id, a0, a1, a2, b0, b1, b2 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round({spread("a")} + {spread("b")}, 3), attempt) AS k
+        FROM (SELECT {keys}, {sums} FROM colour JOIN r{ROUNDS} USING (run_id) GROUP BY ALL)) WHERE k = 1)""")
+    return ", ".join(out)
+
+
+_COLOURED = "coloured AS (SELECT run_id, y, x, (v * 4 // 5)::BIGINT AS b, (v * 9 // 10)::BIGINT AS g, greatest(0, least(255, v + CASE WHEN v >= 150 THEN 60 ELSE -30 END))::BIGINT AS r FROM scene)"
+_SMALL = f"""little AS (SELECT run_id, y * {SMALL} // {s.SCENE} AS y, x * {SMALL} // {s.SCENE} AS x, {", ".join(f"(2 * sum({c}) + count(*))::BIGINT // (2 * count(*)) AS {c}" for c in "bgr")} FROM coloured GROUP BY 1, 2, 3),
+    small AS MATERIALIZED ({_hsv_sql("little")}), colour AS MATERIALIZED (SELECT run_id, c0, c1, c2, count(*) AS n FROM small GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH {s.SCENES_SQL}, {_COLOURED}, {_SMALL}, {_two_means_sql()} SELECT run_id, {', '.join(f'round({k}{j}, 6) AS {k}{j}' for k in 'ab' for j in range(3))} FROM best")
+def colour_centres(spark, sf_dir):
+    """The two colour centres of each scene, of the best of several attempts."""
+    made = colours.two_means(colours.in_hsv(colours.reduced(_coloured(spark, sf_dir), SMALL)), ATTEMPTS, ROUNDS)
+    return rounded(made, *colours.CENTRES, places=6)
+
+
+_FAR = {k: " + ".join(f"(c{j} - {k}{j}) * (c{j} - {k}{j})" for j in range(3)) for k in "ab"}
+
+
+@query(f"""WITH {s.SCENES_SQL}, {_COLOURED}, {_SMALL}, {_two_means_sql()}, vote AS (SELECT run_id, sum(CASE WHEN {_FAR["b"]} < {_FAR["a"]} THEN e ELSE 0 END) > sum(CASE WHEN {_FAR["b"]} < {_FAR["a"]} THEN 0 ELSE e END) AS first
+        FROM (SELECT *, (y = 0)::INT + (x = 0)::INT + (y = {SMALL - 1})::INT + (x = {SMALL - 1})::INT AS e FROM small) JOIN best USING (run_id) GROUP BY 1),
+    far AS (SELECT run_id, y, x, a2, b2, {_FAR["a"]} AS da, {_FAR["b"]} AS db FROM ({_hsv_sql("coloured")}) JOIN best USING (run_id)), cnt AS (SELECT run_id, count(*) AS n, count(*) FILTER (da < db) AS na, count(*) FILTER (db < da) AS nb FROM far GROUP BY 1),
+    pick AS (SELECT run_id, CASE WHEN (CASE WHEN first THEN na ELSE nb END) = 0 OR (CASE WHEN first THEN na ELSE nb END) > 0.9::DOUBLE * n THEN NULL ELSE first END AS first FROM cnt JOIN vote USING (run_id))
+    SELECT run_id, y, x, CASE WHEN (CASE WHEN coalesce(first, a2 > b2) THEN da < db ELSE db < da END) THEN 255 ELSE 0 END::BIGINT AS v FROM far JOIN pick USING (run_id)""")
+def kmeans_foreground(spark, sf_dir):
+    return colours.foreground(_coloured(spark, sf_dir), SMALL, ATTEMPTS)
