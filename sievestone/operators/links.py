@@ -5,25 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .order import ordinals
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the session's checkpoint folder, so that lineage, and what the planner knows of it, ends there.
-
-    In local mode a folder is made if there is none.
-    """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path in the session's checkpoint folder; in local mode one is made if there is none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the session's checkpoint folder, so that lineage, and what the planner knows of it, ends there."""
+    path = new_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def roots(links: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sievestone.functions.expr import Z975, circular_mean, circular_std
 from sievestone.operators import calibration, classification, geometry, grading, quality, raster, reporting, statistics
+from sievestone.operators.links import new_folder
 from sievestone.sources import specimens as s
+from sievestone.streaming import parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -236,6 +238,18 @@ def grade_final(spark, sf_dir):
     return made.select("run_id", "grade", "grade_key", F.size("criteria_results").alias("n_criteria"), (F.col("explanation") == grading.NOT_MET).alias("none_passed"), "explanation")
 
 
+@query(f"SELECT run_id, grade, grade_key, explanation FROM ({ORACLE_SQL['grade_final']})")
+def grade_in_parts(spark, sf_dir):
+    """Runs whose objects are spread over three batches of a stream."""
+    rows = s.parts(spark, sf_dir)
+    rows = rows.join(rows.groupBy("run_id").agg(F.count("*").alias("expected")), "run_id")
+    folder, files = new_folder(spark, "parts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(files, "label").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{folder}/in")
+    parts.grade_parts(stream, f"{folder}/store", f"{folder}/progress").awaitTermination()
+    return parts.grades(spark, f"{folder}/store")
+
+
 # -- reports and dashboards
 
 _UNIT = "label, round(area_mm2, 8) AS area_mm2, round(length_mm, 6) AS length_mm, round(width_mm, 6) AS width_mm"
