@@ -157,6 +157,21 @@ def fit_ellipse(p: np.ndarray) -> tuple[float, float, float] | None:
     return 2 * scale * math.sqrt(radii2.max()), 2 * scale * math.sqrt(radii2.min()), math.degrees(math.atan2(axes[1, k], axes[0, k])) % 180
 
 
+def greatest_distance(p: np.ndarray) -> float:
+    return max((float(np.hypot(*(p[k + 1 :] - p[k]).T).max()) for k in range(len(p) - 1)), default=0.0)
+
+
+def least_distance(p: np.ndarray) -> float:
+    """Between any two points, repeated ones among them: sorted by x, points as many places apart as can still be nearer."""
+    p, best = p[np.lexsort((p[:, 1], p[:, 0]))], math.inf
+    for k in range(1, len(p)):
+        d = p[k:] - p[:-k]
+        if d[:, 0].min() > best:
+            break
+        best = min(best, float(np.hypot(*d.T).min()))
+    return best if len(p) > 1 else 0.0
+
+
 def shape_of(p: np.ndarray) -> tuple[float, ...]:
     """Hull area and perimeter, rectangle, eccentricity, orientation, greatest and least width."""
     h = hull(p)
@@ -166,8 +181,7 @@ def shape_of(p: np.ndarray) -> tuple[float, ...]:
     if ellipse:
         long, short, turn = ellipse
         return shoelace(h), around, w, t, angle, math.sqrt(max(0.0, 1 - (short / long) ** 2)), turn, long, short
-    apart = np.hypot(*(h[:, None] - h[None]).transpose(2, 0, 1))[np.triu_indices(len(h), 1)] if len(h) > 1 else np.zeros(1)
-    return shoelace(h), around, w, t, angle, 0.0, angle % 180, float(apart.max()), float(apart.min())
+    return shoelace(h), around, w, t, angle, 0.0, angle % 180, greatest_distance(h), least_distance(p)
 
 
 SHAPE = ("hull_area_px", "hull_perimeter_px", "rot_rect_w_px", "rot_rect_h_px", "rot_rect_angle", "eccentricity", "orientation_angle", "feret_max_px", "feret_min_px")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,14 +175,16 @@ def latest(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max_by(F.struct(*runs.columns), "run_id").alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-def first_source(*sources: DataFrame) -> DataFrame:
-    """The rows of the first source that has any."""
-    ranked = None
-    for k, df in enumerate(sources):
-        part = df.withColumn("_source", F.lit(k))
-        ranked = part if ranked is None else ranked.unionByName(part)
-    least = ranked.agg(F.min("_source").alias("_least"))
-    return ranked.join(F.broadcast(least), F.col("_source") == F.col("_least")).drop("_source", "_least")
+def first_source(*sources: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """The rows of the first source that has any; those after it are neither read nor, if they are functions, made.
+
+    If none has rows, the last one.
+    """
+    for source in sources:
+        rows = source() if callable(source) else source
+        if not rows.isEmpty():
+            break
+    return rows
 
 
 def flatten_lists(rows: DataFrame, lists: dict[str, int]) -> DataFrame:

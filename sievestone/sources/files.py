@@ -10,10 +10,13 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievestone.functions.expr import finite
+from sievestone.operators import reporting
 
 _PX = ("area_px", "hull_area_px", "perimeter_px", "hull_perimeter_px", "length_px", "width_px", "major_axis_px", "minor_axis_px")
 #: Columns of a measurement file that are not doubles.
@@ -108,6 +111,33 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record") if "_corrupt_record" in rows.columns else rows
 
 
+def report(spark: SparkSession, path: str, run_id: str, schema: StructType | None = None) -> DataFrame:
+    """The report of one run in a store that ``write_json`` made; no row if there is none.
+
+    Only the run's own folder is read.  Without a schema that of the run's report is found out first.
+    """
+    name = run_id.rsplit("/", 1)[-1]  # an id names a run, not a path
+    if schema is None:
+        try:
+            schema = spark.read.option("basePath", path).json(f"{path}/run_id={name}").schema
+        except AnalysisException:
+            return spark.createDataFrame([], "run_id string")
+    typed = StructType([f for f in schema if f.name != "run_id"]).add("run_id", "string")
+    return spark.read.schema(typed).json(path).where(F.col("run_id") == name)
+
+
+def annotated(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Annotated images (run_id, image as a data URL) of all runs or of one, whose file alone is then read."""
+    glob = f"{run_id or '*'}_annotated.jpg"
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return rows.select(F.regexp_extract("path", r"([^/]+)_annotated\.jpg$", 1).alias("run_id"), data_url(F.col("content")).alias("annotated_preview"))
+
+
+def with_preview(documents: DataFrame, previews: DataFrame) -> DataFrame:
+    """Reports with ``annotated_preview``, null where a run has no image."""
+    return documents.join(previews.groupBy("run_id").agg(F.first("annotated_preview", ignorenulls=True).alias("annotated_preview")), "run_id", "left")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """Lists become one column for each place first (``reporting.flatten_lists``)."""
     rows.write.mode("overwrite").option("header", True).csv(path)
@@ -144,8 +174,6 @@ def save_calibration(calibration: DataFrame, path: str) -> None:
 
 def load_calibration(spark: SparkSession, path: str) -> DataFrame:
     """The stored calibration; 0 pixels per millimetre if there is none to be read."""
-    from pyspark.errors import AnalysisException
-
     try:
         rows = spark.read.schema("method string, pixels_per_mm double").json(path).where("pixels_per_mm IS NOT NULL")
     except AnalysisException:
@@ -185,5 +213,14 @@ def workbook(sheets: dict[str, DataFrame], most_rows: int = 100_000) -> bytes:
     return out.getvalue()
 
 
+def report_workbook(measured: DataFrame, described: DataFrame, quality: DataFrame, classes: DataFrame, graded: DataFrame, lists: dict[str, int] | None = None, most_rows: int = 100_000) -> bytes:
+    """The workbook of a run: measurements (lists by place, with the labels of ``classes``), statistics, quality and grade."""
+    flat = reporting.flatten_lists(measured, lists or {})
+    own = [c for c in classes.columns if c not in flat.columns]
+    sheets = {"Measurements": flat.join(classes.select("run_id", "label", *own), ["run_id", "label"], "left").orderBy("run_id", "label"), "Statistics": described, "Quality Metrics": quality, "Grading": graded}
+    # a cell holds one value: nested ones become JSON text
+    return workbook({k: df.select(*(F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes)) for k, df in sheets.items()}, most_rows)
+
+
 def data_url(content: Column, kind: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))

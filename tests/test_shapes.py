@@ -125,3 +125,14 @@ def test_tiles_cover_and_stitch(spark):
     assert np.array_equal(array(raster.stitch_weighted(tiles, F.lit(1.0)).withColumn("v", F.round("v"))), a)
     assert raster.tile_origins(spark.createDataFrame([(1, 10, 10)], "run_id long, h int, w int")).count() == 1
     assert raster.test_time_views(df, size).groupBy("view").count().count() == 9
+
+
+def test_widths_without_an_ellipse_are_of_all_points():
+    """Of points on a line the hull keeps two, the widths are of all: greatest 9, least 1."""
+    line = np.array([[0.0, 0], [4, 0], [5, 0], [9, 0]])
+    assert geometry.shape_of(line)[-2:] == (9.0, 1.0)
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 40):
+        p = rng.integers(0, 60, (n, 2)).astype(float)
+        d = [math.dist(a, b) for k, a in enumerate(p) for b in p[:k]]
+        assert (geometry.greatest_distance(p), geometry.least_distance(p)) == pytest.approx((max(d, default=0.0), min(d, default=0.0)))

@@ -4,6 +4,7 @@ import struct
 import zipfile
 import zlib
 
+from sievestone.operators import reporting
 from sievestone.sources import files
 from sievestone.streaming.ingest import event_windows, grade_arrivals
 
@@ -63,3 +64,36 @@ def test_stream(spark, tmp_path):
     got = {r.run_id: r.grade for r in spark.read.parquet(f"{tmp_path}/out/part=0", f"{tmp_path}/out/part=1").collect()}
     assert got == {"r1": "Premium", "r2": "Reject"}
     assert event_windows(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).count() > 0
+
+
+def test_report_of_one_run_reads_its_partition(spark, tmp_path):
+    rows = spark.createDataFrame([("run_1", 1.5), ("run_2", 2.5)], "run_id string, x double")
+    store, shots = str(tmp_path / "store"), tmp_path / "shots"
+    files.write_json(rows, store)
+    one = files.report(spark, store, "../run_2")
+    assert [(r.run_id, r.x) for r in one.collect()] == [("run_2", 2.5)] and files.report(spark, store, "run_9").count() == 0
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "run_2" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert files.report(spark, store, "run_9", rows.schema).count() == 0
+    shots.mkdir()
+    (shots / "run_2_annotated.jpg").write_bytes(b"abc")
+    (shots / "run_1_annotated.png").write_bytes(b"no")
+    got = files.with_preview(files.reports(spark, store), files.annotated(spark, str(shots))).orderBy("run_id").collect()
+    assert [r.annotated_preview for r in got] == [None, "data:image/jpeg;base64,YWJj"]
+    assert files.annotated(spark, str(shots), "run_1").count() == 0 and files.annotated(spark, str(shots), "run_2").count() == 1
+
+
+def test_later_sources_are_not_made(spark):
+    full, empty = spark.range(3), spark.range(0)
+    assert reporting.first_source(empty, lambda: full, lambda: 1 / 0).count() == 3
+    assert reporting.first_source(empty, lambda: empty).count() == 0
+
+
+def test_report_workbook(spark):
+    grains = spark.createDataFrame([("r", 1, [1.0, 2.0]), ("r", 2, [3.0, 4.0])], "run_id string, label int, hu array<double>")
+    classes = spark.createDataFrame([("r", 1, ["whole_grain"], "whole_grain")], "run_id string, label int, categories array<string>, primary_category string")
+    one = spark.createDataFrame([("r", 5.0)], "run_id string, value double")
+    with zipfile.ZipFile(io.BytesIO(files.report_workbook(grains, one, one, classes, one, {"hu": 2}))) as z:
+        names, first = z.read("xl/workbook.xml").decode(), z.read("xl/worksheets/sheet1.xml").decode()
+    assert all(f'name="{n}"' in names for n in ("Measurements", "Statistics", "Quality Metrics", "Grading"))
+    assert "hu_1" in first and "primary_category" in first and "[&quot;whole_grain&quot;]" in first.replace('["whole_grain"]', "[&quot;whole_grain&quot;]") and first.count("<row>") == 3
