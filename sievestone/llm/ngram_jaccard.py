@@ -156,7 +156,7 @@ def packed_sets(docs: DataFrame, words: int) -> DataFrame:
             packed = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, at, pa.py_buffer(high.tobytes())])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), packed], names=["doc_id", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(t.giving_back(run), "doc_id long, keys binary")
 
 
 def _unpacked_set(keys: bytes) -> np.ndarray:
@@ -176,7 +176,7 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
             columns = [pa.array(x) for x in (np.diff(bounds), *_prints(bounds, keys))]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], names=["doc_id", "n", "print_1", "print_2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_1 long, print_2 long")
+    return docs.select("doc_id", "text").mapInArrow(t.giving_back(run), "doc_id long, n long, print_1 long, print_2 long")
 
 
 def set_parts(docs: DataFrame, words: int) -> DataFrame:
@@ -189,7 +189,7 @@ def set_parts(docs: DataFrame, words: int) -> DataFrame:
             counts = np.bincount(part, minlength=rows.num_rows * PARTS).astype("<u4").reshape(-1, PARTS)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["doc_id", "parts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, parts binary")
+    return docs.select("doc_id", "text").mapInArrow(t.giving_back(run), "doc_id long, parts binary")
 
 
 def _prints(bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -229,7 +229,7 @@ def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
                 held, size = [], 0
         yield from _dealt(held, buckets, pack)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(t.giving_back(run), "bucket long, packed binary")
 
 
 def _tied(rows: np.ndarray) -> np.ndarray:
@@ -316,7 +316,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
     rows = sets.join(asked, F.col("doc_id") == F.col("b")).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "keys")
-    linked = written(rows.select("a", "kind", "b", "keys").mapInArrow(run, "a long, b long"), "linked")
+    linked = written(rows.select("a", "kind", "b", "keys").mapInArrow(t.giving_back(run), "a long, b long"), "linked")
     dropped(asked, ids)
     return linked
 
@@ -388,7 +388,7 @@ def _met(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc[k])), pa.array(doc[at])], names=["a", "b"])
 
     dealt = members.repartition("token", "block", "other").sortWithinPartitions("token", "block", "other")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(t.giving_back(run), "a long, b long").distinct()
 
 
 def _of_documents(pairs: DataFrame, components: DataFrame) -> DataFrame:

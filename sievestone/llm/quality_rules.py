@@ -121,7 +121,7 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names[:3]), *(x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in made.values())], names=names)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
-    return picked.mapInArrow(run, _PROFILE)
+    return picked.mapInArrow(t.giving_back(run), _PROFILE)
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float, min_words_left: int, min_share_left: float) -> DataFrame:
@@ -202,7 +202,7 @@ def keep_good(docs: DataFrame, min_docs: int = 50, max_share: float = 0.02) -> D
 
     own = [F.col(f"`{c}`") for c in docs.columns]
     left = docs.join(changed, same, "left").where(F.coalesce(kept, F.lit(True))).select(*own, F.col(gone).isNotNull().alias(lost), gone)
-    out = left.mapInArrow(run, left.select(*own, lost).schema)
+    out = left.mapInArrow(t.giving_back(run), left.select(*own, lost).schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(lost), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.drop(lost)

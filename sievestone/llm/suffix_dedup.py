@@ -206,7 +206,7 @@ def _strings(docs: DataFrame, splitters: np.ndarray, span: int, lead: int) -> Da
         if held:
             yield from dealt()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, doc_id long, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(t.giving_back(run), "bucket long, doc_id long, packed binary")
 
 
 def _compared(strings: DataFrame, span: int, lead: int, buckets: int) -> DataFrame:
@@ -294,7 +294,7 @@ def _splitters(docs: DataFrame, buckets: int, rows: int, lead: int, span: int) -
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
 
     some = docs.sample(min(1.0, SAMPLE / max(rows, 1)), seed=7).select("text").limit(2 * SAMPLE)
-    tokens = np.sort(np.array([r.token for r in some.mapInArrow(run, "token long").collect()], np.int64).view(np.uint64))
+    tokens = np.sort(np.array([r.token for r in some.mapInArrow(t.giving_back(run), "token long").collect()], np.int64).view(np.uint64))
     return np.unique(tokens[np.linspace(0, len(tokens) - 1, buckets + 1).astype(int)[1:-1]]) if len(tokens) else np.zeros(0, np.uint64)
 
 
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    made = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    made = joined.mapInArrow(t.giving_back(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return made if with_text else made.drop("kept")
 
 
