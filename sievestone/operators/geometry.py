@@ -1,17 +1,19 @@
 """Shape features of polygons.
 
 A vertex table (run_id, label, seq, x, y) holds closed contours.  Area, perimeter, moments and
-bounding boxes are aggregates over its edges; hull, smallest rectangle, ellipse and widths, which
-need a contour as a whole, are computed in Arrow batches from one array of points per object.
+bounding boxes are aggregates over its edges, ellipses come from sums of powers over blocks, and hulls
+are made of hulls of batches; only what is left of a hull is held by one task.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,21 +92,59 @@ def radial_moments(pixels: DataFrame, order: int = 4) -> DataFrame:
     return made.select(*KEYS, *((F.col(f"r{n}") / F.pow(most, F.lit(n))).alias(f"zernike_moments_{n}") for n in range(order + 1)))
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, anticlockwise (monotone chain)."""
-    p = np.unique(points, axis=0)
+def _each(batch: pa.RecordBatch, work) -> pa.RecordBatch | None:
+    """The rows of a batch whose places ``work`` picks from the points of each object in it."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for k in KEYS:
+        part = batch.column(k).dictionary_encode("encode")
+        codes = codes * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    points = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xy"], 1)
+    groups = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
+    return batch.take(pa.array(np.concatenate([g[work(points[g])] for g in groups]))) if batch.num_rows else None
+
+
+def hull_places(points: np.ndarray) -> np.ndarray:
+    """Places in ``points`` of the corners of the convex hull, anticlockwise (monotone chain)."""
+    p, at = np.unique(points, axis=0, return_index=True)
+    # of points of one column only the outer two can be corners
+    new = np.flatnonzero(np.diff(p[:, 0])) + 1
+    ends = np.unique(np.r_[0, new, new - 1, len(p) - 1])
+    p, at = p[ends], at[ends]
     if len(p) < 3:
-        return p
+        return at
     turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    out: list[np.ndarray] = []
-    for walk in (p, p[::-1]):
-        part: list[np.ndarray] = []
+    rows, out = p.tolist(), []
+    for walk in (range(len(rows)), range(len(rows) - 1, -1, -1)):
+        part: list[int] = []
         for q in walk:
-            while len(part) > 1 and turn(part[-2], part[-1], q) <= 0:
+            while len(part) > 1 and turn(rows[part[-2]], rows[part[-1]], rows[q]) <= 0:
                 part.pop()
             part.append(q)
         out += part[:-1]
-    return np.array(out)
+    return at[out]
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, anticlockwise."""
+    return points[hull_places(points)]
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _each(batch, hull_places)
+
+
+def hull_points(points: DataFrame, parts: int = 16) -> DataFrame:
+    """The points of each object that can be corners of its hull: run_id, label, x, y.
+
+    Hulls merge, so every batch gives only the hull of the points it holds before anything is shuffled;
+    what is left of an object is merged by ``parts`` tasks, again in batches.  No task holds an object's points.
+    """
+    p = points.select(*KEYS, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    dealt = p.mapInArrow(_combine, p.schema).repartition(*KEYS, F.pmod(F.xxhash64("x", "y"), F.lit(parts)))
+    return dealt.sortWithinPartitions(*KEYS).mapInArrow(_combine, p.schema)
 
 
 def shoelace(p: np.ndarray) -> float:
@@ -112,92 +152,183 @@ def shoelace(p: np.ndarray) -> float:
 
 
 def smallest_rectangle(p: np.ndarray) -> tuple[float, float, float]:
-    """Sides and angle in degrees of the rectangle of least area around hull corners."""
+    """Sides and angle in degrees of the rectangle of least area around hull corners.
+
+    The first side runs along the angle, which is at least -90 and under 0; of equal areas the least angle counts.
+    """
     if len(p) < 2:
-        return 0.0, 0.0, 0.0
-    best = (math.inf, 0.0, 0.0, 0.0)
+        return 0.0, 0.0, -90.0
+    found = []
     for a, b in zip(p, np.roll(p, -1, 0)):
         d = (b - a) / max(math.hypot(*(b - a)), 1e-300)
-        u, v = p @ d, p @ np.array([-d[1], d[0]])
-        w, h = float(np.ptp(u)), float(np.ptp(v))
-        if w * h < best[0] - 1e-12:
-            best = (w * h, w, h, math.degrees(math.atan2(d[1], d[0])) % 90)
-    return best[1:]
+        w, h = float(np.ptp(p @ d)), float(np.ptp(p @ np.array([-d[1], d[0]])))
+        turn = round(math.degrees(math.atan2(d[1], d[0])), 9)
+        quarters = math.floor(turn / 90) + 1
+        found.append((round(w * h, 6), round(turn - 90 * quarters, 6), turn, turn - 90 * quarters, *((h, w) if quarters % 2 else (w, h))))
+    angle, w, h = min(found)[3:]
+    return w, h, angle
+
+
+#: Exponents of the sums that an ellipse is fitted from.
+POWERS = [(i, j) for i in range(5) for j in range(5 - i)]
+_TERMS = ((2, 0), (1, 1), (0, 2), (1, 0), (0, 1), (0, 0))
+_SUMS = np.array([[POWERS.index((a[0] + b[0], a[1] + b[1])) for b in _TERMS] for a in _TERMS])
+#: Objects whose points lie on a line but for this share of their extent squared have no ellipse.
+FLAT = 1e-12
+
+
+def fit_ellipses(sums: np.ndarray) -> np.ndarray:
+    """Axes (longer first) and angle of the longer in degrees of many objects by direct least squares; NaN if there is none.
+
+    ``sums`` holds for each object the sums of x ** i * y ** j, (i, j) as in ``POWERS``, about the centre.
+    """
+    full = sums[:, _SUMS]
+    n, good = full[:, 5, 5], full[:, 5, 5] >= 5
+    s1, s2, s3 = full[:, :3, :3], full[:, :3, 3:], full[:, 3:, 3:]
+    good &= np.linalg.det(s3) > FLAT * n**3
+    t = -np.linalg.solve(np.where(good[:, None, None], s3, np.eye(3)), s2.transpose(0, 2, 1))
+    m = np.array([[0, 0, 0.5], [0, -1, 0], [0.5, 0, 0]]) @ (s1 + s2 @ t)
+    vectors = np.real(np.linalg.eig(np.where(good[:, None, None], m, np.eye(3)))[1])
+    positive = 4 * vectors[:, 0] * vectors[:, 2] - vectors[:, 1] ** 2
+    best = positive.argmax(1)
+    each = np.arange(len(sums))
+    good &= positive[each, best] > 0
+    v = vectors[each, :, best]
+    quad = np.where(good[:, None, None], np.stack([v[:, 0], v[:, 1] / 2, v[:, 1] / 2, v[:, 2]], 1).reshape(-1, 2, 2), np.eye(2))
+    rest = np.einsum("kij,kj->ki", t, v)
+    mid = -np.linalg.solve(2 * quad, rest[:, :2, None])[:, :, 0]
+    level = np.einsum("ki,kij,kj->k", mid, quad, mid) - rest[:, 2]
+    values, axes = np.linalg.eigh(quad)
+    radii = level[:, None] / values
+    good &= (radii > 0).all(1)
+    long = axes[each, :, radii.argmax(1)]
+    made = np.stack([2 * np.sqrt(np.abs(radii.max(1))), 2 * np.sqrt(np.abs(radii.min(1))), np.degrees(np.arctan2(long[:, 1], long[:, 0])) % 180], 1)
+    made[~good] = np.nan
+    return made
 
 
 def fit_ellipse(p: np.ndarray) -> tuple[float, float, float] | None:
-    """Axes (longer first) and angle of the longer in degrees, by direct least squares; None if there is none."""
-    if len(p) < 5:
-        return None
-    centre = p.mean(0)
-    q = p - centre
+    """``fit_ellipses`` of one object's points."""
+    q = p - p.mean(0)
     scale = float(np.abs(q).max()) or 1.0
     x, y = (q / scale).T
-    d1, d2 = np.stack([x * x, x * y, y * y], 1), np.stack([x, y, np.ones_like(x)], 1)
-    s1, s2, s3 = d1.T @ d1, d1.T @ d2, d2.T @ d2
-    try:
-        t = -np.linalg.solve(s3, s2.T)
-        m = np.linalg.solve(np.array([[0, 0, 2.0], [0, -1, 0], [2, 0, 0]]), s1 + s2 @ t)
-        vectors = np.real(np.linalg.eig(m)[1])
-    except np.linalg.LinAlgError:
-        return None
-    good = np.flatnonzero(4 * vectors[0] * vectors[2] - vectors[1] ** 2 > 0)
-    if not len(good):
-        return None
-    a, b, c = vectors[:, good[0]]
-    d, e, f = t @ vectors[:, good[0]]
-    quad = np.array([[a, b / 2], [b / 2, c]])
-    mid = -np.linalg.solve(2 * quad, np.array([d, e]))
-    level = mid @ quad @ mid - f
-    values, axes = np.linalg.eigh(quad)
-    radii2 = level / values
-    if not np.all(radii2 > 0):
-        return None
-    k = int(np.argmax(radii2))
-    return 2 * scale * math.sqrt(radii2.max()), 2 * scale * math.sqrt(radii2.min()), math.degrees(math.atan2(axes[1, k], axes[0, k])) % 180
+    long, short, angle = fit_ellipses(np.array([[(x**i * y**j).sum() for i, j in POWERS]]))[0]
+    return None if math.isnan(long) else (scale * long, scale * short, angle)
+
+
+#: Side of the blocks that powers of coordinates are summed in.
+BLOCK = 256
+
+
+def power_sums(points: DataFrame) -> DataFrame:
+    """Of each object its scale and the sums of ``POWERS`` over its points, about their centre and divided by the scale: p0 to p14.
+
+    Sums are made about the corner of blocks, so that an object of any size is summed by many tasks and whole
+    coordinates stay exact; the blocks of an object, not its points, are then moved to its centre.
+    """
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    p = points.where("x IS NOT NULL AND y IS NOT NULL").select(*KEYS, x.alias("x"), y.alias("y"), (F.floor(x / BLOCK) * BLOCK).cast("double").alias("ox"), (F.floor(y / BLOCK) * BLOCK).cast("double").alias("oy"))
+    power = lambda of, k: reduce(operator.mul, [of] * k, F.lit(1.0))
+    sums = [F.sum(power(F.col("x") - F.col("ox"), i) * power(F.col("y") - F.col("oy"), j)).alias(f"b{k}") for k, (i, j) in enumerate(POWERS)]
+    blocks = p.groupBy(*KEYS, "ox", "oy").agg(*sums, *(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))))
+    b = {power: F.col(f"b{k}") for k, power in enumerate(POWERS)}
+    n = F.sum(b[0, 0])
+    whole = blocks.groupBy(*KEYS).agg((F.sum(b[1, 0] + F.col("ox") * b[0, 0]) / n).alias("cx"), (F.sum(b[0, 1] + F.col("oy") * b[0, 0]) / n).alias("cy"), *(f(f"{n}{c}").alias(f"{n}{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))))
+    scale = F.greatest(*(F.col(f"max{c}") - F.col(f"c{c}") for c in "xy"), *(F.col(f"c{c}") - F.col(f"min{c}") for c in "xy"))
+    whole = whole.select(*KEYS, "cx", "cy", F.when(scale > 0, scale).otherwise(1.0).alias("scale"))
+    moved = blocks.join(whole, KEYS).withColumns({"dx": F.col("ox") - F.col("cx"), "dy": F.col("oy") - F.col("cy")})
+    dx, dy = F.col("dx"), F.col("dy")
+    terms = [reduce(operator.add, (math.comb(i, a) * math.comb(j, c) * power(dx, i - a) * power(dy, j - c) * b[a, c] for a in range(i + 1) for c in range(j + 1))) for i, j in POWERS]
+    return moved.groupBy(*KEYS, "scale").agg(*((F.sum(t) / power(F.col("scale"), i + j)).alias(f"p{k}") for k, ((i, j), t) in enumerate(zip(POWERS, terms))))
+
+
+def ellipses(points: DataFrame) -> DataFrame:
+    """Ellipse of each object: run_id, label, long, short (axes) and turn (angle of the longer), null if there is none."""
+    sums = power_sums(points)
+    kinds = dict(sums.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fit_ellipses(np.stack([batch.column(f"p{k}").to_numpy(zero_copy_only=False) for k in range(len(POWERS))], 1))
+            scale = batch.column("scale").to_numpy(zero_copy_only=False)
+            columns = [pa.array(c, from_pandas=True) for c in (made[:, 0] * scale, made[:, 1] * scale, made[:, 2])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), *columns], names=[*KEYS, "long", "short", "turn"])
+
+    return sums.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", long double, short double, turn double")
 
 
 def greatest_distance(p: np.ndarray) -> float:
     return max((float(np.hypot(*(p[k + 1 :] - p[k]).T).max()) for k in range(len(p) - 1)), default=0.0)
 
 
-def least_distance(p: np.ndarray) -> float:
-    """Between any two points, repeated ones among them: sorted by x, points as many places apart as can still be nearer."""
-    p, best = p[np.lexsort((p[:, 1], p[:, 0]))], math.inf
-    for k in range(1, len(p)):
-        d = p[k:] - p[:-k]
-        if d[:, 0].min() > best:
-            break
-        best = min(best, float(np.hypot(*d.T).min()))
-    return best if len(p) > 1 else 0.0
+HULL = ("hull_area_px", "hull_perimeter_px", "rot_rect_w_px", "rot_rect_h_px", "rot_rect_angle", "widest")
+
+
+def hull_shapes(points: DataFrame) -> DataFrame:
+    """Area and perimeter of each object's hull, its smallest rectangle and greatest width: ``HULL``; a task holds a hull."""
+    corners = hull_points(points)
+    kinds = dict(corners.dtypes)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h = hull(np.stack([table.column(c).to_numpy() for c in "xy"], 1))
+        around = float(np.hypot(*(np.roll(h, -1, 0) - h).T).sum()) if len(h) > 1 else 0.0
+        row = (shoelace(h), around, *smallest_rectangle(h), greatest_distance(h))
+        return pa.table([*(table.column(k).slice(0, 1) for k in KEYS), *([v] for v in row)], names=[*KEYS, *HULL])
+
+    return corners.groupBy(*KEYS).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", " + ", ".join(f"{c} double" for c in HULL))
 
 
-def shape_of(p: np.ndarray) -> tuple[float, ...]:
-    """Hull area and perimeter, rectangle, eccentricity, orientation, greatest and least width."""
-    h = hull(p)
-    w, t, angle = smallest_rectangle(h)
-    around = float(np.hypot(*(np.roll(h, -1, 0) - h).T).sum()) if len(h) > 1 else 0.0
-    ellipse = fit_ellipse(p)
-    if ellipse:
-        long, short, turn = ellipse
-        return shoelace(h), around, w, t, angle, math.sqrt(max(0.0, 1 - (short / long) ** 2)), turn, long, short
-    return shoelace(h), around, w, t, angle, 0.0, angle % 180, greatest_distance(h), least_distance(p)
+def least_distances(points: DataFrame) -> DataFrame:
+    """Least distance between two points of each object, repeated ones among them, 0 of a single one: run_id, label, nearest.
+
+    Neighbours in the orders by x and by y bound it; points nearer than that share a cell of the bound's size or lie in
+    neighbouring ones.
+    """
+    p = points.where("x IS NOT NULL AND y IS NOT NULL").select(*KEYS, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    steps = [F.hypot(*(F.lead(c).over(Window.partitionBy(*KEYS).orderBy(*order, "seq")) - F.col(c) for c in "xy")) for order in ("xy", "yx")]
+    bound = p.select(*KEYS, F.least(*steps).alias("d")).groupBy(*KEYS).agg(F.coalesce(F.min("d"), F.lit(0.0)).alias("bound"))
+    placed = p.join(bound.where("bound > 0"), KEYS).withColumns({f"g{c}": F.floor(F.col(c) / F.col("bound")) for c in "xy"})
+    near = F.explode(F.array(*(F.struct((F.col("gx") + a).alias("gx"), (F.col("gy") + b).alias("gy"), F.lit(a != 0 or b != 0).alias("other")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)))))
+    far = placed.select(*KEYS, near.alias("g"), F.col("seq").alias("seq2"), F.col("x").alias("x2"), F.col("y").alias("y2")).select(*KEYS, "g.*", "seq2", "x2", "y2")
+    pairs = placed.join(far, [*KEYS, "gx", "gy"]).where("other OR seq < seq2").groupBy(*KEYS).agg(F.min(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).alias("d"))
+    return bound.join(pairs, KEYS, "left").select(*KEYS, F.least("bound", "d").alias("nearest"))
 
 
 SHAPE = ("hull_area_px", "hull_perimeter_px", "rot_rect_w_px", "rot_rect_h_px", "rot_rect_angle", "eccentricity", "orientation_angle", "feret_max_px", "feret_min_px")
 
 
 def whole_shapes(vertices: DataFrame) -> DataFrame:
-    """The features in ``SHAPE`` of each object, from its points as one array."""
-    points = vertices.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))).alias("points"))
+    """The features in ``SHAPE`` of each object.
+
+    Widths are the axes of the ellipse, and the orientation is that of its shorter one; without an ellipse they are the
+    greatest and least distance of two points and the rectangle's angle.
+    """
+    found = ellipses(vertices)
+    flat = vertices.join(found.where("long IS NULL").select(*KEYS), KEYS, "left_semi")
+    made = hull_shapes(vertices).join(found, KEYS).join(least_distances(flat), KEYS, "left")
+    ratio = F.col("short") / F.col("long")
+    return made.select(
+        *KEYS, *HULL[:-1], F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 1 - ratio * ratio)), F.lit(0.0)).alias("eccentricity"),
+        F.pmod(F.coalesce(F.col("turn") + 90, "rot_rect_angle"), F.lit(180.0)).alias("orientation_angle"), F.coalesce("long", "widest").alias("feret_max_px"), F.coalesce("short", "nearest").alias("feret_min_px"),
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [shape_of(np.array([list(q) for q in p])) for p in batch["points"]]
-            yield pd.concat([batch[KEYS], pd.DataFrame(rows, columns=list(SHAPE), index=batch.index, dtype=float)], axis=1)
 
-    kinds = dict(points.dtypes)
-    return points.mapInPandas(run, f"run_id {kinds['run_id']}, label {kinds['label']}, " + ", ".join(f"{c} double" for c in SHAPE))
+def hull_fill(objects: DataFrame) -> DataFrame:
+    """Pixels inside the hull of each object of pixels (run_id, label, y, x): run_id, label, y, x; lines of a hull's rows, no whole image."""
+    corners = hull_points(objects)
+    kinds = dict(corners.dtypes)
+
+    def sides(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h = hull(np.stack([table.column(c).to_numpy() for c in "xy"], 1))
+        to = np.roll(h, -1, 0)
+        return pa.table([pa.array([k.as_py()] * len(h), k.type) for k in key] + [pa.array(c) for c in (h[:, 0], h[:, 1], to[:, 0], to[:, 1])], names=[*KEYS, "x", "y", "x2", "y2"])
+
+    edges = corners.groupBy(*KEYS).applyInArrow(sides, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", x double, y double, x2 double, y2 double")
+    met = edges.select("*", F.explode(F.sequence(F.least("y", "y2").cast("long"), F.greatest("y", "y2").cast("long"))).alias("row"))
+    # a side along a row gives both its ends, once from each direction or from its neighbours
+    at = F.when(F.col("y") == F.col("y2"), F.col("x")).otherwise(F.col("x") + (F.col("x2") - F.col("x")) * (F.col("row") - F.col("y")) / (F.col("y2") - F.col("y")))
+    rows = met.groupBy(*KEYS, F.col("row").alias("y")).agg(F.ceil(F.min(at) - 1e-9).alias("a"), F.floor(F.max(at) + 1e-9).alias("b")).where("a <= b")
+    return rows.select(*KEYS, "y", F.explode(F.sequence("a", "b")).alias("x"))
 
 
 def measure(vertices: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import basins, frames, kernels, links
+from . import basins, frames, geometry, kernels, links
 from .order import ordinals
 
 
@@ -126,7 +126,9 @@ def fill_holes(binary: DataFrame) -> DataFrame:
 
 
 def hull_fill(binary: DataFrame) -> DataFrame:
-    return _per_image(binary, kernels.hull_fill)
+    """Every component's convex hull."""
+    filled = geometry.hull_fill(components(binary).where("label > 0")).select("run_id", "y", "x", F.lit(255).alias("_in")).distinct()
+    return binary.join(filled, ["run_id", "y", "x"], "left").select("run_id", "y", "x", F.coalesce("_in", F.when(F.col("v") > 0, 255).otherwise(0)).cast("long").alias("v"))
 
 
 def distance(binary: DataFrame) -> DataFrame:

@@ -456,7 +456,38 @@ def radial_moments(spark, sf_dir):
     return rounded(geometry.radial_moments(px), *(f"zernike_moments_{n}" for n in range(5)), places=6)
 
 
-@query()
+_TWO = [(i, j) for i in range(5) for j in range(5 - i)]
+_m = lambda *p: "s" + "".join(str(k) for k in map(sum, zip(*p)))
+_QUAD, _LINE = ((2, 0), (1, 1), (0, 2)), ((1, 0), (0, 1), (0, 0))
+# about the centre the linear terms only meet each other: t = -(s3 inverse)(s2 transposed), row by row
+_T = [[f"-(s02 * {_m(q, (1, 0))} - s11 * {_m(q, (0, 1))}) / (s20 * s02 - s11 * s11)" for q in _QUAD], [f"-(s20 * {_m(q, (0, 1))} - s11 * {_m(q, (1, 0))}) / (s20 * s02 - s11 * s11)" for q in _QUAD], [f"-{_m(q, (0, 0))} / s00" for q in _QUAD]]
+_A = [[f"{_m(p, q)} + " + " + ".join(f"{_m(p, r)} * t{k}{j}" for k, r in enumerate(_LINE)) for j, q in enumerate(_QUAD)] for p in _QUAD]
+_cross = lambda i, j: [f"(m{i}1 * m{j}2 - m{i}2 * m{j}1)", f"(m{i}2 * m{j}0 - m{i}0 * m{j}2)", f"(m{i}0 * m{j}1 - m{i}1 * m{j}0)"]
+# the cubic of a matrix of three rows has one positive root, the greatest; the vector stands on two rows of the matrix less the root
+_ELLIPSE_SQL = f"""mid AS (SELECT run_id, label, avg(x) AS cx, avg(y) AS cy, greatest(max(x) - avg(x), avg(x) - min(x), max(y) - avg(y), avg(y) - min(y)) AS scale FROM poly GROUP BY 1, 2),
+    sums AS (SELECT run_id, label, scale, {", ".join(f"sum(u ** {i} * v ** {j}) AS s{i}{j}" for i, j in _TWO)} FROM (SELECT run_id, label, scale, (x - cx) / scale AS u, (y - cy) / scale AS v FROM poly JOIN mid USING (run_id, label)) GROUP BY 1, 2, 3),
+    t AS (SELECT *, {", ".join(f"{_T[k][j]} AS t{k}{j}" for k in range(3) for j in range(3))} FROM sums WHERE s00 >= 5 AND (s20 * s02 - s11 * s11) / (s00 * s00) > 1e-12),
+    m AS (SELECT *, {", ".join(f"({_A[2][j]}) / 2 AS m0{j}, -({_A[1][j]}) AS m1{j}, ({_A[0][j]}) / 2 AS m2{j}" for j in range(3))} FROM t),
+    tr AS (SELECT *, (m00 + m11 + m22) / 3 AS c FROM m), q AS (SELECT *, ((m00 - c) ** 2 + (m11 - c) ** 2 + (m22 - c) ** 2 + 2 * (m01 * m10 + m02 * m20 + m12 * m21)) / 6 AS p2 FROM tr),
+    w AS (SELECT * REPLACE (m00 - root AS m00, m11 - root AS m11, m22 - root AS m22) FROM (SELECT *, c + 2 * sqrt(p2) * cos(acos(greatest(-1, least(1, ((m00 - c) * ((m11 - c) * (m22 - c) - m12 * m21) - m01 * (m10 * (m22 - c) - m12 * m20) + m02 * (m10 * m21 - (m11 - c) * m20)) / (2 * p2 * sqrt(p2))))) / 3) AS root FROM q)),
+    v AS (SELECT *, CASE WHEN n01 >= n02 AND n01 >= n12 THEN v01 WHEN n02 >= n12 THEN v02 ELSE v12 END AS e FROM (SELECT *, {", ".join(f"[{', '.join(_cross(i, j))}] AS v{i}{j}, {' + '.join(f'{c} ** 2' for c in _cross(i, j))} AS n{i}{j}" for i, j in ((0, 1), (0, 2), (1, 2)))} FROM w)),
+    conic AS (SELECT run_id, label, scale, a, b, c, (b * e - 2 * c * d) / (4 * a * c - b * b) AS x0, (b * d - 2 * a * e) / (4 * a * c - b * b) AS y0, f FROM (SELECT run_id, label, scale, e[1] AS a, e[2] AS b, e[3] AS c, {", ".join(f"t{k}0 * e[1] + t{k}1 * e[2] + t{k}2 * e[3] AS {n}" for k, n in ((0, "d"), (1, "g"), (2, "f")))} FROM v) z(run_id, label, scale, a, b, c, d, e, f)),
+    axes AS (SELECT run_id, label, scale, a, b, c, a * x0 * x0 + b * x0 * y0 + c * y0 * y0 - f AS level, (a + c + sqrt((a - c) ** 2 + b * b)) / 2 AS v1, (a + c - sqrt((a - c) ** 2 + b * b)) / 2 AS v2 FROM conic WHERE 4 * a * c > b * b),
+    ellipse AS (SELECT run_id, label, 2 * scale * sqrt(greatest(level / v1, level / v2)) AS long, 2 * scale * sqrt(least(level / v1, level / v2)) AS short, degrees(atan2(b, a - c)) / 2 + CASE WHEN level > 0 THEN 90 ELSE 0 END AS turn FROM axes WHERE level / v1 > 0)"""
+
+
+# a side of the hull has no point to its right and none on its line beyond its ends
+@query(f"""WITH {s.POLYGONS_SQL}, pt AS (SELECT DISTINCT run_id, label, x, y FROM poly), {_ELLIPSE_SQL},
+    side AS (SELECT a.run_id, a.label, a.x, a.y, b.x AS x2, b.y AS y2 FROM pt a JOIN pt b ON a.run_id = b.run_id AND a.label = b.label AND (a.x != b.x OR a.y != b.y) JOIN pt p ON a.run_id = p.run_id AND a.label = p.label GROUP BY ALL
+        HAVING min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) >= 0 AND bool_and((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) > 0 OR (b.x - a.x) * (p.x - a.x) + (b.y - a.y) * (p.y - a.y) BETWEEN 0 AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2)),
+    hull AS (SELECT run_id, label, sum(x * y2 - x2 * y)::DOUBLE / 2 AS area, sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS around FROM side GROUP BY 1, 2),
+    turned AS (SELECT run_id, label, x, y, x2, y2, round(degrees(atan2(y2 - y, x2 - x)), 9) AS turn, sqrt((x2 - x) ** 2 + (y2 - y) ** 2) AS len FROM side),
+    wide AS (SELECT e.run_id, e.label, turn, floor(turn / 90) + 1 AS quarters, (max((x2 - e.x) * p.x + (y2 - e.y) * p.y) - min((x2 - e.x) * p.x + (y2 - e.y) * p.y)) / any_value(len) AS w, (max((x2 - e.x) * p.y - (y2 - e.y) * p.x) - min((x2 - e.x) * p.y - (y2 - e.y) * p.x)) / any_value(len) AS h
+        FROM turned e JOIN pt p ON e.run_id = p.run_id AND e.label = p.label GROUP BY e.run_id, e.label, e.x, e.y, x2, y2, turn),
+    rect AS (SELECT run_id, label, CASE WHEN quarters % 2 = 0 THEN w ELSE h END AS w, CASE WHEN quarters % 2 = 0 THEN h ELSE w END AS h, turn - 90 * quarters AS angle FROM wide QUALIFY row_number() OVER (PARTITION BY run_id, label ORDER BY round(w * h, 6), round(turn - 90 * quarters, 6), turn) = 1),
+    far AS (SELECT a.run_id, a.label, max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS widest, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS nearest FROM poly a JOIN poly b ON a.run_id = b.run_id AND a.label = b.label AND a.seq < b.seq GROUP BY 1, 2)
+    SELECT run_id, label, round(area, 4) AS hull_area_px, round(around, 4) AS hull_perimeter_px, round(w, 4) AS rot_rect_w_px, round(h, 4) AS rot_rect_h_px, round(angle, 4) AS rot_rect_angle, round(coalesce(sqrt(greatest(0, 1 - (short / long) ** 2)), 0), 4) AS eccentricity,
+    round((coalesce(turn + 90, angle) + 360) % 180, 4) AS orientation_angle, round(coalesce(long, widest), 4) AS feret_max_px, round(coalesce(short, nearest), 4) AS feret_min_px FROM hull JOIN rect USING (run_id, label) JOIN far USING (run_id, label) LEFT JOIN ellipse USING (run_id, label)""")
 def hull_rect_ellipse(spark, sf_dir):
     return rounded(geometry.whole_shapes(s.polygons(spark, sf_dir)), *geometry.SHAPE)
 

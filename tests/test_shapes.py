@@ -127,12 +127,61 @@ def test_tiles_cover_and_stitch(spark):
     assert raster.test_time_views(df, size).groupBy("view").count().count() == 9
 
 
-def test_widths_without_an_ellipse_are_of_all_points():
+def points(spark, groups):
+    rows = [("r", k, n, float(x), float(y)) for k, p in groups.items() for n, (x, y) in enumerate(p)]
+    return spark.createDataFrame(rows, "run_id string, label long, seq long, x double, y double")
+
+
+def test_widths_without_an_ellipse_are_of_all_points(spark):
     """Of points on a line the hull keeps two, the widths are of all: greatest 9, least 1."""
-    line = np.array([[0.0, 0], [4, 0], [5, 0], [9, 0]])
-    assert geometry.shape_of(line)[-2:] == (9.0, 1.0)
     rng = np.random.default_rng(1)
-    for n in (1, 2, 3, 40):
-        p = rng.integers(0, 60, (n, 2)).astype(float)
-        d = [math.dist(a, b) for k, a in enumerate(p) for b in p[:k]]
-        assert (geometry.greatest_distance(p), geometry.least_distance(p)) == pytest.approx((max(d, default=0.0), min(d, default=0.0)))
+    groups = {0: [(0, 0), (4, 0), (5, 0), (9, 0)], 5: [(k * k, 2 * k * k) for k in range(9)], 6: [(3, 3)] * 7} | {n: rng.integers(0, 60, (n, 2)) for n in (1, 2, 3, 4, 40)}
+    df = points(spark, groups)
+    least = {r.label: r.nearest for r in geometry.least_distances(df).collect()}
+    shapes = {r.label: r for r in geometry.whole_shapes(df).collect()}
+    assert set(least) == set(shapes) == set(groups)
+    for k, p in groups.items():
+        d = [math.dist(a, b) for n, a in enumerate(p) for b in p[:n]]
+        assert least[k] == pytest.approx(min(d, default=0.0))
+        if k != 40:
+            assert (shapes[k].feret_max_px, shapes[k].feret_min_px) == pytest.approx((max(d, default=0.0), min(d, default=0.0)))
+    assert shapes[0].rot_rect_angle == -90 and shapes[0].orientation_angle == 90 and shapes[0].eccentricity == 0
+
+
+def test_hulls_and_sums_merge(spark):
+    """An object of 300,000 points in many batches, small ones between them, against all points at once."""
+    rng = np.random.default_rng(3)
+    big = np.round(rng.normal(0, 1, (300_000, 2)) @ np.array([[90, 20], [0, 30]]) + 700)
+    rows = spark.range(0, 300_000, 1, 12).select(F.lit("r").alias("run_id"), F.lit(1).cast("long").alias("label"), F.col("id").alias("seq"))
+    place = spark.createDataFrame(__import__("pandas").DataFrame({"seq": np.arange(len(big)), "x": big[:, 0], "y": big[:, 1]}))
+    small = {k: rng.integers(0, 40, (30, 2)) + 10 * k for k in range(2, 40)}
+    df = rows.join(place, "seq").select("run_id", "label", "seq", "x", "y").unionByName(points(spark, small)).repartition(12)
+    left = geometry.hull_points(df)
+    assert left.where("label = 1").count() < 1000
+    made = {r.label: r for r in geometry.whole_shapes(df).collect()}
+    assert len(made) == 39
+    for k, p in ({1: big} | small).items():
+        p = np.array(p, float)
+        h, (long, short, turn) = geometry.hull(p), geometry.fit_ellipse(p)
+        r = made[k]
+        assert r.hull_area_px == pytest.approx(geometry.shoelace(h)) and (r.rot_rect_w_px, r.rot_rect_h_px, r.rot_rect_angle) == pytest.approx(geometry.smallest_rectangle(h))
+        assert (r.feret_max_px, r.feret_min_px) == pytest.approx((long, short), rel=1e-6)
+        assert abs((r.orientation_angle - turn) % 180 - 90) < 1e-4
+
+
+def test_rectangle_and_orientation_follow_the_published_convention(spark):
+    """The first side runs along an angle from -90 to under 0; the orientation is that of the shorter axis."""
+    a = np.linspace(0, 2 * math.pi, 60, endpoint=False)
+    flat, tall = np.stack([40 * np.cos(a), 9 * np.sin(a)], 1) + 100, np.stack([9 * np.cos(a), 40 * np.sin(a)], 1) + 100
+    made = {r.label: r for r in geometry.whole_shapes(points(spark, {1: flat, 2: tall, 3: [(0, 0), (10, 0), (10, 8), (0, 8)]})).collect()}
+    assert made[1].orientation_angle == pytest.approx(90, abs=1e-6) and min(made[2].orientation_angle, 180 - made[2].orientation_angle) == pytest.approx(0, abs=1e-6)
+    assert (made[3].rot_rect_w_px, made[3].rot_rect_h_px, made[3].rot_rect_angle) == (8, 10, -90)
+
+
+def test_hull_fill_by_rows(spark):
+    rng = np.random.default_rng(4)
+    a = np.zeros((60, 80), int)
+    a[5:30, 5:9] = a[26:30, 5:40] = 255
+    a[40:55, 50:70] = 255 * (rng.random((15, 20)) > 0.3)
+    a[2, 60:75] = 255
+    assert np.array_equal(array(raster.hull_fill(image(spark, a))), kernels.hull_fill(a))
