@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from sievestone.functions.expr import safe_div
 
+from .links import cut
+
 KEYS = ["run_id", "label"]
 
 
@@ -303,7 +305,7 @@ def whole_shapes(vertices: DataFrame) -> DataFrame:
     Widths are the axes of the ellipse, and the orientation is that of its shorter one; without an ellipse they are the
     greatest and least distance of two points and the rectangle's angle.
     """
-    found = ellipses(vertices)
+    found = cut(ellipses(vertices))
     flat = vertices.join(found.where("long IS NULL").select(*KEYS), KEYS, "left_semi")
     made = hull_shapes(vertices).join(found, KEYS).join(least_distances(flat), KEYS, "left")
     ratio = F.col("short") / F.col("long")
@@ -333,6 +335,7 @@ def hull_fill(objects: DataFrame) -> DataFrame:
 
 def measure(vertices: DataFrame) -> DataFrame:
     """All features of polygons, without millimetres (``calibration.with_mm`` adds them)."""
+    vertices = cut(vertices)  # read several times
     made = polygon_features(vertices).join(whole_shapes(vertices), KEYS).join(hu_moments(vertices), KEYS)
     long, short = F.greatest("rot_rect_w_px", "rot_rect_h_px"), F.least("rot_rect_w_px", "rot_rect_h_px")
     made = made.withColumns({"length_px": long, "width_px": short, "major_axis_px": long, "minor_axis_px": short})
