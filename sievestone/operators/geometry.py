@@ -153,6 +153,10 @@ def shoelace(p: np.ndarray) -> float:
     return abs(float(np.dot(p[:, 0], np.roll(p[:, 1], -1)) - np.dot(p[:, 1], np.roll(p[:, 0], -1)))) / 2 if len(p) > 2 else 0.0
 
 
+#: Sides or corners of a hull that are held against all its corners at once.
+STEP = 256
+
+
 def smallest_rectangle(p: np.ndarray) -> tuple[float, float, float]:
     """Sides and angle in degrees of the rectangle of least area around hull corners.
 
@@ -161,14 +165,17 @@ def smallest_rectangle(p: np.ndarray) -> tuple[float, float, float]:
     if len(p) < 2:
         return 0.0, 0.0, -90.0
     found = []
-    for a, b in zip(p, np.roll(p, -1, 0)):
-        d = (b - a) / max(math.hypot(*(b - a)), 1e-300)
-        w, h = float(np.ptp(p @ d)), float(np.ptp(p @ np.array([-d[1], d[0]])))
-        turn = round(math.degrees(math.atan2(d[1], d[0])), 9)
-        quarters = math.floor(turn / 90) + 1
-        found.append((round(w * h, 6), round(turn - 90 * quarters, 6), turn, turn - 90 * quarters, *((h, w) if quarters % 2 else (w, h))))
-    angle, w, h = min(found)[3:]
-    return w, h, angle
+    sides = np.roll(p, -1, 0) - p
+    for d in np.array_split(sides, range(STEP, len(sides), STEP)):
+        turn = np.round(np.degrees(np.arctan2(d[:, 1], d[:, 0])), 9)
+        d = d / np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-300)[:, None]
+        w, h = np.ptp(p @ d.T, 0), np.ptp(p @ np.stack([-d[:, 1], d[:, 0]]), 0)
+        quarters = np.floor(turn / 90) + 1
+        w, h = np.where(quarters % 2, h, w), np.where(quarters % 2, w, h)
+        angle = turn - 90 * quarters
+        k = np.lexsort((turn, np.round(angle, 6), np.round(w * h, 6)))[0]
+        found.append((round(w[k] * h[k], 6), round(angle[k], 6), turn[k], float(w[k]), float(h[k]), float(angle[k])))
+    return min(found)[3:]
 
 
 #: Exponents of the sums that an ellipse is fitted from.
@@ -230,7 +237,7 @@ def power_sums(points: DataFrame) -> DataFrame:
     """
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     p = points.where("x IS NOT NULL AND y IS NOT NULL").select(*KEYS, x.alias("x"), y.alias("y"), (F.floor(x / BLOCK) * BLOCK).cast("double").alias("ox"), (F.floor(y / BLOCK) * BLOCK).cast("double").alias("oy"))
-    power = lambda of, k: reduce(operator.mul, [of] * k, F.lit(1.0))
+    power = lambda of, k: reduce(operator.mul, [of] * k) if k else F.lit(1.0)
     sums = [F.sum(power(F.col("x") - F.col("ox"), i) * power(F.col("y") - F.col("oy"), j)).alias(f"b{k}") for k, (i, j) in enumerate(POWERS)]
     blocks = p.groupBy(*KEYS, "ox", "oy").agg(*sums, *(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))))
     b = {power: F.col(f"b{k}") for k, power in enumerate(POWERS)}
@@ -238,10 +245,12 @@ def power_sums(points: DataFrame) -> DataFrame:
     whole = blocks.groupBy(*KEYS).agg((F.sum(b[1, 0] + F.col("ox") * b[0, 0]) / n).alias("cx"), (F.sum(b[0, 1] + F.col("oy") * b[0, 0]) / n).alias("cy"), *(f(f"{n}{c}").alias(f"{n}{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))))
     scale = F.greatest(*(F.col(f"max{c}") - F.col(f"c{c}") for c in "xy"), *(F.col(f"c{c}") - F.col(f"min{c}") for c in "xy"))
     whole = whole.select(*KEYS, "cx", "cy", F.when(scale > 0, scale).otherwise(1.0).alias("scale"))
-    moved = blocks.join(whole, KEYS).withColumns({"dx": F.col("ox") - F.col("cx"), "dy": F.col("oy") - F.col("cy")})
-    dx, dy = F.col("dx"), F.col("dy")
-    terms = [reduce(operator.add, (math.comb(i, a) * math.comb(j, c) * power(dx, i - a) * power(dy, j - c) * b[a, c] for a in range(i + 1) for c in range(j + 1))) for i, j in POWERS]
-    return moved.groupBy(*KEYS, "scale").agg(*((F.sum(t) / power(F.col("scale"), i + j)).alias(f"p{k}") for k, ((i, j), t) in enumerate(zip(POWERS, terms))))
+    moved = blocks.join(whole, KEYS).withColumns({f"d{c}": F.col(f"o{c}") - F.col(f"c{c}") for c in "xy"})
+    # first along x, then along y
+    along = lambda d, k, terms: reduce(operator.add, (math.comb(k, a) * power(F.col(d), k - a) * terms(a) for a in range(k + 1)))
+    moved = moved.withColumns({f"q{i}{j}": along("dx", i, lambda a: b[a, j]) for i, j in POWERS})
+    sums = [F.sum(along("dy", j, lambda c: F.col(f"q{i}{c}"))) / power(F.col("scale"), i + j) for i, j in POWERS]
+    return moved.groupBy(*KEYS, "scale").agg(*(total.alias(f"p{k}") for k, total in enumerate(sums)))
 
 
 def ellipses(points: DataFrame) -> DataFrame:
@@ -260,7 +269,7 @@ def ellipses(points: DataFrame) -> DataFrame:
 
 
 def greatest_distance(p: np.ndarray) -> float:
-    return max((float(np.hypot(*(p[k + 1 :] - p[k]).T).max()) for k in range(len(p) - 1)), default=0.0)
+    return max((float(np.hypot(p[:, :1] - q[:, 0], p[:, 1:] - q[:, 1]).max()) for q in np.array_split(p, range(STEP, len(p), STEP))), default=0.0)
 
 
 HULL = ("hull_area_px", "hull_perimeter_px", "rot_rect_w_px", "rot_rect_h_px", "rot_rect_angle", "widest")

@@ -2,7 +2,7 @@
 
 Histograms, border means and tile sums are aggregates; neighbourhoods are frames over lines of an image
 (``frames``), components and watersheds tables of links (``links``, ``basins``).  Only the smoothing
-methods that no strategy uses, hulls of components, and the trace of one object's contour call ``kernels``.
+methods that no strategy uses and the trace of one object's contour call ``kernels``.
 """
 
 from __future__ import annotations

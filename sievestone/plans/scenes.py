@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.operators import colours, frames, geometry, raster
+from sievestone.operators import colours, frames, geometry, raster, strategies
 from sievestone.sources import specimens as s
 
 from .catalogue import query, rounded
@@ -179,3 +179,29 @@ _FAR = {k: " + ".join(f"(c{j} - {k}{j}) * (c{j} - {k}{j})" for j in range(3)) fo
     SELECT run_id, y, x, CASE WHEN (CASE WHEN coalesce(first, a2 > b2) THEN da < db ELSE db < da END) THEN 255 ELSE 0 END::BIGINT AS v FROM far JOIN pick USING (run_id)""")
 def kmeans_foreground(spark, sf_dir):
     return colours.foreground(_coloured(spark, sf_dir), SMALL, ATTEMPTS)
+
+
+#: Side and overlap of the tiles of the query, and the origins that they have in a scene.
+TILE, OVERLAP = 128, 32
+_ORIGINS = sorted({min(k, s.SCENE - TILE) for k in range(0, s.SCENE, TILE - OVERLAP)})
+
+
+def _red(image):
+    """A stand-in for a model: what is bright in red; it fails on tiles whose first pixel's blue is a multiple of three."""
+    if image[0, 0, 0] % 3 == 0:
+        raise ValueError("first pixel")
+    return (image[:, :, 2] > 170).astype("int64")
+
+
+_TILES = f"""WITH {s.SCENES_SQL}, {_COLOURED}, o AS (SELECT unnest({_ORIGINS}) AS o), tile AS (SELECT run_id, y AS ty, x AS tx, b % 3 = 0 AS bad FROM coloured WHERE y IN (SELECT o FROM o) AND x IN (SELECT o FROM o))"""
+
+
+@query(f"{_TILES} SELECT c.run_id, c.y, c.x, max(CASE WHEN r > 170 AND NOT bad THEN 255 ELSE 0 END)::BIGINT AS v FROM coloured c JOIN tile t ON c.run_id = t.run_id AND c.y BETWEEN ty AND ty + {TILE - 1} AND c.x BETWEEN tx AND tx + {TILE - 1} GROUP BY 1, 2, 3")
+def model_tiles(spark, sf_dir):
+    """The mask of a model over overlapping tiles, some of which fail."""
+    return strategies.tile_mask(_coloured(spark, sf_dir), lambda: _red, TILE, OVERLAP)[0]
+
+
+@query(f"{_TILES} SELECT run_id, ty::INT AS ty, tx::INT AS tx, 'ValueError: first pixel' AS error FROM tile WHERE bad")
+def failed_tiles(spark, sf_dir):
+    return strategies.tile_mask(_coloured(spark, sf_dir), lambda: _red, TILE, OVERLAP)[1]
