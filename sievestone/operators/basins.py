@@ -33,10 +33,10 @@ def distance2(px: DataFrame) -> DataFrame:
     inside = g.where("v > 0").join(sizes(px).select("run_id", "w"), "run_id")
     far = F.coalesce(F.col("g") - 1, F.col("w"))
     looks = inside.select("run_id", "y", "x", F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - far), F.least(F.col("w") - 1, F.col("x") + far))).alias("at"))
-    met = looks.join(g.where("g IS NOT NULL").select("run_id", "y", F.col("x").alias("at"), F.col("g").alias("h")), ["run_id", "y", "at"])
+    met = looks.join(g.where("g IS NOT NULL").select("run_id", "y", F.col("x").alias("at"), F.col("g").alias("h")).hint("merge"), ["run_id", "y", "at"])
     dx = F.col("x") - F.col("at")
     least = met.groupBy(*ROW).agg(F.min(dx * dx + F.col("h") * F.col("h")).alias("d2"))
-    return px.join(least, list(ROW), "left").withColumn("d2", F.when(F.col("v") > 0, F.col("d2")).otherwise(F.lit(0).cast("long")))
+    return px.join(least.hint("merge"), list(ROW), "left").withColumn("d2", F.when(F.col("v") > 0, F.col("d2")).otherwise(F.lit(0).cast("long")))
 
 
 def _widest(px: DataFrame, column: Column, r: int, most: bool) -> DataFrame:
@@ -62,7 +62,7 @@ def followed(points: DataFrame) -> DataFrame:
     points = cut(points.select("run_id", "node", "to"))
     while True:
         step = points.select("run_id", F.col("node").alias("to"), F.col("to").alias("_then"))
-        moved = points.join(step, ["run_id", "to"], "left").select("run_id", "node", F.coalesce("_then", "to").alias("to"), (F.col("_then") != F.col("to")).alias("_moved"))
+        moved = points.join(step.hint("merge"), ["run_id", "to"], "left").select("run_id", "node", F.coalesce("_then", "to").alias("to"), (F.col("_then") != F.col("to")).alias("_moved"))
         moved = cut(moved)
         points = moved.select("run_id", "node", "to")
         if not moved.where("_moved").limit(1).count():
@@ -74,14 +74,14 @@ def _pairs(deep: DataFrame, depth: str) -> DataFrame:
     steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _NEXT)))
     here = deep.select("run_id", "y", "x", F.col(depth).alias("da"), steps.alias("s"))
     here = here.select("run_id", node(F.col("y"), F.col("x")).alias("a"), "da", node(F.col("y") + F.col("s.dy"), F.col("x") + F.col("s.dx")).alias("b"))
-    return here.join(deep.select("run_id", node(F.col("y"), F.col("x")).alias("b"), F.col(depth).alias("db")), ["run_id", "b"]).select("run_id", "a", "b", "da", "db")
+    return here.join(deep.select("run_id", node(F.col("y"), F.col("x")).alias("b"), F.col(depth).alias("db")).hint("merge"), ["run_id", "b"]).select("run_id", "a", "b", "da", "db")
 
 
 def steepest(deep: DataFrame, depth: str = "d2") -> DataFrame:
     """(run_id, node, to): each pixel points to the deepest of its neighbours and itself, the first of equals."""
     pairs = _pairs(deep, depth)
     either = pairs.select("run_id", F.col("a").alias("node"), F.col("b").alias("_o"), F.col("db").alias("_d")).unionByName(pairs.select("run_id", F.col("b").alias("node"), F.col("a").alias("_o"), F.col("da").alias("_d")))
-    own = deep.select("run_id", node(F.col("y"), F.col("x")).alias("node")).withColumn("_o", F.col("node")).join(deep.select("run_id", node(F.col("y"), F.col("x")).alias("node"), F.col(depth).alias("_d")), ["run_id", "node"])
+    own = deep.select("run_id", node(F.col("y"), F.col("x")).alias("node")).withColumn("_o", F.col("node")).join(deep.select("run_id", node(F.col("y"), F.col("x")).alias("node"), F.col(depth).alias("_d")).hint("merge"), ["run_id", "node"])
     best = either.unionByName(own).groupBy("run_id", "node").agg(F.max(F.struct("_d", (-F.col("_o")).alias("_o"))).alias("m"))
     return best.select("run_id", "node", (-F.col("m._o")).alias("to"))
 
@@ -96,19 +96,19 @@ def flood(deep: DataFrame, markers: DataFrame, depth: str = "d2") -> DataFrame:
     """
     marked = markers.select("run_id", node(F.col("y"), F.col("x")).alias("node"), "marker")
     first = marked.groupBy("run_id", "marker").agg(F.min("node").alias("_first"))
-    forced = marked.join(first, ["run_id", "marker"]).select("run_id", "node", "_first")
-    points = steepest(deep, depth).join(forced, ["run_id", "node"], "left").select("run_id", "node", F.coalesce("_first", "to").alias("to"))
+    forced = marked.join(first.hint("merge"), ["run_id", "marker"]).select("run_id", "node", "_first")
+    points = steepest(deep, depth).join(forced.hint("merge"), ["run_id", "node"], "left").select("run_id", "node", F.coalesce("_first", "to").alias("to"))
     basin = followed(points)
     pairs = cut(_pairs(deep, depth))
     ends = [basin.select("run_id", F.col("node").alias(c), F.col("to").alias(f"_{c}")) for c in "ab"]
-    passes = pairs.join(ends[0], ["run_id", "a"]).join(ends[1], ["run_id", "b"]).where("_a != _b")
+    passes = pairs.join(ends[0].hint("merge"), ["run_id", "a"]).join(ends[1].hint("merge"), ["run_id", "b"]).where("_a != _b")
     low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
     passes = cut(passes.groupBy("run_id", low.alias("a"), high.alias("b")).agg(F.max(F.least("da", "db")).alias("depth")))
-    held = basin.select("run_id", F.col("to").alias("basin")).distinct().join(first.select("run_id", F.col("_first").alias("basin"), "marker"), ["run_id", "basin"], "left")
+    held = basin.select("run_id", F.col("to").alias("basin")).distinct().join(first.select("run_id", F.col("_first").alias("basin"), "marker").hint("merge"), ["run_id", "basin"], "left")
     held = cut(held.withColumn("group", F.col("basin")))
     while True:
         of = [held.select("run_id", F.col("basin").alias(c), F.col("group").alias(f"_{c}"), F.col("marker").alias(f"_m{c}")) for c in "ab"]
-        open_ = passes.join(of[0], ["run_id", "a"]).join(of[1], ["run_id", "b"]).where("_a != _b AND (_ma IS NULL OR _mb IS NULL)")
+        open_ = passes.join(of[0].hint("merge"), ["run_id", "a"]).join(of[1].hint("merge"), ["run_id", "b"]).where("_a != _b AND (_ma IS NULL OR _mb IS NULL)")
         # the pass itself decides between equals, alike from both sides
         rank = F.struct("depth", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
         from_ = [open_.where(f"_m{c} IS NULL").select("run_id", F.col(f"_{c}").alias("group"), F.col(f"_{d}").alias("other"), rank.alias("rank")) for c, d in ("ab", "ba")]
@@ -117,13 +117,13 @@ def flood(deep: DataFrame, markers: DataFrame, depth: str = "d2") -> DataFrame:
             break
         back = chosen.select("run_id", F.col("group").alias("other"), F.col("other").alias("_back"))
         mutual = (F.col("_back") == F.col("group")) & (F.col("group") < F.col("other"))
-        hooks = chosen.join(back, ["run_id", "other"], "left").select("run_id", F.col("group").alias("node"), F.when(mutual, F.col("group")).otherwise(F.col("other")).alias("to"))
+        hooks = chosen.join(back.hint("merge"), ["run_id", "other"], "left").select("run_id", F.col("group").alias("node"), F.when(mutual, F.col("group")).otherwise(F.col("other")).alias("to"))
         ended = followed(hooks).select("run_id", F.col("node").alias("group"), "to")
-        after = held.join(ended, ["run_id", "group"], "left").withColumn("group", F.coalesce("to", "group")).drop("to", "marker")
+        after = held.join(ended.hint("merge"), ["run_id", "group"], "left").withColumn("group", F.coalesce("to", "group")).drop("to", "marker")
         own = held.where("marker IS NOT NULL").select("run_id", "group", "marker").distinct()
-        held = cut(after.join(own, ["run_id", "group"], "left").select("run_id", "basin", "group", "marker"))
+        held = cut(after.join(own.hint("merge"), ["run_id", "group"], "left").select("run_id", "basin", "group", "marker"))
     named = held.where("marker IS NOT NULL").select("run_id", F.col("basin").alias("to"), "marker")
-    return basin.join(named, ["run_id", "to"]).select("run_id", F.floor(F.col("node") / _SHIFT).alias("y"), (F.col("node") % _SHIFT).alias("x"), "marker")
+    return basin.join(named.hint("merge"), ["run_id", "to"]).select("run_id", F.floor(F.col("node") / _SHIFT).alias("y"), (F.col("node") % _SHIFT).alias("x"), "marker")
 
 
 def watershed(px: DataFrame, share: float = 0.2, gap: int | None = None) -> DataFrame:
@@ -147,9 +147,9 @@ def watershed(px: DataFrame, share: float = 0.2, gap: int | None = None) -> Data
     found = cut(found)
     flooded = flood(deep.where("d2 > 0"), found)
     names = ordinals(found.select("run_id", "marker"), ["run_id"], "marker", "label").withColumn("label", F.col("label") + 1)
-    part = flooded.join(names, ["run_id", "marker"]).select(*ROW, "label")
+    part = flooded.join(names.hint("merge"), ["run_id", "marker"]).select(*ROW, "label")
     bare = px.join(found.select("run_id").distinct(), "run_id", "left_anti")
-    seeded = px.join(found.select("run_id").distinct(), "run_id", "left_semi").select(*ROW).join(part, list(ROW), "left").select(*ROW, F.coalesce("label", F.lit(0).cast("long")).alias("label"))
+    seeded = px.join(found.select("run_id").distinct(), "run_id", "left_semi").select(*ROW).join(part.hint("merge"), list(ROW), "left").select(*ROW, F.coalesce("label", F.lit(0).cast("long")).alias("label"))
     return seeded.unionByName(labels(bare).select(*ROW, "label"))
 
 
@@ -167,10 +167,10 @@ def marker_sets(mask: DataFrame, share: float = 0.4, size: int = 5) -> DataFrame
     deep = distance2(clean)
     deepest = deep.groupBy("run_id").agg(F.max("d2").alias("_most"))
     core = cut(deep.join(deepest, "run_id").where((F.col("d2") > 0) & (F.col("d2") > share * share * F.col("_most"))).select(*ROW))
-    unknown = reach.join(core, list(ROW), "left_anti").withColumn("_open", F.lit(True))
+    unknown = reach.join(core.hint("merge"), list(ROW), "left_anti").withColumn("_open", F.lit(True))
     cores = cut(components(core.withColumn("v", F.lit(255))))
-    named = cores.join(numbered(cores), ["run_id", "root"]).select(*ROW, (F.col("label") + 1).alias("_core"))
-    made = mask.select(*ROW).join(named, list(ROW), "left").join(unknown, list(ROW), "left")
+    named = cores.join(numbered(cores).hint("merge"), ["run_id", "root"]).select(*ROW, (F.col("label") + 1).alias("_core"))
+    made = mask.select(*ROW).join(named.hint("merge"), list(ROW), "left").join(unknown.hint("merge"), list(ROW), "left")
     return made.select(*ROW, F.when(F.col("_open"), 0).otherwise(F.coalesce("_core", F.lit(1))).cast("long").alias("marker"))
 
 
@@ -190,5 +190,5 @@ def colour_watershed(colours: DataFrame, markers: DataFrame, columns: tuple[str,
     flooded = cut(flood(even, cut(markers.where("marker > 0")), "d"))
     steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0)))))
     moved = flooded.select("run_id", "y", "x", F.col("marker").alias("_m"), steps.alias("s")).select("run_id", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x"), "_m")
-    apart = flooded.join(moved, list(ROW)).where("marker != _m").select(*ROW).distinct().withColumn("_edge", F.lit(True))
-    return flooded.join(apart, list(ROW), "left").select(*ROW, F.when(F.col("_edge"), -1).otherwise(F.col("marker")).alias("marker"))
+    apart = flooded.join(moved.hint("merge"), list(ROW)).where("marker != _m").select(*ROW).distinct().withColumn("_edge", F.lit(True))
+    return flooded.join(apart.hint("merge"), list(ROW), "left").select(*ROW, F.when(F.col("_edge"), -1).otherwise(F.col("marker")).alias("marker"))

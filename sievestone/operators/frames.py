@@ -3,7 +3,8 @@
 A pixel table (run_id, y, x, v) holds every pixel of its images.  Frames run along x within a row of
 an image, then along y within a column: sums with weights, and extremes over kernels whose rows are
 intervals.  A task holds a line of an image at most; lines are dealt out over all tasks, so an
-image may be larger than any of them.
+image may be larger than any of them.  Tables of pixels are merged with one another, never broadcast:
+what the planner knows of their size (files of few bytes a row, exploded rows) is far too little.
 """
 
 from __future__ import annotations
@@ -67,16 +68,15 @@ def weighted(px: DataFrame, weights: Sequence[float], mirrored: bool = True, col
     """Adds the sum over a square of pixels with weights that are products along x and y."""
     r = len(weights) // 2
     own = with_size(px).withColumn("_s", F.col(column))
-    kept = own.select(*px.columns)
     for axis in ("x", "y"):
-        wide = _continued(own.select(*ROW, "_s", "h", "w"), axis, r, mirrored)
+        wide = _continued(own, axis, r, mirrored)
         terms = [_neighbour("_s", k - r, axis) * w for k, w in enumerate(weights)]
         total = terms[0]
         for term in terms[1:]:
             total = total + term
         summed = wide.select(*(c for c in wide.columns if c != "_s"), total.alias("_s"))
         own = summed.where((F.col(axis) >= 0) & (F.col(axis) < F.col("h" if axis == "y" else "w")))
-    return kept.join(own.select(*ROW, F.col("_s").alias(out)), list(ROW))
+    return own.select(*px.columns, F.col("_s").alias(out))
 
 
 def smooth5(px: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def cleanup(binary: DataFrame) -> DataFrame:
 
 def top_hat(px: DataFrame, size: int = 51) -> DataFrame:
     """What rises above the opened image, stretched by at most 4; images with a mean of 120 or more stay as they are."""
-    hat = px.select(*ROW, "v").join(opened(px.select(*ROW, "v"), ellipse(size | 1)).withColumnRenamed("v", "_o"), list(ROW)).withColumn("_hat", F.col("v") - F.col("_o"))
+    hat = px.select(*ROW, "v").join(opened(px.select(*ROW, "v"), ellipse(size | 1)).withColumnRenamed("v", "_o").hint("merge"), list(ROW)).withColumn("_hat", F.col("v") - F.col("_o"))
     about = hat.groupBy("run_id").agg(F.avg("v").alias("_mean"), F.max("_hat").alias("_most"))
     stretched = F.least(F.lit(255), F.floor(F.col("_hat") * F.least(F.lit(4.0), F.try_divide(F.lit(255.0), F.col("_most")))))
     v = F.when(F.col("_mean") >= 120, F.col("v")).when(F.col("_most") > 0, stretched).otherwise(F.col("_hat"))
@@ -186,7 +186,7 @@ def tile_curves(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
 
 def equalize(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
     """Each pixel's value by the curves of the four tiles around it, blended by its distance to their centres."""
-    curves = tile_curves(px, clip, tiles)
+    curves = cut(tile_curves(px, clip, tiles))  # read twice
     # between the centres of tiles lie cells; each knows the curves of its corners
     roles = lambda t: F.array(
         F.struct((t + 1).alias("c"), F.lit(0).alias("r")), F.struct(t.alias("c"), F.lit(1).alias("r")),
@@ -198,7 +198,7 @@ def equalize(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
     cells = spread.groupBy("run_id", F.col("a.c").alias("cy"), F.col("b.c").alias("cx")).agg(F.first("th").alias("th"), F.first("tw").alias("tw"), *(corner(i, j) for i in (0, 1) for j in (0, 1)))
     tile = curves.groupBy("run_id").agg(F.first("th").alias("_th"), F.first("tw").alias("_tw"))
     p = px.select(*ROW, "v").join(tile, "run_id").withColumns({"_cy": F.floor(F.col("y") / F.col("_th") - 0.5) + 1, "_cx": F.floor(F.col("x") / F.col("_tw") - 0.5) + 1})
-    p = p.join(cells.withColumnRenamed("run_id", "_r"), F.col("run_id").eqNullSafe(F.col("_r")) & (F.col("_cy") == F.col("cy")) & (F.col("_cx") == F.col("cx")))
+    p = p.join(cells.withColumnRenamed("run_id", "_r").hint("merge"), F.col("run_id").eqNullSafe(F.col("_r")) & (F.col("_cy") == F.col("cy")) & (F.col("_cx") == F.col("cx")))
     ya, xa = F.col("y") / F.col("th") + 0.5 - F.col("cy"), F.col("x") / F.col("tw") + 0.5 - F.col("cx")
     at = lambda k: F.get(k, F.col("v").cast("int"))
     blend = (at("k00") * (1 - xa) + at("k01") * xa) * (1 - ya) + (at("k10") * (1 - xa) + at("k11") * xa) * ya
@@ -210,5 +210,6 @@ def adaptive_threshold(px: DataFrame, block: int = 45, c: int = 2, clip: float =
     even = equalize(px, clip, tiles)
     mean = weighted(even, gaussian_weights(max(3, block | 1)), mirrored=False)
     made = mean.select(*ROW, F.when(F.col("v") > F.bround(F.round("s", 6)) - c, 255).otherwise(0).cast("long").alias("v"))
+    made = cut(made)  # read twice
     share = made.groupBy("run_id").agg(F.avg((F.col("v") > 0).cast("int")).alias("_share"))
     return made.join(share, "run_id").select(*ROW, F.when(F.col("_share") > 0.5, 255 - F.col("v")).otherwise(F.col("v")).alias("v"))

@@ -41,14 +41,14 @@ def roots(links: DataFrame) -> DataFrame:
     state = cut(state)
     while True:
         other = state.select("run_id", F.col("node").alias("b"), F.col("root").alias("_far"))
-        seen = both.join(other, ["run_id", "b"]).groupBy("run_id", F.col("a").alias("node")).agg(F.min("_far").alias("_seen"))
-        found = state.join(seen, ["run_id", "node"]).select("run_id", "node", "root", F.least("root", "_seen").alias("_next"))
+        seen = both.join(other.hint("merge"), ["run_id", "b"]).groupBy("run_id", F.col("a").alias("node")).agg(F.min("_far").alias("_seen"))
+        found = state.join(seen.hint("merge"), ["run_id", "node"]).select("run_id", "node", "root", F.least("root", "_seen").alias("_next"))
         # what a node has found is for the node that it pointed to as well
         offers = found.select("run_id", "node", "_next").unionByName(found.select("run_id", F.col("root").alias("node"), "_next"))
         least = offers.groupBy("run_id", "node").agg(F.min("_next").alias("_next"))
         step = least.select("run_id", F.col("node").alias("_next"), F.col("_next").alias("_then"))
-        moved = least.join(step, ["run_id", "_next"], "left").select("run_id", "node", F.least("_next", F.coalesce("_then", "_next")).alias("to"))
-        after = cut(state.join(moved, ["run_id", "node"]).select("run_id", "node", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("_moved")))
+        moved = least.join(step.hint("merge"), ["run_id", "_next"], "left").select("run_id", "node", F.least("_next", F.coalesce("_then", "_next")).alias("to"))
+        after = cut(state.join(moved.hint("merge"), ["run_id", "node"]).select("run_id", "node", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("_moved")))
         if not after.where("_moved").limit(1).count():
             return after.select("run_id", "node", "root")
         state = after.select("run_id", "node", "root")
@@ -73,9 +73,9 @@ def components(px: DataFrame, eight: bool = True, background: bool = False) -> D
     own = segments(px, background)
     steps = F.array(*(F.lit(d).cast("long") for d in ((-1, 0, 1) if eight else (0,))))
     below = own.select("run_id", (F.col("y") + 1).alias("y"), F.explode(F.transform(steps, lambda d: F.col("x") + d)).alias("x"), F.col("node").alias("a"))
-    links = below.join(own.withColumnRenamed("node", "b"), ["run_id", "y", "x"]).select("run_id", "a", "b").distinct()
+    links = below.join(own.withColumnRenamed("node", "b").hint("merge"), ["run_id", "y", "x"]).select("run_id", "a", "b").distinct()
     found = roots(links)
-    return own.join(found, ["run_id", "node"], "left").select("run_id", "y", "x", F.coalesce("root", "node").alias("root"))
+    return own.join(found.hint("merge"), ["run_id", "node"], "left").select("run_id", "y", "x", F.coalesce("root", "node").alias("root"))
 
 
 def numbered(rooted: DataFrame) -> DataFrame:
@@ -86,8 +86,8 @@ def numbered(rooted: DataFrame) -> DataFrame:
 def labels(px: DataFrame, eight: bool = True) -> DataFrame:
     """run_id, y, x and label of all pixels: objects numbered by their first pixel in reading order, 0 outside."""
     rooted = cut(components(px, eight))
-    named = rooted.join(numbered(rooted), ["run_id", "root"]).select("run_id", "y", "x", "label")
-    return px.select("run_id", "y", "x").join(named, ["run_id", "y", "x"], "left").select("run_id", "y", "x", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
+    named = rooted.join(numbered(rooted).hint("merge"), ["run_id", "root"]).select("run_id", "y", "x", "label")
+    return px.select("run_id", "y", "x").join(named.hint("merge"), ["run_id", "y", "x"], "left").select("run_id", "y", "x", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
 
 
 def fill_holes(px: DataFrame) -> DataFrame:
@@ -100,5 +100,5 @@ def fill_holes(px: DataFrame) -> DataFrame:
     corner = (F.col("y").isin(0) | (F.col("y") == F.col("h") - 1)) & (F.col("x").isin(0) | (F.col("x") == F.col("w") - 1))
     reached = outside.join(size, "run_id").where(corner).select("run_id", "root").distinct()
     holes = outside.join(reached, ["run_id", "root"], "left_anti").select("run_id", "y", "x", F.lit(True).alias("_hole"))
-    made = px.select("run_id", "y", "x", "v").join(holes, ["run_id", "y", "x"], "left").join(border, "run_id")
+    made = px.select("run_id", "y", "x", "v").join(holes.hint("merge"), ["run_id", "y", "x"], "left").join(border, "run_id")
     return made.select("run_id", "y", "x", F.when(~F.col("_full") & F.coalesce("_hole", F.lit(False)), 255).otherwise(F.col("v")).alias("v"))

@@ -94,7 +94,7 @@ def filter_area(labels: DataFrame, low: int | Column, high: int | Column) -> Dat
     low, high = (F.lit(x) if isinstance(x, int) else x for x in (low, high))
     sizes = labels.where("label > 0").groupBy("run_id", "label").agg(F.count("*").alias("area")).where(F.col("area").between(low, high))
     numbered = ordinals(sizes, ["run_id"], "label", "new").select("run_id", "label", (F.col("new") + 1).alias("new"))
-    return labels.join(numbered, ["run_id", "label"], "left").select("run_id", "y", "x", F.coalesce("new", F.lit(0)).alias("label"))
+    return labels.join(numbered.hint("merge"), ["run_id", "label"], "left").select("run_id", "y", "x", F.coalesce("new", F.lit(0)).alias("label"))
 
 
 def areas(labels: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def fill_holes(binary: DataFrame) -> DataFrame:
 def hull_fill(binary: DataFrame) -> DataFrame:
     """Every component's convex hull."""
     filled = geometry.hull_fill(components(binary).where("label > 0")).select("run_id", "y", "x", F.lit(255).alias("_in")).distinct()
-    return binary.join(filled, ["run_id", "y", "x"], "left").select("run_id", "y", "x", F.coalesce("_in", F.when(F.col("v") > 0, 255).otherwise(0)).cast("long").alias("v"))
+    return binary.join(filled.hint("merge"), ["run_id", "y", "x"], "left").select("run_id", "y", "x", F.coalesce("_in", F.when(F.col("v") > 0, 255).otherwise(0)).cast("long").alias("v"))
 
 
 def distance(binary: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def segment(pixels: DataFrame, separate: bool = True, method: str = "adaptive")
 def _filter_by_run(labels: DataFrame, limits: DataFrame) -> DataFrame:
     sizes = areas(labels).join(limits, "run_id").where("area BETWEEN low AND high")
     numbered = ordinals(sizes, ["run_id"], "label", "new").select("run_id", "label", (F.col("new") + 1).alias("new"))
-    return labels.join(numbered, ["run_id", "label"], "left").select("run_id", "y", "x", F.coalesce("new", F.lit(0)).alias("label"))
+    return labels.join(numbered.hint("merge"), ["run_id", "label"], "left").select("run_id", "y", "x", F.coalesce("new", F.lit(0)).alias("label"))
 
 
 def tile_origins(size: DataFrame, tile: int = 512, overlap: int = 64) -> DataFrame:
