@@ -48,7 +48,7 @@ def _ranked(rows: DataFrame, keys: Sequence[str], by: str, n: Column, rate: int,
     counts = counts.select(*group, "_b", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"), F.sum("_in").over(Window.partitionBy(*group)).alias("_total"))
     inside = Window.partitionBy(*keys, "_block").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    joined = local.join(counts, _same(keys) & (F.col("_block") == F.col("_b")))
+    joined = local.join(counts.hint("shuffle_hash"), _same(keys) & (F.col("_block") == F.col("_b")))
     return joined.withColumn("_before", F.col("_start") + F.col("_local")).drop("_b", "_block", "_local", "_start", *group)
 
 

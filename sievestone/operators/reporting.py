@@ -45,7 +45,7 @@ def histogram(rows: DataFrame, column: str, bins: int = 8) -> DataFrame:
     there = rows.where(v.isNotNull() & ~F.isnan(v)).select("run_id", v.alias("v"))
     ends = there.groupBy("run_id").agg(F.min("v").alias("low"), F.max("v").alias("high")).withColumn("step", (F.col("high") - F.col("low")) / bins)
     place = F.when(F.col("step") > 0, F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("step"))), F.lit(bins - 1))).otherwise(0).cast("int")
-    counts = there.join(ends, "run_id").groupBy("run_id", place.alias("bin")).agg(F.count("*").alias("n"))
+    counts = there.join(ends.hint("shuffle_hash"), "run_id").groupBy("run_id", place.alias("bin")).agg(F.count("*").alias("n"))
     spine = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.when(F.col("step") > 0, bins - 1).otherwise(0))))
     low, high = F.col("low") + F.col("bin") * F.col("step"), F.col("low") + (F.col("bin") + 1) * F.col("step")
     shown = F.when(F.col("step") > 0, F.concat(fixed(low), F.lit("-"), fixed(high))).otherwise(fixed(F.col("low")))
@@ -141,7 +141,8 @@ def box_plot(long: DataFrame) -> DataFrame:
     q = q.select("run_id", "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
-    return there.join(q, ["run_id", "metric"]).groupBy("run_id", "metric", "q1", "median", "q3").agg(
+    # the few rows of q are the side that is held: left alone, the planner broadcasts all values, whose rows have fewer bytes
+    return there.join(q.hint("shuffle_hash"), ["run_id", "metric"]).groupBy("run_id", "metric", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count_if(~inside).alias("n_beyond")
     )
 
@@ -156,7 +157,7 @@ def density(rows: DataFrame, column: str, points: int = 50, least: int = 6) -> D
     ends = ends.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct(k.alias("k"), (F.col("low") + k * (F.col("high") - F.col("low")) / (points - 1)).alias("x"))))
     u = (F.col("p.x") - F.col("v")) / F.col("h")
-    made = there.join(ends, "run_id").select("run_id", "v", "h", "n", at.alias("p")).groupBy("run_id", F.col("p.k").alias("point"), F.col("p.x").alias("x"), "h", "n").agg(F.sum(F.exp(-u * u / 2)).alias("s"))
+    made = there.join(ends.hint("shuffle_hash"), "run_id").select("run_id", "v", "h", "n", at.alias("p")).groupBy("run_id", F.col("p.k").alias("point"), F.col("p.x").alias("x"), "h", "n").agg(F.sum(F.exp(-u * u / 2)).alias("s"))
     return made.select("run_id", "point", "x", (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2) * F.pi()))).alias("density"))
 
 

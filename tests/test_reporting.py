@@ -55,3 +55,9 @@ def test_label_colours_span_the_hues(spark):
     rows = spark.createDataFrame([(1, 0, 0, k) for k in range(4)] + [(2, 0, 0, 9)], "run_id int, y int, x int, label int")
     got = {(r.run_id, r.label): (r.hue, r.r, r.g, r.b) for r in raster.label_colours(rows).collect()}
     assert got[1, 1] == got[2, 9] == (0, 255, 0, 0) and got[1, 2][0] == 89 and got[1, 3][0] == 179
+
+
+def test_values_are_not_broadcast(spark):
+    values = spark.range(1000).selectExpr("id % 3 AS run_id", "'m' AS metric", "id * 1.0D AS value")
+    for made in (reporting.box_plot(values), reporting.density(values, "value", points=3)):
+        assert "BuildLeft" not in made._jdf.queryExecution().executedPlan().toString()
