@@ -2,13 +2,14 @@
 
 Coarse centroids and codebooks are fitted on a bounded sample; every row is then put into its list
 with the codes of its residual.  A query is compared with the lists of the centroids that promise
-most, by one table of partial products per query (asymmetric distances); the best of all lists are
-scored again on the original vectors, in double precision.
+most, by one table of partial products per query (asymmetric distances); the best of them are
+scored again on the original vectors, in double precision.  How far a code is from its vector, and the
+vectors of a list from its centroid, is known, so what those scores do not rule out is compared as well:
+further lists first, then vectors.  No nearest vector is lost by codes or lists, whatever the data.
 
 Copies of a vector are one entry, with the smallest identifiers that any answer can need.  Entries
 are dealt to groups of about ``GROUP`` by identifier, each with its own part of all lists, so that no
-group is larger because a list is; queries stream past a group, which keeps as many candidates of a
-query as are scored again in all.
+group is larger because a list is; queries stream past a group, which gives its best entries of each.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; rows of one identifier are one vector; ties go to the smaller identifier;
@@ -31,13 +32,15 @@ from ._store import table, written
 #: Rows on which centroids and codebooks are fitted, at most.
 SAMPLE = 20_000
 LISTS, PARTS, CODES = 1024, 16, 256
-#: Distinct vectors of a group, and tasks that compare at least (a group's queries are split among them).
-GROUP, TASKS = 1 << 18, 32
-#: Rows that a list should have, share of the lists that a query is compared with, and rows in them at least.  Vectors without
-#: clusters need a large share: on such data 0.6 finds about 0.95 of the nearest, 0.3 about 0.8.
-PER_LIST, PROBE_SHARE, LEAST_ROWS = 1000, 0.64, 2000
-#: Candidates of each query for exact scoring.
-RERANK = 400
+#: Distinct vectors of a group at most, those of groups while there are fewer groups than tasks, and tasks that compare
+#: at least (a group's queries are split among them).
+GROUP, LEAST_GROUP, TASKS = 1 << 17, 1 << 14, 32
+#: Rows that a list should have, share of the lists that a query is compared with first, and rows in them at least.
+PER_LIST, PROBE_SHARE, LEAST_ROWS = 1000, 0.1, 2000
+#: Candidates of each query for the exact scores that tell what else may be near, and vectors scored at once.
+RERANK, AT_ONCE = 400, 1 << 15
+#: Share of lengths that rounding may take from a sum of single and of double precision.
+ROUNDING, EXACT = 4e-6, 1e-12
 
 
 @dataclass
@@ -51,6 +54,13 @@ class Model:
         rest = x - self.centroids[lists]
         return lists, np.stack([nearest(rest[:, a:b], book).astype(np.uint8) for (a, b), book in zip(self.cuts, self.books)], 1)
 
+    def slack(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """By how much, for each unit of a query's length, a product with a vector may exceed that with its code."""
+        rest = np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1)
+        length = lambda v: np.sqrt((v**2).sum(1))
+        whole = length(self.centroids)[lists] + len(self.books) * length(rest) + length(x)
+        return length(x - self.centroids[lists] - rest) + ROUNDING * whole
+
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Per part: queries x codes of partial inner products."""
         return [q[:, a:b] @ book.T for (a, b), book in zip(self.cuts, self.books)]
@@ -126,13 +136,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                lists, codes = model.value.encode(_matrix(part.column("v")))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), part.column("entry"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "entry", "code"])
+                x = _matrix(part.column("v"))
+                lists, codes = model.value.encode(x)
+                columns = [pa.array(lists.astype(np.int64)), part.column("entry"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(model.value.slack(x, lists, codes)), part.column("v")]
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "entry", "code", "slack", "v"])
 
-    coded = written(entries.select("entry", "v").mapInArrow(encode, "list long, entry long, code binary"), "codes")
+    coded = written(entries.select("entry", "v").mapInArrow(encode, "list long, entry long, code binary, slack double, v array<double>"), "codes")
     counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # LISTS rows at most
     sizes = np.array([counts.get(j, 0) for j in range(len(fitted.centroids))])
-    groups = -(-many // GROUP)
+    groups = max(-(-many // GROUP), min(TASKS, -(-many // LEAST_GROUP)))
     splits = -(-TASKS // groups)
 
     def probed(promise: np.ndarray) -> np.ndarray:
@@ -146,9 +158,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     numbers = lambda n: F.explode(F.array(*(F.lit(j).cast("long") for j in range(n))))
     none = F.lit(None)
-    held = coded.select(F.pmod(F.xxhash64("entry"), F.lit(groups)).alias("group"), numbers(splits).alias("split"), F.lit(0).alias("kind"), "list", F.col("entry").alias("id"), "code", none.cast("array<double>").alias("q"))
+    held = coded.select(F.pmod(F.xxhash64("entry"), F.lit(groups)).alias("group"), numbers(splits).alias("split"), F.lit(0).alias("kind"), "list", F.col("entry").alias("id"), "code", "slack", F.col("v").alias("q"))
     wanted = asked.select(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")).alias("all"), F.pmod(F.xxhash64("query_id"), F.lit(splits)).alias("split"), "query_id", "q")
-    wanted = wanted.select(F.explode("all").alias("group"), "split", F.lit(1).alias("kind"), none.cast("long").alias("list"), F.col("query_id").alias("id"), none.cast("binary").alias("code"), "q")
+    wanted = wanted.select(F.explode("all").alias("group"), "split", F.lit(1).alias("kind"), none.cast("long").alias("list"), F.col("query_id").alias("id"), none.cast("binary").alias("code"), none.cast("double").alias("slack"), "q")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, fresh = None, [], True
@@ -160,38 +172,68 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     key, parts, fresh = (group[a], split[a]), [], True
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
-                    parts.append((np.asarray(part.column("list")), np.asarray(part.column("id")), np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(b - a, -1)))
+                    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(b - a, -1)
+                    parts.append((np.asarray(part.column("list")), np.asarray(part.column("id")), codes, np.asarray(part.column("slack")), _matrix(part.column("q"))))
                 elif parts:
                     if fresh:
-                        lists, ids, codes = (np.concatenate(x) for x in zip(*parts))
+                        lists, ids, codes, slack, x = (np.concatenate(x) for x in zip(*parts))
                         order = np.lexsort((ids, lists))
-                        parts, fresh = [(np.searchsorted(lists[order], np.arange(len(sizes) + 1)), ids[order], np.ascontiguousarray(codes[order].T))], False
+                        parts, fresh = [(np.searchsorted(lists[order], np.arange(len(sizes) + 1)), ids[order], np.ascontiguousarray(codes[order].T), slack[order], x[order])], False
                     for at in range(0, b - a, 64):
                         yield best(part.slice(at, 64), *parts[0])
 
-    def best(asked: pa.RecordBatch, starts: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    def best(asked: pa.RecordBatch, starts: np.ndarray, ids: np.ndarray, codes: np.ndarray, slack: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         q = _matrix(asked.column("q"))
+        long = np.sqrt((q**2).sum(1))
         promise = q @ model.value.centroids.T
-        compared = probed(promise)
-        tables = [x.astype(np.float32) for x in model.value.tables(q)]
+        tables = [part.astype(np.float32) for part in model.value.tables(q)]
         near = np.full((len(q), len(ids)), -np.inf, np.float32)
-        for j in np.flatnonzero(np.diff(starts)):
-            who, a, b = np.flatnonzero(compared[:, j]), starts[j], starts[j + 1]
-            if len(who):
-                sums = np.repeat(promise[who, j].astype(np.float32)[:, None], b - a, 1)
-                for values, code in zip(tables, codes):
-                    sums += values[who].take(code[a:b], 1)
-                near[who, a:b] = sums
-        top = np.argpartition(-near, RERANK - 1, 1)[:, :RERANK] if len(ids) > RERANK else np.tile(np.arange(len(ids)), (len(q), 1))
-        score = np.take_along_axis(near, top, 1)
-        who, at = np.nonzero(score > -np.inf)
-        return pa.RecordBatch.from_arrays([asked.column("id").take(pa.array(who)), pa.array(ids[top[who, at]]), pa.array(score[who, at].astype(np.float64))], names=["query_id", "c", "near"])
+        there = np.flatnonzero(np.diff(starts))
+        # no vector of a list promises more than its centroid and the way to the farthest of them
+        reach = np.zeros(len(sizes))
+        for j in there:
+            rest = x[starts[j] : starts[j + 1]] - model.value.centroids[j]
+            reach[j] = np.sqrt((rest**2).sum(1).max()) + EXACT * np.sqrt((x[starts[j] : starts[j + 1]] ** 2).sum(1).max())
+
+        def scan(compared: np.ndarray) -> None:
+            for j in there:
+                who, a, b = np.flatnonzero(compared[:, j]), starts[j], starts[j + 1]
+                if len(who):
+                    sums = np.repeat(promise[who, j].astype(np.float32)[:, None], b - a, 1)
+                    for values, code in zip(tables, codes):
+                        sums += values[who].take(code[a:b], 1)
+                    near[who, a:b] = sums
+
+        first = probed(promise)
+        scan(first)
+        # one entry may be the query's own
+        wanted, least, known = k + 1, np.full(len(q), -np.inf), []
+        for n in range(len(q)):
+            top = np.argpartition(-near[n], RERANK - 1)[:RERANK] if len(ids) > RERANK else np.arange(len(ids))
+            top = top[near[n, top] > -np.inf]
+            score = x[top] @ q[n]
+            known.append((top, score))
+            if len(top) >= wanted:
+                least[n] = np.partition(score, -wanted)[-wanted]
+        scan(~first & (promise + long[:, None] * reach + EXACT * np.abs(promise) >= least[:, None]))
+        out = []
+        for n, (top, score) in enumerate(known):
+            open_ = near[n] + long[n] * slack >= least[n]
+            open_ &= near[n] > -np.inf
+            open_[top] = False
+            more = np.flatnonzero(open_)
+            score = np.concatenate([score, *(x[more[at : at + AT_ONCE]] @ q[n] for at in range(0, len(more), AT_ONCE))])
+            top = np.concatenate([top, more])
+            if len(top) > wanted:
+                # what rounding may have parted stays together
+                keep = score >= np.partition(score, -wanted)[-wanted] - EXACT * long[n] * np.sqrt((x[top] ** 2).sum(1))
+                top, score = top[keep], score[keep]
+            out.append((np.full(len(top), n), top, score))
+        who, top, score = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([asked.column("id").take(pa.array(who)), pa.array(ids[top]), pa.array(score)], names=["query_id", "c", "near"])
 
     rows = held.unionByName(wanted).repartition("group", "split").sortWithinPartitions("group", "split", "kind")
     found = rows.mapInArrow(compare, "query_id long, c long, near double")
-    if groups > 1:
-        first = Window.partitionBy("query_id").orderBy(F.desc("near"), "c")
-        found = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= RERANK)
     pairs = found.select("query_id", "c").join(entries, F.col("c") == F.col("entry")).select("query_id", "entry", "ids", "v")
     pairs = pairs.join(asked.withColumnRenamed("query_id", "i"), F.col("query_id") == F.col("i"))
     score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)

@@ -92,3 +92,19 @@ def test_groups(spark, monkeypatch):
     df = spark.createDataFrame([(i, x, 0, "", "") for i, x in rows.items()], SCHEMA)
     got = search(df, df.where("vec_id % 50 = 0")).collect()
     assert compare(got, exact(rows, [i for i in rows if i % 50 == 0])) >= 0.95
+
+
+@pytest.mark.parametrize("kind", ["one mean", "near copies", "lengths"])
+def test_rows_of_other_shapes(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 32))
+    if kind == "one mean":
+        x = 0.1 * x + rng.normal(size=32)
+    elif kind == "near copies":
+        x = np.repeat(rng.normal(size=(4, 32)), 1000, 0) + 1e-4 * x
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    else:
+        x *= np.exp(rng.normal(size=(4000, 1)))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = search(df, df.where("vec_id % 100 = 0")).collect()
+    assert compare(got, exact(dict(enumerate(x)), range(0, 4000, 100))) >= 0.999
