@@ -240,7 +240,10 @@ def label_colours(labels: DataFrame) -> DataFrame:
 
 
 def distances(binary: DataFrame) -> DataFrame:
-    """Distance of each object pixel to the nearest pixel outside, and its view scaled to 0 to 255: run_id, y, x, d, view."""
+    """Distance of each object pixel to the nearest pixel outside, and its view scaled to 0 to 255: run_id, y, x, d, view.
+
+    In an image with no pixel outside, all are as far as it has pixels, and one more.
+    """
     kind = dict(binary.dtypes)["run_id"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -550,14 +550,15 @@ def label_colours(spark, sf_dir):
     return raster.label_colours(s.raster(spark, sf_dir).select("run_id", F.floor(F.col("v") / 25).alias("label")))
 
 
-@query(f"""WITH {s.RASTER_SQL}, d AS (SELECT a.run_id, a.y, a.x, CASE WHEN any_value(a.v) <= 100 THEN 0 ELSE sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) END AS d FROM px a JOIN px b ON a.run_id = b.run_id AND b.v <= 100 GROUP BY 1, 2, 3)
-    SELECT run_id, y, x, round(d, 6) AS d, floor(d / max(d) OVER (PARTITION BY run_id) * 255)::BIGINT AS view FROM d""")
+@query(f"""WITH {s.RASTER_SQL}, d AS (SELECT a.run_id, a.y, a.x, CASE WHEN any_value(a.v) <= 100 THEN 0 ELSE coalesce(sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 64 * 64 + 1) END::DOUBLE AS d FROM px a LEFT JOIN px b ON a.run_id = b.run_id AND b.v <= 100 GROUP BY 1, 2, 3)
+    SELECT run_id, y, x, round(d, 6) AS d, CASE WHEN m > 0 THEN floor(d / m * 255) ELSE 0 END::BIGINT AS view FROM (SELECT *, max(d) OVER (PARTITION BY run_id) AS m FROM d)""")
 def distance_view(spark, sf_dir):
     binary = s.raster(spark, sf_dir).withColumn("v", F.when(F.col("v") > 100, 255).otherwise(0).cast("long"))
     return rounded(raster.distances(binary), "d", places=6)
 
 
-@query(f"WITH {s.RASTER_SQL} SELECT run_id, CASE WHEN run_id < 2 THEN 'bright' ELSE 'all' END AS method, count(*) AS n FROM px WHERE run_id < 2 AND v > 170 OR run_id >= 2 AND v > 100 GROUP BY 1, 2")
+@query(f"""WITH {s.RASTER_SQL}, m AS (SELECT run_id, CASE WHEN run_id < 2 AND max(v) > 170 THEN 'bright' ELSE 'all' END AS method FROM px GROUP BY 1)
+    SELECT run_id, method, count(*) AS n FROM px JOIN m USING (run_id) WHERE v > CASE method WHEN 'bright' THEN 170 ELSE 100 END GROUP BY 1, 2""")
 def strategy_cascade(spark, sf_dir):
     px = s.raster(spark, sf_dir)
     made = lambda test: px.withColumn("label", F.when(test, 1).otherwise(0))
