@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -94,37 +94,70 @@ def radial_moments(pixels: DataFrame, order: int = 4) -> DataFrame:
     return made.select(*KEYS, *((F.col(f"r{n}") / F.pow(most, F.lit(n))).alias(f"zernike_moments_{n}") for n in range(order + 1)))
 
 
-def _each(batch: pa.RecordBatch, work) -> pa.RecordBatch | None:
-    """The rows of a batch whose places ``work`` picks from the points of each object in it."""
+def _objects(batch: pa.RecordBatch) -> np.ndarray:
+    """A number for the object of each row of a batch."""
     codes = np.zeros(batch.num_rows, np.int64)
     for k in KEYS:
         part = batch.column(k).dictionary_encode("encode")
         codes = codes * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(codes, kind="stable")
-    points = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xy"], 1)
-    groups = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
-    return batch.take(pa.array(np.concatenate([g[work(points[g])] for g in groups]))) if batch.num_rows else None
-
-
-def hull_places(points: np.ndarray) -> np.ndarray:
-    """Places in ``points`` of the corners of the convex hull, anticlockwise (monotone chain)."""
-    p, at = np.unique(points, axis=0, return_index=True)
-    # of points of one column only the outer two can be corners
-    new = np.flatnonzero(np.diff(p[:, 0])) + 1
-    ends = np.unique(np.r_[0, new, new - 1, len(p) - 1])
-    p, at = p[ends], at[ends]
-    if len(p) < 3:
-        return at
-    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    rows, out = p.tolist(), []
-    for walk in (range(len(rows)), range(len(rows) - 1, -1, -1)):
-        part: list[int] = []
-        for q in walk:
-            while len(part) > 1 and turn(rows[part[-2]], rows[part[-1]], rows[q]) <= 0:
-                part.pop()
-            part.append(q)
-        out += part[:-1]
-    return at[out]
+    return codes
+
+
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xy"], 1)
+
+
+def _turns(p: np.ndarray, o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (p[a, 0] - p[o, 0]) * (p[b, 1] - p[o, 1]) - (p[a, 1] - p[o, 1]) * (p[b, 0] - p[o, 0])
+
+
+#: Passes over the points of all objects before those that still lose points are walked one by one.
+PASSES = 24
+
+
+def _chain(p: np.ndarray, of: np.ndarray, side: int) -> np.ndarray:
+    """Places of the lower (side 1) or upper (-1) hull of each object, of points sorted by object, x and y.
+
+    A point between two others of its object that lies on their line or beyond it is no corner, whatever becomes of the
+    two, so all such points of all objects go in one pass.
+    """
+    keep = np.arange(len(p))
+    for _ in range(PASSES):
+        o, a, b = keep[:-2], keep[1:-1], keep[2:]
+        gone = (of[o] == of[b]) & (side * _turns(p, o, a, b) <= 0)
+        if not gone.any():
+            return keep
+        unsettled = np.unique(of[a[gone]])
+        keep = np.r_[keep[:1], a[~gone], keep[-1:]]
+    left = np.isin(of[keep], unsettled)
+    x, y = p.T.tolist()
+    walked: list[int] = []
+    first = 0
+    for q in keep[left].tolist():
+        if walked and of[walked[-1]] != of[q]:
+            first = len(walked)
+        while len(walked) > first + 1:
+            o, a = walked[-2], walked[-1]
+            if side * ((x[a] - x[o]) * (y[q] - y[o]) - (y[a] - y[o]) * (x[q] - x[o])) > 0:
+                break
+            walked.pop()
+        walked.append(q)
+    return np.sort(np.r_[keep[~left], np.array(walked, np.int64)])
+
+
+def hull_places(points: np.ndarray, objects: np.ndarray | None = None) -> np.ndarray:
+    """Places in ``points`` of the corners of the convex hull, anticlockwise from the least x (monotone chains); of several
+    objects one hull after another."""
+    if not len(points):
+        return np.zeros(0, np.int64)
+    of = np.zeros(len(points), np.int64) if objects is None else objects
+    at = np.lexsort((points[:, 1], points[:, 0], of))
+    at = at[np.r_[True, (np.diff(of[at]) != 0) | (np.diff(points[at], axis=0) != 0).any(1)]]
+    p, of = points[at], of[at]
+    lower, upper = _chain(p, of, 1), _chain(p, of, -1)
+    back = np.setdiff1d(upper, lower, assume_unique=True)  # the ends are in both
+    corners = np.r_[lower, back]
+    return at[corners[np.lexsort((np.r_[lower, -back], np.repeat([0, 1], [len(lower), len(back)]), of[corners]))]]
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -135,7 +168,7 @@ def hull(points: np.ndarray) -> np.ndarray:
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield _each(batch, hull_places)
+            yield batch.take(pa.array(hull_places(_points(batch), _objects(batch))))
 
 
 def hull_points(points: DataFrame, parts: int = 16) -> DataFrame:
@@ -149,6 +182,31 @@ def hull_points(points: DataFrame, parts: int = 16) -> DataFrame:
     return dealt.sortWithinPartitions(*KEYS).mapInArrow(_combine, p.schema)
 
 
+def _by_object(corners: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on the hulls of whole objects, many in a batch: it gets corners, those of an object together and
+    anticlockwise, and where each object starts.  A task holds a batch and the hull of the object that the batch ends in."""
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return work(batch, np.flatnonzero(np.r_[True, np.diff(_objects(batch)) != 0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            met = batch if held is None else pa.concat_batches([held, batch])
+            of = _objects(met)
+            places = hull_places(_points(met), of)
+            ended = of[places] != of[-1]
+            if ended.any():
+                yield finish(met.take(pa.array(places[ended])))
+            held = met.take(pa.array(places[~ended]))
+        if held is not None:
+            yield finish(held)
+
+    return corners.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, schema)
+
+
 def shoelace(p: np.ndarray) -> float:
     return abs(float(np.dot(p[:, 0], np.roll(p[:, 1], -1)) - np.dot(p[:, 1], np.roll(p[:, 0], -1)))) / 2 if len(p) > 2 else 0.0
 
@@ -241,11 +299,12 @@ def power_sums(points: DataFrame) -> DataFrame:
     sums = [F.sum(power(F.col("x") - F.col("ox"), i) * power(F.col("y") - F.col("oy"), j)).alias(f"b{k}") for k, (i, j) in enumerate(POWERS)]
     blocks = p.groupBy(*KEYS, "ox", "oy").agg(*sums, *(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))))
     b = {power: F.col(f"b{k}") for k, power in enumerate(POWERS)}
-    n = F.sum(b[0, 0])
-    whole = blocks.groupBy(*KEYS).agg((F.sum(b[1, 0] + F.col("ox") * b[0, 0]) / n).alias("cx"), (F.sum(b[0, 1] + F.col("oy") * b[0, 0]) / n).alias("cy"), *(f(f"{n}{c}").alias(f"{n}{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))))
+    # over an object's blocks, in the same tasks that sum them up: a join would bring a row for each object to the driver
+    own = Window.partitionBy(*KEYS)
+    n = F.sum(b[0, 0]).over(own)
+    whole = blocks.withColumns({"cx": F.sum(b[1, 0] + F.col("ox") * b[0, 0]).over(own) / n, "cy": F.sum(b[0, 1] + F.col("oy") * b[0, 0]).over(own) / n} | {f"{n}{c}": f(f"{n}{c}").over(own) for c in "xy" for n, f in (("min", F.min), ("max", F.max))})
     scale = F.greatest(*(F.col(f"max{c}") - F.col(f"c{c}") for c in "xy"), *(F.col(f"c{c}") - F.col(f"min{c}") for c in "xy"))
-    whole = whole.select(*KEYS, "cx", "cy", F.when(scale > 0, scale).otherwise(1.0).alias("scale"))
-    moved = blocks.join(whole, KEYS).withColumns({f"d{c}": F.col(f"o{c}") - F.col(f"c{c}") for c in "xy"})
+    moved = whole.withColumn("scale", F.when(scale > 0, scale).otherwise(1.0)).withColumns({f"d{c}": F.col(f"o{c}") - F.col(f"c{c}") for c in "xy"})
     # first along x, then along y
     along = lambda d, k, terms: reduce(operator.add, (math.comb(k, a) * power(F.col(d), k - a) * terms(a) for a in range(k + 1)))
     moved = moved.withColumns({f"q{i}{j}": along("dx", i, lambda a: b[a, j]) for i, j in POWERS})
@@ -275,18 +334,60 @@ def greatest_distance(p: np.ndarray) -> float:
 HULL = ("hull_area_px", "hull_perimeter_px", "rot_rect_w_px", "rot_rect_h_px", "rot_rect_angle", "widest")
 
 
+#: Pairs of a side or corner and a corner of the same object that are held at once.
+PAIRS = 1 << 19
+
+
+def _measures(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The values of ``HULL`` of objects whose hull corners follow one another: a row for each."""
+    n = np.diff(np.r_[starts, len(p)])
+    to = np.arange(1, len(p) + 1)
+    to[starts + n - 1] = starts
+    x, y = p.T
+    out = np.zeros((len(n), len(HULL)))
+    out[:, 0] = np.abs(np.add.reduceat(x * y[to] - y * x[to], starts)) / 2 * (n > 2)
+    out[:, 1] = np.add.reduceat(np.hypot(x[to] - x, y[to] - y), starts)
+    for k in np.flatnonzero(n > STEP):
+        h = p[starts[k] : starts[k] + n[k]]
+        out[k, 2:] = *smallest_rectangle(h), greatest_distance(h)
+    few = np.flatnonzero(n <= STEP)
+    for some in np.split(few, np.flatnonzero(np.diff(np.cumsum(n[few] ** 2) // PAIRS)) + 1):
+        if len(some):
+            out[some, 2:] = _rectangles(p, to, starts[some], n[some])
+    return out
+
+
+def _rectangles(p: np.ndarray, to: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``smallest_rectangle`` and ``greatest_distance`` of some objects, each side and corner against all corners of its object."""
+    first = np.cumsum(n) - n
+    of = np.repeat(np.arange(len(n)), n)
+    own = np.arange(len(of)) - first[of] + starts[of]
+    rows = n[of]
+    begin = np.cumsum(rows) - rows
+    side = np.repeat(np.arange(len(of)), rows)
+    other = p[np.arange(len(side)) - begin[side] + starts[of][side]]
+    far = np.maximum.reduceat(np.hypot(*(p[own][side] - other).T), begin[first])
+    d = p[to[own]] - p[own]
+    turn = np.round(np.degrees(np.arctan2(d[:, 1], d[:, 0])), 9)
+    d = d / np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-300)[:, None]
+    along, across = (np.maximum.reduceat(v, begin) - np.minimum.reduceat(v, begin) for v in (other[:, 0] * d[side, 0] + other[:, 1] * d[side, 1], other[:, 1] * d[side, 0] - other[:, 0] * d[side, 1]))
+    quarters = np.floor(turn / 90) + 1
+    w, h = np.where(quarters % 2, across, along), np.where(quarters % 2, along, across)
+    angle = turn - 90 * quarters
+    best = np.lexsort((turn, np.round(angle, 6), np.round(w * h, 6), of))[first]
+    return np.stack([w[best], h[best], angle[best], far], 1)
+
+
 def hull_shapes(points: DataFrame) -> DataFrame:
     """Area and perimeter of each object's hull, its smallest rectangle and greatest width: ``HULL``; a task holds a hull."""
     corners = hull_points(points)
     kinds = dict(corners.dtypes)
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h = hull(np.stack([table.column(c).to_numpy() for c in "xy"], 1))
-        around = float(np.hypot(*(np.roll(h, -1, 0) - h).T).sum()) if len(h) > 1 else 0.0
-        row = (shoelace(h), around, *smallest_rectangle(h), greatest_distance(h))
-        return pa.table([*(table.column(k).slice(0, 1) for k in KEYS), *([v] for v in row)], names=[*KEYS, *HULL])
+    def work(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        whole = batch.take(pa.array(starts))
+        return pa.RecordBatch.from_arrays([*(whole.column(k) for k in KEYS), *(pa.array(c) for c in _measures(_points(batch), starts).T)], names=[*KEYS, *HULL])
 
-    return corners.groupBy(*KEYS).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", " + ", ".join(f"{c} double" for c in HULL))
+    return _by_object(corners, work, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", " + ", ".join(f"{c} double" for c in HULL))
 
 
 def least_distances(points: DataFrame) -> DataFrame:
@@ -316,7 +417,7 @@ def whole_shapes(vertices: DataFrame) -> DataFrame:
     """
     found = cut(ellipses(vertices))
     flat = vertices.join(found.where("long IS NULL").select(*KEYS), KEYS, "left_semi")
-    made = hull_shapes(vertices).join(found, KEYS).join(least_distances(flat), KEYS, "left")
+    made = hull_shapes(vertices).join(found.hint("merge"), KEYS).join(least_distances(flat).hint("merge"), KEYS, "left")
     ratio = F.col("short") / F.col("long")
     return made.select(
         *KEYS, *HULL[:-1], F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 1 - ratio * ratio)), F.lit(0.0)).alias("eccentricity"),
@@ -329,12 +430,13 @@ def hull_fill(objects: DataFrame) -> DataFrame:
     corners = hull_points(objects)
     kinds = dict(corners.dtypes)
 
-    def sides(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h = hull(np.stack([table.column(c).to_numpy() for c in "xy"], 1))
-        to = np.roll(h, -1, 0)
-        return pa.table([pa.array([k.as_py()] * len(h), k.type) for k in key] + [pa.array(c) for c in (h[:, 0], h[:, 1], to[:, 0], to[:, 1])], names=[*KEYS, "x", "y", "x2", "y2"])
+    def sides(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        h = _points(batch)
+        to = np.arange(1, len(h) + 1)
+        to[np.r_[starts[1:], len(h)] - 1] = starts
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), *(pa.array(c) for c in (h[:, 0], h[:, 1], h[to, 0], h[to, 1]))], names=[*KEYS, "x", "y", "x2", "y2"])
 
-    edges = corners.groupBy(*KEYS).applyInArrow(sides, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", x double, y double, x2 double, y2 double")
+    edges = _by_object(corners, sides, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", x double, y double, x2 double, y2 double")
     met = edges.select("*", F.explode(F.sequence(F.least("y", "y2").cast("long"), F.greatest("y", "y2").cast("long"))).alias("row"))
     # a side along a row gives both its ends, once from each direction or from its neighbours
     at = F.when(F.col("y") == F.col("y2"), F.col("x")).otherwise(F.col("x") + (F.col("x2") - F.col("x")) * (F.col("row") - F.col("y")) / (F.col("y2") - F.col("y")))
@@ -345,7 +447,7 @@ def hull_fill(objects: DataFrame) -> DataFrame:
 def measure(vertices: DataFrame) -> DataFrame:
     """All features of polygons, without millimetres (``calibration.with_mm`` adds them)."""
     vertices = cut(vertices)  # read several times
-    made = polygon_features(vertices).join(whole_shapes(vertices), KEYS).join(hu_moments(vertices), KEYS)
+    made = polygon_features(vertices).join(whole_shapes(vertices).hint("merge"), KEYS).join(hu_moments(vertices).hint("merge"), KEYS)
     long, short = F.greatest("rot_rect_w_px", "rot_rect_h_px"), F.least("rot_rect_w_px", "rot_rect_h_px")
     made = made.withColumns({"length_px": long, "width_px": short, "major_axis_px": long, "minor_axis_px": short})
     return made.withColumns(

@@ -185,3 +185,28 @@ def test_hull_fill_by_rows(spark):
     a[40:55, 50:70] = 255 * (rng.random((15, 20)) > 0.3)
     a[2, 60:75] = 255
     assert np.array_equal(array(raster.hull_fill(image(spark, a))), kernels.hull_fill(a))
+
+
+def test_hulls_of_many_objects_in_one_batch(spark, capsys):
+    """Objects are measured together, as each is alone: lines, repeated points, arcs that lose a point a pass, hulls of over ``STEP`` corners."""
+    rng = np.random.default_rng(6)
+    k = np.arange(60)
+    groups = {n: rng.integers(0, 12, (n, 2)) for n in (1, 2, 3, 30)} | {4: [(n, 2 * n) for n in k], 5: [(3, 3)] * 7, 6: [(n, n * n) for n in k] + [(70, -5000)], 7: [(n, n * n) for n in range(2 * geometry.STEP)]}
+    made = geometry.hull_shapes(points(spark, groups))
+    made.explain()
+    assert "FlatMapGroupsInArrow" not in capsys.readouterr().out
+    rows = {r.label: r for r in made.collect()}
+    assert set(rows) == set(groups)
+    for n, p in groups.items():
+        h = geometry.hull(np.array(p, float))
+        r = rows[n]
+        assert (r.rot_rect_w_px, r.rot_rect_h_px, r.rot_rect_angle, r.widest) == pytest.approx((*geometry.smallest_rectangle(h), geometry.greatest_distance(h)))
+        assert r.hull_area_px == pytest.approx(geometry.shoelace(h)) and r.hull_perimeter_px == pytest.approx(sum(math.dist(a, b) for a, b in zip(h, np.roll(h, -1, 0))))
+
+
+def test_sums_of_objects_are_not_broadcast(spark, capsys):
+    sums = geometry.power_sums(points(spark, {1: [(0, 0), (700, 3), (5, 900)], 2: [(1, 1)]}))
+    sums.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    rows = {r.label: r for r in sums.collect()}
+    assert rows[1].p0 == 3 and rows[1].p1 == pytest.approx(0, abs=1e-12) and rows[2].p0 == 1 and rows[2].scale == 1
