@@ -6,13 +6,15 @@
   which two sets that link can differ.  Two that link therefore agree in a whole segment, and only
   sets that agree in one meet.  Segments hold several shingles each, so unlike single shingles
   they are hardly ever shared by chance, however large the corpus is.
-* Sets that meet in a segment first meet its least document only.  The candidates of a document
-  stand side by side in the global order, so that they are a prefix tree walked in preorder: the
+* Sets that meet in a segment first meet its least document only, and of these the one with which
+  they share most.  The candidates of a document stand side by side in the global order, so that they are a prefix tree walked in preorder: the
   overlap is kept for the path that one candidate has in common with the one before, and a subtree
   is left as soon as the elements that remain cannot bring the overlap that is needed.
 * What these walks join needs no further test, since only components are asked for.  Where a segment
   still has documents of different components, all of these meet, in blocks; no pair between
-  different components is left out.
+  different components is left out.  Pairs are never rows: a task first gives a forest of those that
+  may link by the counts of their sets' parts, the trees of all forests are clusters, and the sets of a
+  cluster are compared in one place, which again gives a forest, of links.
 
 Defined cases: texts without words, empty or null, have an empty set and link with nothing; fewer
 words than ``words`` are one shingle; repeated rows are one document; a null identifier has a count, links with
@@ -30,7 +32,7 @@ from math import exp, sqrt
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -39,13 +41,15 @@ from ._store import dropped, table, unused, written
 
 #: At most so many identifiers (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Candidates of one document that are compared in one task, and documents of a segment in one block.
+#: Candidates of one document that are compared in one task, and documents of a segment or cluster in one block.
 PER_TASK, BLOCK = 512, 1024
+#: Shingles of a document that weigh as much as one document in a block of sets.
+SHINGLES = 512
 #: Postings (each a segment of a document) that a task holds before it deals them out.
 HELD = 1 << 20
 #: Ratio of the largest set sizes of neighbouring bands, at least.
 BAND = 1.5
-#: Parts of all shingles; what two sets share is at most the sum over parts of the smaller counts.
+#: Parts of all shingles, at least; what two sets share is at most the sum over parts of the smaller counts.
 PARTS = 64
 #: Bytes of a shingle's hash that sets are compared by.
 KEY_BYTES = 6
@@ -180,14 +184,19 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def set_parts(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and how many elements of the set fall into each of ``PARTS``, as 32-bit numbers."""
+    """doc_id and how many elements of the set fall into each of its parts, as 32-bit numbers.
+
+    There are ``PARTS`` or, in larger sets, so many times two that a part holds eight elements at most on average.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in t.slices(batches, "text"):
             bounds, keys = ordered_sets(data, offsets, words)
-            part = np.repeat(np.arange(rows.num_rows) * PARTS, np.diff(bounds)) + (keys % np.uint64(PARTS)).astype(np.int64)
-            counts = np.bincount(part, minlength=rows.num_rows * PARTS).astype("<u4").reshape(-1, PARTS)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["doc_id", "parts"])
+            counts = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                many = PARTS << max(0, ((b - a - 1) // (8 * PARTS)).bit_length())
+                counts.append(np.bincount((keys[a:b] % np.uint64(many)).astype(np.int64), minlength=many).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.binary())], names=["doc_id", "parts"])
 
     return docs.select("doc_id", "text").mapInArrow(t.giving_back(run), "doc_id long, parts binary")
 
@@ -354,43 +363,129 @@ class PreorderWalk:
         return depth == len(other) and have >= need
 
 
-def _met(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of different components that share a token and may link.
+def _needed(n: np.ndarray, m: np.ndarray | int, percent: int) -> np.ndarray:
+    """Elements that sets of these sizes must share."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _may_link(n: np.ndarray, counts: list[np.ndarray], k: int, at: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``at`` that may link with the set at ``k`` by their sizes and the counts of their parts."""
+    at = at[100 * np.minimum(n[at], n[k]) >= percent * np.maximum(n[at], n[k])]
+    if not len(at):
+        return at
+    own, most = counts[k], np.empty(len(at), np.int64)
+    lengths = np.array([len(counts[j]) for j in at.tolist()])
+    for length in np.unique(lengths):
+        pick = np.flatnonzero(lengths == length)
+        p = min(int(length), len(own))  # finer counts are added up to the coarser ones
+        mine = own.reshape(-1, p).sum(0)
+        wide = np.stack([counts[j] for j in at[pick].tolist()]).reshape(len(pick), -1, p).sum(1)
+        most[pick] = np.minimum(wide, mine).sum(1)
+    return at[most >= _needed(n[at], n[k], percent)]
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key, of rows sorted by it."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table_ = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks()
+        batch = table_.to_batches()[0]
+        starts = np.flatnonzero(t.first_of_runs(*(np.asarray(batch.column(k)) for k in keys)))
+        for a, b in zip(starts, starts[1:]):
+            yield batch.slice(a, b - a)
+        rest = batch.slice(starts[-1])
+    if rest is not None:
+        yield rest
+
+
+def _placed(members: DataFrame, key: str, weight: Column) -> DataFrame:
+    """Members of a key in blocks of about ``BLOCK`` by weight; every two of a key are together in one (block, other)."""
+    many = members.groupBy(F.col(key).alias("k")).agg(F.ceil(F.sum(weight) / BLOCK).cast("long").alias("blocks"))
+    placed = members.join(many, F.col(key) == F.col("k")).withColumn("home", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return placed.select(key, F.least("home", "j").alias("block"), F.greatest("home", "j").alias("other"), "home", "doc")
+
+
+def _near(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of a forest that joins all documents of which two share a token and may link.
 
-    members: token, block, other, doc, component, n, parts; those of one (token, block, other) meet.
+    members: token, block, other, home, doc, component, n, parts; those of one (token, block, other)
+    meet.  A task gives no pairs, but at most one link a member, however many pairs there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.RecordBatch | None = None
-        for batch in batches:
-            table_ = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks()
-            batch = table_.to_batches()[0]
-            keys = [np.asarray(batch.column(k)) for k in ("token", "block", "other")]
-            starts = np.flatnonzero(t.first_of_runs(*keys))
-            for a, b in zip(starts, starts[1:]):
-                yield from pairs(batch.slice(a, b - a))
-            rest = batch.slice(starts[-1])
-        if rest is not None:
-            yield from pairs(rest)
-
-    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        doc, component, n, home = (np.asarray(rows.column(k)) for k in ("doc", "component", "n", "home"))
-        block, other = rows.column("block")[0].as_py(), rows.column("other")[0].as_py()
-        parts = np.frombuffer(b"".join(rows.column("parts").to_pylist()), "<u4").reshape(len(doc), PARTS).astype(np.int64)
-        for k in range(len(doc)):
-            may = (doc > doc[k]) & (component != component[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-            if block != other:
-                may &= home != home[k]
-            at = np.flatnonzero(may)
-            need = -(-percent * (n[at] + n[k]) // (100 + percent))
-            at = at[np.minimum(parts[at], parts[k]).sum(1) >= need]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc[k])), pa.array(doc[at])], names=["a", "b"])
-
-    dealt = members.repartition("token", "block", "other").sortWithinPartitions("token", "block", "other")
+        for rows in _by_key(batches, ("token", "block", "other")):
+            doc, component, n, home = (np.asarray(rows.column(k)) for k in ("doc", "component", "n", "home"))
+            apart = rows.column("block")[0] != rows.column("other")[0]
+            counts = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows.column("parts").to_pylist()]
+            label = np.arange(len(doc))
+            for k in range(len(doc) - 1):
+                may = (label[k + 1 :] != label[k]) & (component[k + 1 :] != component[k])
+                if apart:
+                    may &= home[k + 1 :] != home[k]
+                at = _may_link(n, counts, k, np.flatnonzero(may) + k + 1, percent)
+                if len(at):
+                    label[np.isin(label, np.append(label[at], label[k]))] = min(label[k], label[at].min())
+            joined = np.flatnonzero(label != np.arange(len(doc)))
+            if len(joined):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[label[joined]]), pa.array(doc[joined])], names=["a", "b"])
+
+    # by document: most tokens of near copies then have the same least one
+    dealt = members.repartition("token", "block", "other").sortWithinPartitions("token", "block", "other", "doc")
     return dealt.mapInArrow(t.giving_back(run), "a long, b long").distinct()
 
 
+def _linked(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all of a cluster's documents that lead to one another by links.
+
+    members: cluster, block, other, home, doc, component, n, parts, keys; all of one (cluster, block,
+    other) are compared but those that are already joined.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, ("cluster", "block", "other")):
+            doc, component, n, home = (np.asarray(rows.column(k)) for k in ("doc", "component", "n", "home"))
+            apart = rows.column("block")[0] != rows.column("other")[0]
+            counts = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows.column("parts").to_pylist()]
+            packed = rows.column("keys").to_pylist()
+            order = np.array(sorted(range(len(doc)), key=packed.__getitem__))  # preorder of the prefix tree
+            label = np.unique(component, return_inverse=True)[1]
+            links: list[tuple[int, int]] = []
+            for k in order.tolist():
+                may = (label != label[k]) & (doc > doc[k])
+                if apart:
+                    may &= home != home[k]
+                at = _may_link(n, counts, k, order[may[order]], percent)
+                if not len(at):
+                    continue
+                walk = PreorderWalk(_unpacked_set(packed[k]), percent)
+                for j in at.tolist():
+                    if label[j] != label[k] and walk.links(_unpacked_set(packed[j])):
+                        links.append((doc[k], doc[j]))
+                        label[label == label[j]] = label[k]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+    dealt = members.repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other")
+    return dealt.mapInArrow(t.giving_back(run), "a long, b long")
+
+
+def _open_members(ties: DataFrame, apart: DataFrame) -> DataFrame:
+    """token and doc of all tokens that a pair of ``apart`` shares, one token of those with the same documents: a table."""
+    open_ = ties.join(apart, ["a", "b"], "left_semi").select(F.col("token").alias("k")).distinct()
+    members = ties.join(open_, F.col("token") == F.col("k"), "left_semi").select("token", F.explode(F.array("a", "b")).alias("doc")).distinct()
+    members = written(members, "members")
+    # a passage that documents share gives many tokens with the same documents
+    both = [F.sum(F.xxhash64("doc", F.lit(k)).cast("decimal(20,0)")).alias(f"print_{k}") for k in (1, 2)]
+    prints = members.groupBy("token").agg(F.count("*").alias("many"), *both)
+    one = prints.groupBy("many", "print_1", "print_2").agg(F.min("token").alias("k"))
+    fewer = written(members.join(one.select("k"), F.col("token") == F.col("k"), "left_semi"), "fewer")
+    dropped(members)
+    return fewer
+
+
 def _of_documents(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """Pairs (a, b and further columns) of which a and b are of different components."""
     one, two = (components.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"of_{x}")) for x in "ab")
@@ -421,37 +516,39 @@ def _components(docs: DataFrame, sizes: DataFrame, words: int, percent: int) ->
     # copies of one set stand for one document from here on
     stand = same.select(F.col("b").alias("node"), F.col("a").alias("component"))
     pairs = written(_of_documents(ties.groupBy("a", "b").agg(F.count("*").alias("tokens"), F.first("fits").alias("fits")), stand), "pairs")
-    # each document meets the one with which it shares most tokens, then all others to which it is tied
+    # each document meets the one with which it shares most tokens
     best = pairs.where("fits").groupBy("b").agg(F.max_by("a", F.struct("tokens", -F.col("a"))).alias("a")).select("a", "b")
     best = written(best, "best")
     links = [same, verify(best, docs, words, percent)]
     components = _settled(links)
-    others = written(_of_documents(pairs.where("fits").select("a", "b").join(best, ["a", "b"], "left_anti"), components), "others")
-    if others.limit(1).count():
-        links.append(verify(others, docs, words, percent))
-        components = _settled(links, components)
     # then those of different components that still share a token
     apart = written(_of_documents(pairs.select("a", "b"), components), "apart")
+    dropped(pairs, best)
     if apart.limit(1).count():
-        open_ = ties.join(apart, ["a", "b"], "left_semi").select(F.col("token").alias("k")).distinct()
-        members = ties.join(open_, F.col("token") == F.col("k"), "left_semi").select("token", F.explode(F.array("a", "b")).alias("doc")).distinct()
-        members = written(members, "members")
+        members = _open_members(ties, apart)
+        dropped(ties, apart)
         ids = written(members.select(F.col("doc").alias("i")).distinct(), "ids")
         parts = set_parts(_in_ids(docs, ids), words).withColumnRenamed("doc_id", "i").dropDuplicates(["i"])
         known = sizes.select(F.col("doc_id").alias("j"), "n").dropDuplicates(["j"])
         own = components.select(F.col("node").alias("c"), "component")
-        about = ids.join(parts, "i").join(known, F.col("i") == F.col("j")).join(own, F.col("i") == F.col("c"), "left").select("i", "parts", "n", F.coalesce("component", "i").alias("component"))
-        many = members.groupBy(F.col("token").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-        placed = members.join(many, F.col("token") == F.col("k")).withColumn("home", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-        placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        placed = placed.select("token", F.least("home", "j").alias("block"), F.greatest("home", "j").alias("other"), "home", "doc")
-        met = _met(placed.join(about, F.col("doc") == F.col("i")).drop("i"), percent)
-        met = written(met.join(pairs.where("fits").select("a", "b"), ["a", "b"], "left_anti"), "met")
-        if met.limit(1).count():
-            links.append(verify(met, docs, words, percent))
+        about = ids.join(parts, "i").join(known, F.col("i") == F.col("j")).join(own, F.col("i") == F.col("c"), "left")
+        about = written(about.select("i", "parts", "n", F.coalesce("component", "i").alias("component")), "about")
+        near = written(_near(_placed(members, "token", F.lit(1)).join(about, F.col("doc") == F.col("i")).drop("i"), percent), "near")
+        dropped(members, ids)
+        if near.limit(1).count():
+            clusters = connected_components(near)
+            ids = written(clusters.select(F.col("node").alias("i")), "ids")
+            sets = packed_sets(_in_ids(docs, ids), words).dropDuplicates(["doc_id"])
+            sized = clusters.join(about.select("i", "n"), F.col("node") == F.col("i")).select(F.col("component").alias("cluster"), F.col("node").alias("doc"), "n")
+            placed = _placed(sized, "cluster", F.greatest(F.lit(1), F.col("n") / SHINGLES))
+            met = placed.join(about, F.col("doc") == F.col("i")).drop("i").join(sets, F.col("doc") == F.col("doc_id")).drop("doc_id")
+            links.append(written(_linked(met, percent), "linked"))
             components = _settled(links, components)
-        dropped(members, ids, met)
-    dropped(*links, first, ties, pairs, best, others, apart)
+            dropped(ids, clusters)
+        dropped(about, near)
+    else:
+        dropped(ties, apart)
+    dropped(*links, first)
     return components
 
 

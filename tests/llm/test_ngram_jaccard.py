@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from sievestone.llm import ngram_jaccard
 from sievestone.llm.ngram_jaccard import PreorderWalk, jaccard_components, keep_first, op6_prefix_tree
 
 SCHEMA = "doc_id long, text string, a string, b string, n string, token string"
@@ -74,6 +75,25 @@ def test_chains_of_near_copies(spark):
     assert rows_of(jaccard_components(df)) == brute(rows)
 
 
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """Near copies of one text, most of them just too far from one another: rows compared stay few, and nothing is lost."""
+    rng = random.Random(5)
+    rows = []
+    for size in (90, 514):
+        base = [f"s{size}x{k}" for k in range(size)]
+        for i in range(150 if size == 90 else 30):
+            w = list(base[: size - rng.randrange(4)])
+            for _ in range(rng.choice([1, 2, 3]) * size // 90):
+                w[rng.randrange(len(w))] = f"own{i}"
+            rows.append((len(rows) * 7 % 181 + 1, " ".join(w)))
+    df = spark.createDataFrame([(i, x, "", "", "", "") for i, x in rows], SCHEMA).repartition(6)
+    counts, write = [], ngram_jaccard.written
+    monkeypatch.setattr(ngram_jaccard, "written", lambda made, tag: (out := write(made, tag), counts.append((tag, out.count())))[0])
+    assert rows_of(jaccard_components(df)) == brute(rows)
+    assert sum(n for tag, n in counts if tag in ("asked", "met", "others")) <= 2 * len(rows)
+    assert sum(n for tag, n in counts if tag == "linked") <= 2 * len(rows)
+
+
 def test_edge_cases(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two three"), (7, "one two three four"), (8, "é b c d e " * 4000), (9, "é b c d e " * 4000 + "z")]
