@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+from sievestone.llm import quality_rules
 from sievestone.llm.quality_rules import keep_good, line_frequency_verdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +94,23 @@ def test_frequent_lines_go_from_the_text(spark):
     assert all(r.n_chars == len(r.text) and r.rows == "clash" for r in got.collect())
     words = {i: len(WORD.findall(x)) for i, x, _ in want if i is not None and i < 30}
     assert all(words[i] == len(WORD.findall(rows[i][1])) - removed[i] for i in words)
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """The rows kept are those of the join, and no exchange or join has the texts."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i % 50 if i % 9 else None, f"said by all\n{own(i) if i % 7 else 'short'}\n" + "again and again\n" * (i % 3) + own(i)[: 90 * (i % 4)], "ab"[i % 2] if i % 5 else None) for i in range(120)]
+    df = spark.createDataFrame([(i, x, "en", h, len(x), "") for i, x, h in rows + rows[:20]], SCHEMA).repartition(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        here = keep_good(df, min_docs=5, max_share=0.0)
+        monkeypatch.setattr(quality_rules, "BROADCAST_LINES", 0)
+        joined = keep_good(df, min_docs=5, max_share=0.0)
+        key = lambda r: str(tuple(r))
+        assert sorted(map(key, here.collect())) == sorted(map(key, joined.collect()))
+        assert 0 < here.count() < 140
+        plan = here._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
