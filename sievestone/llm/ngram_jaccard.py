@@ -39,7 +39,7 @@ from . import _text as t
 from ._graph import connected_components
 from ._store import dropped, table, unused, written
 
-#: At most so many identifiers (8 bytes each) are broadcast; more are joined by a shuffle.
+#: At most so many identifiers, or pairs of them, are broadcast; more are joined by a shuffle, of texts or sets too.
 BROADCAST_IDS = 500_000
 #: Candidates of one document that are compared in one task, and documents of a segment or cluster in one block.
 PER_TASK, BLOCK = 512, 1024
@@ -296,10 +296,14 @@ def _ties(packed: DataFrame, percent: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "token long, a long, b long, fits boolean")
 
 
+def _handed(rows: DataFrame) -> DataFrame:
+    """A table of identifiers, broadcast up to a size that the planner, which knows the size of its files, does not choose by itself."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def _in_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is among ``ids`` (a table with one column i, distinct)."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.col("doc_id") == F.col("i"), "left_semi")
+    return docs.join(_handed(ids), F.col("doc_id") == F.col("i"), "left_semi")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -324,7 +328,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
-    rows = sets.join(asked, F.col("doc_id") == F.col("b")).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "keys")
+    rows = sets.join(_handed(asked), F.col("doc_id") == F.col("b")).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "keys")
     linked = written(rows.select("a", "kind", "b", "keys").mapInArrow(t.giving_back(run), "a long, b long"), "linked")
     dropped(asked, ids)
     return linked
@@ -571,13 +575,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id come after all others, in the order of a hash of their text; of equal
     texts with words one row stays, and all rows without words, which link with nothing.
     """
-    name, head, size, rank = unused(docs.columns, "_key", "_first", "_size", "_rank")
+    name, head, size, gone, rank = unused(docs.columns, "_key", "_first", "_size", "_gone", "_rank")
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)).bitwiseOR(F.lit(_UNNAMED)))
     keyed = docs.withColumn(name, key)
-    first = jaccard_components(keyed.select(name, "text"), name, words=5, percent=80).where("component_id = doc_id")
-    first = written(first.groupBy(F.col("doc_id").alias(head)).agg(F.max("n_shingles").alias(size)), "first")
-    named = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id").cast("long") == F.col(head), "left_semi")
-    unnamed = keyed.where("doc_id IS NULL").join(first, F.col(name) == F.col(head))
+    known = jaccard_components(keyed.select(name, "text"), name, words=5, percent=80)
+    known = known.groupBy(F.col("doc_id").alias(head)).agg(F.max("n_shingles").alias(size), F.max(F.col("component_id") != F.col("doc_id")).alias(gone))
+    known = written(known, "first")
+    # those that go are far fewer than those that stay, and are handed to the tasks that read the texts
+    named = docs.where("doc_id IS NOT NULL").join(_handed(known.where(gone).select(head)), F.col("doc_id").cast("long") == F.col(head), "left_anti")
+    unnamed = keyed.where("doc_id IS NULL").join(known.where(f"NOT {gone}").drop(gone), F.col(name) == F.col(head))
     one = F.row_number().over(Window.partitionBy(name).orderBy(F.col(name)))
     texts = unnamed.where(F.col(size) > 0).withColumn(rank, one).where(F.col(rank) == 1)
     own = [F.col(f"`{c}`") for c in docs.columns]

@@ -134,3 +134,21 @@ def test_walk_in_any_order_of_sets():
         for other in sorted(others, key=lambda x: x.astype(">u8").tobytes()):
             n = len(np.intersect1d(own, other))
             assert walk.links(other) == (100 * n >= 80 * (len(own) + len(other) - n))
+
+
+def test_texts_and_sets_stay_where_they_are(spark, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plans, real = {}, ngram_jaccard.written
+    monkeypatch.setattr(ngram_jaccard, "written", lambda df, tag: (plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString()), real(df, tag))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the tables of identifiers are larger
+    try:
+        named = keep_first(docs).where("doc_id IS NOT NULL")
+        plan = named._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc_id for r in named.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {c for _, _, c in brute(rows, 5, 80)}
+    assert "LeftAnti" in plan and "LeftSemi" not in plan and "SortMergeJoin [cast(doc_id" not in plan and "SortMergeJoin [doc_id#" not in plan.split("Union")[0]
+    assert "BroadcastHashJoin [doc_id" in plans["linked"][0] and "SortMergeJoin" not in plans["linked"][0]
