@@ -92,33 +92,52 @@ def ellipse(size: int) -> tuple[int, ...]:
     return tuple(round(r * math.sqrt((r * r - d * d) / (r * r))) if r else 0 for d in range(-r, r + 1))
 
 
-def extreme(px: DataFrame, kernel: Sequence[int], largest: bool) -> DataFrame:
-    """Greatest or least value over a kernel; what lies outside the image does not count."""
-    line, most = _line("x"), F.max if largest else F.min
-    rows = px.select(*ROW, *(most("v").over(line.rowsBetween(-d, d)).alias(f"_{d}") for d in sorted(set(kernel))))
+def _turned(kernel: Sequence[int]) -> tuple[int, ...]:
+    """The half heights of a kernel's columns, from the half widths of its rows: rows get narrower outwards."""
     r = len(kernel) // 2
-    terms = [_neighbour(f"_{d}", k - r, "y") for k, d in enumerate(kernel)]
-    return rows.select(*ROW, (terms[0] if len(terms) == 1 else (F.greatest if largest else F.least)(*terms)).alias("v"))
+    return tuple(max(abs(k - r) for k, half in enumerate(kernel) if half >= abs(d)) for d in range(-max(kernel), max(kernel) + 1))
 
 
-def dilate(px: DataFrame, kernel: Sequence[int], times: int = 1) -> DataFrame:
-    for _ in range(times):
-        px = extreme(px, kernel, True)
+def extreme(px: DataFrame, kernel: Sequence[int], largest: bool, along: str = "x") -> DataFrame:
+    """Greatest or least value over a kernel; what lies outside the image does not count.
+
+    First over intervals ``along`` one axis, then across.  Each neighbour is fetched once, and intervals grow by two
+    from one width to the next: sliding frames would read all their values anew at every pixel, for every width.
+    """
+    of, kernel = F.greatest if largest else F.least, kernel if along == "x" else _turned(kernel)
+    reach, r = max(kernel), len(kernel) // 2
+    near = px.select(*ROW, F.col("v").alias("_w0"), *(_neighbour("v", k, along).alias(f"_{k}") for k in range(-reach, reach + 1) if k))
+    widest = 0
+    for d in sorted(set(kernel) - {0}):
+        more = [F.col(f"_{k}") for s in range(widest + 1, d + 1) for k in (-s, s)]
+        near, widest = near.withColumn(f"_w{d}", of(F.col(f"_w{widest}"), *more)), d
+    rows = near.select(*ROW, *(f"_w{d}" for d in sorted(set(kernel))))
+    terms = [_neighbour(f"_w{d}", k - r, "y" if along == "x" else "x") for k, d in enumerate(kernel)]
+    return rows.select(*ROW, (terms[0] if len(terms) == 1 else of(*terms)).alias("v"))
+
+
+def _extremes(px: DataFrame, kernel: Sequence[int], kinds: Sequence[bool]) -> DataFrame:
+    """Extremes one after another; every second one begins along the lines in which the one before has dealt out and sorted the pixels."""
+    axes = "xy" if _turned(_turned(kernel)) == tuple(kernel) else "xx"  # a kernel whose rows widen outwards has no such columns
+    for k, largest in enumerate(kinds):
+        px = extreme(px, kernel, largest, axes[k % 2])
     return px
 
 
+def dilate(px: DataFrame, kernel: Sequence[int], times: int = 1) -> DataFrame:
+    return _extremes(px, kernel, [True] * times)
+
+
 def erode(px: DataFrame, kernel: Sequence[int], times: int = 1) -> DataFrame:
-    for _ in range(times):
-        px = extreme(px, kernel, False)
-    return px
+    return _extremes(px, kernel, [False] * times)
 
 
 def opened(px: DataFrame, kernel: Sequence[int], times: int = 1) -> DataFrame:
-    return cut(dilate(erode(px, kernel, times), kernel, times))
+    return cut(_extremes(px, kernel, [False] * times + [True] * times))
 
 
 def closed(px: DataFrame, kernel: Sequence[int], times: int = 1) -> DataFrame:
-    return cut(erode(dilate(px, kernel, times), kernel, times))
+    return cut(_extremes(px, kernel, [True] * times + [False] * times))
 
 
 def cleanup(binary: DataFrame) -> DataFrame:
