@@ -133,6 +133,7 @@ def watershed(px: DataFrame, share: float = 0.2, gap: int | None = None) -> Data
     an object without one has label 0 where others have seeds.  Without ``gap`` seeds keep ten pixels
     apart, more in images of over 1920 x 1080.
     """
+    px = cut(px)  # what makes it else ran for each of its readers
     deep = cut(distance2(px))
     if gap is None:
         wide = F.greatest(F.lit(10), F.floor(10 * F.sqrt(F.col("h") * F.col("w") / F.lit(1920.0 * 1080.0)))).cast("int")

@@ -70,7 +70,7 @@ def components(px: DataFrame, eight: bool = True, background: bool = False) -> D
 
     Runs of pixels are the nodes; those of neighbouring rows that touch are linked, whatever task they are in.
     """
-    own = segments(px, background)
+    own = cut(segments(px, background))  # read three times
     steps = F.array(*(F.lit(d).cast("long") for d in ((-1, 0, 1) if eight else (0,))))
     below = own.select("run_id", (F.col("y") + 1).alias("y"), F.explode(F.transform(steps, lambda d: F.col("x") + d)).alias("x"), F.col("node").alias("a"))
     links = below.join(own.withColumnRenamed("node", "b").hint("merge"), ["run_id", "y", "x"]).select("run_id", "a", "b").distinct()
@@ -92,6 +92,7 @@ def labels(px: DataFrame, eight: bool = True) -> DataFrame:
 
 def fill_holes(px: DataFrame) -> DataFrame:
     """Background that no corner reaches over its four neighbours becomes 255; images whose border is mostly objects stay."""
+    px = cut(px.select("run_id", "y", "x", "v"))  # read five times, and what makes it else ran as often
     size = px.groupBy("run_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     sides = [F.col("y") == 0, F.col("y") == F.col("h") - 1, F.col("x") == 0, F.col("x") == F.col("w") - 1]
     times = sum((side.cast("int") for side in sides), F.lit(0))  # corners lie on two sides

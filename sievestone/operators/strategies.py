@@ -85,6 +85,7 @@ def infer(tiles: DataFrame, load: Loader) -> DataFrame:
 
 def tile_mask(pixels: DataFrame, load: Loader, tile: int = 512, overlap: int = 64) -> tuple[DataFrame, DataFrame]:
     """Pixels that a tile's labels hold as 255, the others and those of failed tiles alone as 0; and the failed tiles with their errors."""
+    pixels = cut(pixels.select("run_id", "y", "x", "b", "g", "r"))  # read three times
     made = cut(infer(tiled(pixels, tile, overlap), load))
     on = raster.stitch_max(made.where("error IS NULL").withColumnRenamed("label", "v")).where("v > 0").select("run_id", "y", "x", F.lit(255).alias("_on"))
     mask = pixels.select("run_id", "y", "x").join(on.hint("merge"), ["run_id", "y", "x"], "left").select("run_id", "y", "x", F.coalesce("_on", F.lit(0)).cast("long").alias("v"))

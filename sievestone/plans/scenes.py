@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.operators import colours, frames, geometry, raster, strategies
+from sievestone.operators import colours, frames, geometry, links, raster, strategies
 from sievestone.sources import specimens as s
 
 from .catalogue import query, rounded
@@ -108,7 +108,7 @@ def _labels(spark, sf_dir) -> DataFrame:
     """Objects of scenes, those that touch parted, of 50 pixels to a tenth of an image."""
     px = s.scenes(spark, sf_dir)
     objects = px.select("run_id", "y", "x", F.when(F.col("v") >= 150, 255).otherwise(0).alias("v"))
-    return raster.filter_area(raster.watershed(objects), 50, s.SCENE * s.SCENE // 10)
+    return raster.filter_area(links.cut(raster.watershed(objects)), 50, s.SCENE * s.SCENE // 10)
 
 
 @query()

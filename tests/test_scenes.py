@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sievestone.operators import frames, links
+from sievestone.operators import basins, frames, links, strategies
 from sievestone.sources import specimens
 
 SMALL = "/root/testdata/sf0.001"
@@ -50,3 +50,11 @@ def test_extremes_share_lines_and_fetch_neighbours_once(spark):
                             near = [value(r, y + d, x + e) for d in range(-reach, reach + 1) for e in range(-kernel[d + reach], kernel[d + reach] + 1) if 0 <= y + d < h and 0 <= x + e < w]
                             assert got[r, y, x] == (max if largest else min)(near)
     assert plan(frames.dilate(px, frames.ellipse(13), 2)).count("Exchange hashpartitioning") == 3
+
+
+def test_what_makes_pixels_runs_once(spark):
+    px = specimens.scenes(spark, SMALL).where("y < 12 AND x < 12")
+    binary = px.withColumn("v", F.when(F.col("v") >= 150, 255).otherwise(0).cast("long"))
+    coloured = px.select("run_id", "y", "x", *(F.col("v").alias(c) for c in "bgr"))
+    for made in (links.fill_holes(binary), basins.watershed(binary), *strategies.tile_mask(coloured, lambda: lambda image: image[:, :, 2], 8, 2)):
+        assert "part.parquet" not in "".join(made.inputFiles())
