@@ -1,20 +1,23 @@
 """Neighbourhoods of pixels as frames over the lines of images.
 
-A pixel table (run_id, y, x, v) holds every pixel of its images.  Frames run along x within a row of
-an image, then along y within a column: sums with weights, and extremes over kernels whose rows are
-intervals.  A task holds a line of an image at most; lines are dealt out over all tasks, so an
-image may be larger than any of them.  Tables of pixels are merged with one another, never broadcast:
+A pixel table (run_id, y, x, v) holds every pixel of its images.  Smoothing, cleaning up and equalising work on bands of
+packed lines (``bands``).  Frames run along x within a row of an image, then along y within a column: sums with weights,
+and extremes over kernels whose rows are intervals.  A task holds a line or a band of an image at most; these are dealt
+out over all tasks, so an image may be larger than any of them.  Tables of pixels are merged with one another, never broadcast:
 what the planner knows of their size (files of few bytes a row, exploded rows) is far too little.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bands
 from .links import cut
 
 ROW = ("run_id", "y", "x")
@@ -81,7 +84,11 @@ def weighted(px: DataFrame, weights: Sequence[float], mirrored: bool = True, col
 
 def smooth5(px: DataFrame) -> DataFrame:
     """Binomial mean of 5 x 5 pixels with mirrored edges, halves up."""
-    return weighted(px, BINOMIAL).select(*ROW, F.floor((F.col("s") + 128) / 256).cast("long").alias("v"))
+    def smooth(band: bands.Band) -> Iterator[pa.RecordBatch]:
+        yield band.pixels(np.floor((bands.weighted(band, band.a, BINOMIAL, True) + 128) / 256))
+
+    lines = bands.pack(px)
+    return bands.as_pixels(bands.over(lines, smooth, bands.pixel_schema(lines), len(BINOMIAL) // 2), px)
 
 
 # -- extremes
