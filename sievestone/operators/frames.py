@@ -152,16 +152,28 @@ def cleanup(binary: DataFrame) -> DataFrame:
 
     Images of one kernel size run as one job; the sizes that there are come to the driver.
     """
+    lines = cut(bands.pack(binary))
     scale = F.greatest(F.lit(1.0), F.sqrt(F.col("h") * F.col("w") / F.lit(1920.0 * 1080.0)))
     odd = lambda n: F.floor(n * scale).bitwiseOR(F.lit(1)).cast("int")
-    size = sizes(binary).select("run_id", odd(3).alias("open"), odd(12).alias("close"))
+    size = bands.sizes(lines).select("run_id", odd(3).alias("open"), odd(12).alias("close"))
     kinds = [(r.open, r.close) for r in size.select("open", "close").distinct().collect()]
     made = None
     for o, c in sorted(kinds):
-        some = binary if len(kinds) == 1 else binary.join(size.where((F.col("open") == o) & (F.col("close") == c)).select("run_id"), "run_id", "left_semi")
-        part = closed(opened(some.select(*ROW, "v"), ellipse(o)), ellipse(c), 2)
+        some = lines if len(kinds) == 1 else lines.join(size.where((F.col("open") == o) & (F.col("close") == c)).select("run_id"), "run_id", "left_semi")
+        part = _cleaned(some, ellipse(o), ellipse(c))
         made = part if made is None else made.unionByName(part)
-    return binary.select(*ROW, "v") if made is None else made
+    return binary.select(*ROW, "v") if made is None else bands.as_pixels(made, binary, None)
+
+
+def _cleaned(lines: DataFrame, small: Sequence[int], large: Sequence[int]) -> DataFrame:
+    def clean(band: bands.Band) -> Iterator[pa.RecordBatch]:
+        a = band.a
+        for kernel, kinds in ((small, (False, True)), (large, (True, True, False, False))):
+            for largest in kinds:
+                a = bands.extreme(a, kernel, largest)
+        yield band.pixels(a[band.own])
+
+    return bands.over(lines, clean, bands.pixel_schema(lines), 2 * (len(small) // 2) + 4 * (len(large) // 2))
 
 
 def top_hat(px: DataFrame, size: int = 51) -> DataFrame:

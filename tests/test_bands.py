@@ -40,3 +40,12 @@ def test_null_and_missing_pixels(spark):
     got = {(r.y, r.x): r.v for r in frames.smooth5(px).collect()}
     assert len(got) == 47 or got[3, 3] is None
     assert got[0, 0] is not None and got[3, 4] is None
+
+
+def test_cleaning_up_over_bands_shuffles_no_pixels(spark):
+    a = (np.random.default_rng(9).random((300, 40)) < 0.3) * 255
+    a[120:140, 5:30] = a[250:290, 3:37] = 255
+    px = image(spark, a)
+    want = frames.closed(frames.opened(px, frames.ellipse(3)), frames.ellipse(13), 2)
+    made = frames.cleanup(px)
+    assert np.array_equal(array(made), array(want)) and "Window" not in plan(made)
