@@ -190,64 +190,117 @@ def top_hat(px: DataFrame, size: int = 51) -> DataFrame:
 LEVELS = 256
 
 
-def tile_curves(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
-    """Clipped cumulative histograms: run_id, ty, tx, th, tw and curve, an array of a new value for each of 256 levels.
+def _curves(counts: np.ndarray, clip: float, pixels: int) -> np.ndarray:
+    """Clipped cumulative histograms of tiles of so many pixels: a new value for each of 256 levels.
 
-    Where the tiles do not fit, the image is continued by mirrored rows and columns.  What is clipped
-    is spread evenly over all levels, the rest of it at even steps.
+    What is clipped is spread evenly over all levels, the rest of it at even steps.
     """
-    p = with_size(px)
-    fits = (F.col("h") % tiles == 0) & (F.col("w") % tiles == 0)
-    more = lambda n: F.when(fits, 0).otherwise(tiles - n % tiles)
-    p = p.withColumns({"ph": F.col("h") + more(F.col("h")), "pw": F.col("w") + more(F.col("w"))})
-    both = lambda at, n, padded: F.filter(F.array(at, 2 * (n - 1) - at), lambda k: (k == at) | ((k >= n) & (k < padded)))
-    p = p.select("run_id", "v", (F.col("ph") / tiles).cast("long").alias("th"), (F.col("pw") / tiles).cast("long").alias("tw"), both(F.col("x"), F.col("w"), F.col("pw")).alias("xs"), F.explode(F.array_distinct(both(F.col("y"), F.col("h"), F.col("ph")))).alias("y"))
-    p = p.select("run_id", "v", "th", "tw", "y", F.explode(F.array_distinct("xs")).alias("x"))
-    tile = ["run_id", "th", "tw", F.floor(F.col("y") / F.col("th")).alias("ty"), F.floor(F.col("x") / F.col("tw")).alias("tx")]
-    counted = p.groupBy(*tile, "v").agg(F.count("*").alias("n"))
-    limit = F.greatest(F.lit(1), F.floor(clip * F.col("th") * F.col("tw") / LEVELS))
-    # at most 256 rows of a tile meet, and become an array of their clipped counts
-    held = counted.groupBy("run_id", "th", "tw", "ty", "tx").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("v").cast("int"), F.least(F.col("n"), limit)))).alias("counts"), F.sum(F.greatest(F.lit(0), F.col("n") - limit)).alias("excess")
-    )
-    batch, rest = F.floor(F.col("excess") / LEVELS), F.col("excess") % LEVELS
-    step = F.when(rest > 0, F.greatest(F.lit(1), F.floor(F.lit(LEVELS) / rest))).otherwise(1)
-    held = held.withColumns({"batch": batch, "rest": rest, "step": step})
-    own = lambda v: F.coalesce(F.try_element_at("counts", v), F.lit(0)) + F.col("batch") + F.when((v % F.col("step") == 0) & (v / F.col("step") < F.col("rest")), 1).otherwise(0)
-    running = F.aggregate(
-        F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), own), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("list")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["list"], F.array(acc["at"] + n)).alias("list")), lambda acc: acc["list"],
-    )
-    curve = F.transform(running, lambda n: F.least(F.lit(255), F.bround(n * F.lit(255.0) / (F.col("th") * F.col("tw")))).cast("long"))
-    return held.select("run_id", "ty", "tx", "th", "tw", curve.alias("curve"))
+    limit = max(1, math.floor(clip * pixels / LEVELS))
+    excess = np.maximum(counts - limit, 0).sum(-1, keepdims=True)
+    rest, level = excess % LEVELS, np.arange(LEVELS)
+    step = np.where(rest > 0, np.maximum(1, LEVELS // np.maximum(rest, 1)), 1)
+    spread = np.minimum(counts, limit) + excess // LEVELS + ((level % step == 0) & (level // step < rest))
+    return np.minimum(255, np.rint(np.cumsum(spread, -1) * 255.0 / pixels)).astype(np.uint8)
+
+
+def _tile_curves(lines: DataFrame, size: DataFrame, clip: float, tiles: int) -> DataFrame:
+    """run_id, band, th, tw and curves: those of all tiles of the image, for each of its bands.
+
+    Where the tiles do not fit, the image is continued by mirrored rows and columns.
+    """
+    def count(band: bands.Band) -> Iterator[pa.RecordBatch]:
+        h, w = band.row["h"], band.row["w"]
+        th, tw = _tile_sides(h, w, tiles)
+        a = band.a if band.a.dtype.kind != "f" else np.where(np.isnan(band.a), -1, band.a).astype(np.int64)
+        x = bands.continued(w, tw * tiles - w, True)[tw * tiles - w :]
+        own = np.arange(band.top, band.end)
+        mirrored = 2 * (h - 1) - own
+        beyond = own[(mirrored >= h) & (mirrored < th * tiles)]
+        counts = np.zeros((tiles, tiles, LEVELS), np.int64)
+        for y, line in (*zip(own, own), *zip(2 * (h - 1) - beyond, beyond)):
+            values = a[line - band.first][x]
+            there = (values >= 0) & (values < LEVELS)
+            counts[y // th] += np.bincount((np.arange(tw * tiles) // tw * LEVELS + values)[there], minlength=tiles * LEVELS).reshape(tiles, LEVELS)
+        yield pa.RecordBatch.from_arrays([pa.array([band.run_id.as_py()], band.run_id.type), pa.array([h]), pa.array([w]), pa.array([counts.astype(np.int64).tobytes()], pa.binary())], names=["run_id", "h", "w", "counts"])
+
+    def curves(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((tiles, tiles, LEVELS), np.int64)
+        for batch in group:
+            for held in batch.column("counts"):
+                total += np.frombuffer(held.as_py(), np.int64).reshape(total.shape)
+        last = batch.slice(batch.num_rows - 1)
+        th, tw = _tile_sides(last.column("h")[0].as_py(), last.column("w")[0].as_py(), tiles)
+        yield pa.RecordBatch.from_arrays([last.column("run_id"), last.column("h"), last.column("w"), pa.array([_curves(total, clip, th * tw).tobytes()], pa.binary())], names=["run_id", "h", "w", "curves"])
+
+    kind = dict(lines.dtypes)["run_id"]
+    counted = bands.over(lines, count, f"run_id {kind}, h long, w long, counts binary", beside=_by_band(size, 0))
+    return counted.repartition(bands.parts(lines), "run_id").groupBy("run_id").applyInArrow(curves, f"run_id {kind}, h long, w long, curves binary")
+
+
+def _by_band(size: DataFrame, margin: int) -> DataFrame:
+    """A row for each band of the images of ``size`` (run_id, h and more)."""
+    lines = max(bands.SIZE, 2 * margin)
+    return size.withColumn("band", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / lines).cast("int"))))
+
+
+def _tile_sides(h: int, w: int, tiles: int) -> tuple[int, int]:
+    fits = h % tiles == 0 and w % tiles == 0
+    return tuple((n if fits else n + tiles - n % tiles) // tiles for n in (h, w))
+
+
+def _equalized(band: bands.Band, tiles: int) -> np.ndarray:
+    """All lines of a band by the curves of the four tiles around each pixel, blended by its distance to their centres."""
+    h, w = band.row["h"], band.row["w"]
+    th, tw = _tile_sides(h, w, tiles)
+    curves = np.frombuffer(band.row["curves"], np.uint8).reshape(tiles, tiles, LEVELS)
+    y, x = np.arange(band.first, band.first + len(band.a)), np.arange(w)
+    cy, cx = np.floor(y / th - 0.5).astype(np.int64), np.floor(x / tw - 0.5).astype(np.int64)
+    ya, xa = (y / th - 0.5 - cy)[:, None], (x / tw - 0.5 - cx)[None, :]
+    known = (band.a >= 0) & (band.a < LEVELS)
+    v = np.where(known, band.a, 0).astype(np.int64)
+    near = lambda c: np.clip(c, 0, tiles - 1)
+    at = lambda i, j: curves[near(cy + i)[:, None], near(cx + j)[None, :], v]
+    blend = (at(0, 0) * (1 - xa) + at(0, 1) * xa) * (1 - ya) + (at(1, 0) * (1 - xa) + at(1, 1) * xa) * ya
+    even = np.rint(np.round(blend, 6))
+    return even.astype(np.int64) if known.all() else np.where(known, even, np.nan)
+
+
+def _even_lines(px: DataFrame, clip: float, tiles: int, margin: int) -> tuple[DataFrame, DataFrame]:
+    """Packed lines, and the curves beside each band with such a margin."""
+    lines = cut(bands.pack(px))  # read three times
+    curves = cut(_tile_curves(lines, bands.sizes(lines), clip, tiles))
+    return lines, _by_band(curves, margin)
 
 
 def equalize(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
     """Each pixel's value by the curves of the four tiles around it, blended by its distance to their centres."""
-    curves = cut(tile_curves(px, clip, tiles))  # read twice
-    # between the centres of tiles lie cells; each knows the curves of its corners
-    roles = lambda t: F.array(
-        F.struct((t + 1).alias("c"), F.lit(0).alias("r")), F.struct(t.alias("c"), F.lit(1).alias("r")),
-        F.struct(F.when(t == 0, 0).alias("c"), F.lit(0).alias("r")), F.struct(F.when(t == tiles - 1, tiles).alias("c"), F.lit(1).alias("r")),
-    )
-    spread = curves.select("run_id", "th", "tw", "tx", "curve", F.explode(roles(F.col("ty"))).alias("a")).where("a.c IS NOT NULL")
-    spread = spread.select("run_id", "th", "tw", "curve", "a", F.explode(roles(F.col("tx"))).alias("b")).where("b.c IS NOT NULL")
-    corner = lambda i, j: F.first(F.when((F.col("a.r") == i) & (F.col("b.r") == j), F.col("curve")), ignorenulls=True).alias(f"k{i}{j}")
-    cells = spread.groupBy("run_id", F.col("a.c").alias("cy"), F.col("b.c").alias("cx")).agg(F.first("th").alias("th"), F.first("tw").alias("tw"), *(corner(i, j) for i in (0, 1) for j in (0, 1)))
-    tile = curves.groupBy("run_id").agg(F.first("th").alias("_th"), F.first("tw").alias("_tw"))
-    p = px.select(*ROW, "v").join(tile, "run_id").withColumns({"_cy": F.floor(F.col("y") / F.col("_th") - 0.5) + 1, "_cx": F.floor(F.col("x") / F.col("_tw") - 0.5) + 1})
-    p = p.join(cells.withColumnRenamed("run_id", "_r").hint("merge"), F.col("run_id").eqNullSafe(F.col("_r")) & (F.col("_cy") == F.col("cy")) & (F.col("_cx") == F.col("cx")))
-    ya, xa = F.col("y") / F.col("th") + 0.5 - F.col("cy"), F.col("x") / F.col("tw") + 0.5 - F.col("cx")
-    at = lambda k: F.get(k, F.col("v").cast("int"))
-    blend = (at("k00") * (1 - xa) + at("k01") * xa) * (1 - ya) + (at("k10") * (1 - xa) + at("k11") * xa) * ya
-    return p.select(*ROW, F.bround(F.round(blend, 6)).cast("long").alias("v"))
+    def even(band: bands.Band) -> Iterator[pa.RecordBatch]:
+        yield band.pixels(_equalized(band, tiles)[band.own])
+
+    lines, curves = _even_lines(px, clip, tiles, 0)
+    return bands.as_pixels(bands.over(lines, even, bands.pixel_schema(lines), beside=curves), px)
 
 
 def adaptive_threshold(px: DataFrame, block: int = 45, c: int = 2, clip: float = 2.0, tiles: int = 8) -> DataFrame:
     """Equalised pixels above their Gaussian mean less ``c`` as 255; inverted where these are more than half of an image."""
-    even = equalize(px, clip, tiles)
-    mean = weighted(even, gaussian_weights(max(3, block | 1)), mirrored=False)
-    made = mean.select(*ROW, F.when(F.col("v") > F.bround(F.round("s", 6)) - c, 255).otherwise(0).cast("long").alias("v"))
-    made = cut(made)  # read twice
-    share = made.groupBy("run_id").agg(F.avg((F.col("v") > 0).cast("int")).alias("_share"))
-    return made.join(share, "run_id").select(*ROW, F.when(F.col("_share") > 0.5, 255 - F.col("v")).otherwise(F.col("v")).alias("v"))
+    weights = gaussian_weights(max(3, block | 1))
+    margin = len(weights) // 2
+
+    def above(band: bands.Band) -> Iterator[pa.RecordBatch]:
+        even = _equalized(band, tiles)
+        mean = bands.weighted(band, even, weights, False)
+        yield band.lines(np.where(even[band.own] > np.rint(np.round(mean, 6)) - c, 255, 0).astype(np.uint8))
+
+    def turned(band: bands.Band) -> Iterator[pa.RecordBatch]:
+        yield band.pixels(255 - band.a if band.row["on"] > 0.5 else band.a)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = [np.count_nonzero(np.frombuffer(p.as_py(), np.uint8)) for p in batch.column("_p0")]
+            yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("y"), batch.column("n").cast(pa.int64()), pa.array(np.array(on, np.int64))], names=["run_id", "y", "n", "on"])
+
+    lines, curves = _even_lines(px, clip, tiles, margin)
+    made = cut(bands.over(lines, above, bands.line_schema(px), margin, beside=curves))  # read twice
+    counted = made.select("run_id", "y", "n", "_p0").mapInArrow(share, f"run_id {dict(px.dtypes)['run_id']}, y long, n long, on long")
+    shares = counted.groupBy("run_id").agg((F.max("y") + 1).alias("h"), (F.sum("on") / F.sum("n")).alias("on"))
+    return bands.as_pixels(bands.over(made, turned, bands.pixel_schema(made), beside=_by_band(shares, 0)), px)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sievestone.operators import bands, frames
 from sievestone.sources import specimens
 
+from .test_frames import plain_equalize
 from .test_scenes import SMALL, plan
 from .test_shapes import array, image
 
@@ -49,3 +50,15 @@ def test_cleaning_up_over_bands_shuffles_no_pixels(spark):
     want = frames.closed(frames.opened(px, frames.ellipse(3)), frames.ellipse(13), 2)
     made = frames.cleanup(px)
     assert np.array_equal(array(made), array(want)) and "Window" not in plan(made)
+
+
+def test_adaptive_threshold_over_bands_shuffles_no_pixels(spark):
+    a = np.random.default_rng(3).integers(80, 100, (300, 24))
+    a[100:150, 5:20] += 90
+    even = plain_equalize(a, 2.0, 8)
+    w = np.array(frames.gaussian_weights(9))
+    wide = np.pad(even, 4, mode="edge")
+    mean = np.array([[(wide[y : y + 9, x : x + 9] * np.outer(w, w)).sum() for x in range(24)] for y in range(300)])
+    want = np.where(even > np.rint(mean.round(6)) - 2, 255, 0)
+    made = frames.adaptive_threshold(image(spark, a), 9, 2)
+    assert np.array_equal(array(made), 255 - want if (want > 0).mean() > 0.5 else want) and "Window" not in plan(made)
