@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bands
 from .order import ordinals
 
 
@@ -90,16 +94,58 @@ def labels(px: DataFrame, eight: bool = True) -> DataFrame:
     return px.select("run_id", "y", "x").join(named.hint("merge"), ["run_id", "y", "x"], "left").select("run_id", "y", "x", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
 
 
+#: What a row of a band's look at its background is: a run in the line below the band or in its own first line, a corner, counts of the image's border.
+_BELOW, _FIRST, _CORNER, _BORDER = range(4)
+
+
+def _background(band: bands.Band) -> tuple[np.ndarray, ...]:
+    """Runs of background in a band's lines and the one below: line, first and last place, and the node of their component's first pixel there."""
+    y, x0, x1, root = bands.component_runs(band.a[band.own.start : band.own.stop + 1] == 0, False)
+    return y, x0, x1, (band.top + y[root]) * (1 << 32) + x0[root]
+
+
+def _look(band: bands.Band) -> Iterator[pa.RecordBatch]:
+    y, x0, x1, node = _background(band)
+    own = band.a[band.own]
+    h, w = own.shape
+    is_top, is_end = band.top == 0, len(band.a) == band.own.stop
+    corner = (is_top & (y == 0) | is_end & (y == h - 1)) & ((x0 == 0) | (x1 == w - 1))
+    times = np.zeros(own.shape, np.int64)
+    times[:, 0] += 1
+    times[:, -1] += 1
+    times[0] += is_top
+    times[-1] += is_end
+    rows = [(_BELOW, y == h), (_FIRST, (y == 0) & (not is_top)), (_CORNER, corner)]
+    what, picked = np.concatenate([np.full(np.count_nonzero(on), k) for k, on in rows]), np.concatenate([np.flatnonzero(on) for _, on in rows])
+    columns = [np.append(what, _BORDER), np.append(band.top + y[picked], 0), np.append(x0[picked], (times * (own == 255)).sum()), np.append(node[picked], times.sum())]
+    n = len(picked) + 1
+    yield pa.RecordBatch.from_arrays([pa.repeat(band.run_id, n), pa.array(np.full(n, band.band, np.int32)), *(pa.array(c.astype(np.int64)) for c in columns)], names=["run_id", "band", "what", "y", "x", "node"])
+
+
+def _filled(band: bands.Band) -> Iterator[pa.RecordBatch]:
+    own = band.a[band.own]
+    if not band.row["full"]:
+        y, x0, x1, node = _background(band)
+        hole = (y < len(own)) & ~np.isin(node, np.array(band.row["reached"] or [], np.int64))
+        own = np.where(bands.painted(own.shape, y[hole], x0[hole], x1[hole], np.ones(np.count_nonzero(hole), bool)), 255, own)
+    yield band.pixels(own)
+
+
 def fill_holes(px: DataFrame) -> DataFrame:
-    """Background that no corner reaches over its four neighbours becomes 255; images whose border is mostly objects stay."""
-    px = cut(px.select("run_id", "y", "x", "v"))  # read five times, and what makes it else ran as often
-    size = px.groupBy("run_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    sides = [F.col("y") == 0, F.col("y") == F.col("h") - 1, F.col("x") == 0, F.col("x") == F.col("w") - 1]
-    times = sum((side.cast("int") for side in sides), F.lit(0))  # corners lie on two sides
-    border = px.join(size, "run_id").where(times > 0).groupBy("run_id").agg((F.sum(F.when(F.col("v") == 255, times).otherwise(0)) / F.sum(times) > 0.5).alias("_full"))
-    outside = cut(components(px, eight=False, background=True))
-    corner = (F.col("y").isin(0) | (F.col("y") == F.col("h") - 1)) & (F.col("x").isin(0) | (F.col("x") == F.col("w") - 1))
-    reached = outside.join(size, "run_id").where(corner).select("run_id", "root").distinct()
-    holes = outside.join(reached, ["run_id", "root"], "left_anti").select("run_id", "y", "x", F.lit(True).alias("_hole"))
-    made = px.select("run_id", "y", "x", "v").join(holes.hint("merge"), ["run_id", "y", "x"], "left").join(border, "run_id")
-    return made.select("run_id", "y", "x", F.when(~F.col("_full") & F.coalesce("_hole", F.lit(False)), 255).otherwise(F.col("v")).alias("v"))
+    """Background that no corner reaches over its four neighbours becomes 255; images whose border is mostly objects stay.
+
+    A band joins the background of its lines and of the line below, so what it shares with the next band are the runs of
+    that line: only these, and the corners, are rows.
+    """
+    lines = cut(bands.pack(px.select("run_id", "y", "x", "v")))  # read twice
+    seen = cut(bands.over(lines, _look, f"run_id {dict(px.dtypes)['run_id']}, band int, what long, y long, x long, node long", 1))
+    at = lambda k, name: seen.where(F.col("what") == k).select("run_id", "y", "x", F.col("node").alias(name))
+    root = roots(at(_BELOW, "a").join(at(_FIRST, "b").hint("merge"), ["run_id", "y", "x"]).select("run_id", "a", "b"))
+    ours = seen.where(F.col("what") != _BORDER).join(root.hint("merge"), ["run_id", "node"], "left").select("run_id", "band", "what", "node", F.coalesce("root", "node").alias("root"))
+    ours = cut(ours)
+    reached = ours.where(F.col("what") == _CORNER).select("run_id", "root").distinct()
+    reached = ours.join(reached.hint("merge"), ["run_id", "root"], "left_semi").groupBy("run_id", "band").agg(F.collect_set("node").alias("reached"))
+    border = seen.where(F.col("what") == _BORDER)
+    full = border.groupBy("run_id").agg((F.sum("x") / F.sum("node") > 0.5).alias("full"))
+    beside = border.select("run_id", "band").join(full, "run_id").join(reached.hint("merge"), ["run_id", "band"], "left")
+    return bands.as_pixels(bands.over(lines, _filled, bands.pixel_schema(lines), 1, beside=cut(beside)), px, None)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievestone.operators import bands, frames
+from sievestone.operators import bands, frames, kernels, links
 from sievestone.sources import specimens
 
 from .test_frames import plain_equalize
@@ -62,3 +62,19 @@ def test_adaptive_threshold_over_bands_shuffles_no_pixels(spark):
     want = np.where(even > np.rint(mean.round(6)) - 2, 255, 0)
     made = frames.adaptive_threshold(image(spark, a), 9, 2)
     assert np.array_equal(array(made), 255 - want if (want > 0).mean() > 0.5 else want) and "Window" not in plan(made)
+
+
+def test_holes_over_bands_shuffle_no_pixels(spark):
+    """A way out that winds through three bands, a hole in two of them, and one that a single corner would open."""
+    a = np.full((300, 40), 0)
+    a[20:280, 3:37] = 255
+    for k in range(22):  # a tunnel to and fro
+        a[30 + 10 * k : 41 + 10 * k, 30 if k % 2 else 5] = a[30 + 10 * k, 5:31] = 0
+    a[20:31, 5] = a[120:140, 33:36] = a[15, 15] = 0
+    a[200:205, 32] = a[205, 33] = 0
+    made = links.fill_holes(image(spark, a))
+    assert np.array_equal(array(made), kernels.fill_holes(a)) and not np.array_equal(a, kernels.fill_holes(a))
+    assert "Window" not in plan(made) and "leftanti" not in plan(made).lower()
+    noise = (np.random.default_rng(5).random((270, 50)) < 0.6) * 255
+    noise[0] = noise[:, 0] = 0
+    assert np.array_equal(array(links.fill_holes(image(spark, noise))), kernels.fill_holes(noise))
