@@ -98,14 +98,21 @@ def sizes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("run_id").agg((F.max("y") + 1).alias("h"), F.max(F.col("x") + F.col("n")).alias("w"))
 
 
-def assembled(table: pa.Table, planes: int = 1) -> tuple[int, list[np.ndarray], bool]:
-    """First line, arrays of the lines that there are, and whether they hold all pixels."""
+def assembled(table: pa.Table, planes: int = 1, largest: bool = False) -> tuple[int, list[np.ndarray], np.ndarray | None]:
+    """First line, arrays of the lines that there are, and which pixels there are, None for all.
+
+    Of a pixel that comes several times the last value stays, or the ``largest``.
+    """
     y, x, n = (table.column(c).to_numpy() for c in ("y", "x", "n"))
     first, w = int(y.min()), int((x + n).max())
     shape = (int(y.max()) + 1 - first, w)
     kinds = table.column("kind").to_pylist()
     start, n = (y - first) * w + x, n.astype(np.int64)
-    whole = int(n.sum()) == shape[0] * w
+    at, there = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum()), None
+    if largest or len(at) != shape[0] * w:
+        there = np.zeros(shape, bool)
+        there.reshape(-1)[at] = True
+        there = None if there.all() else there
     out = []
     for k in range(planes):
         data, offsets = _data(table.column(f"_p{k}").combine_chunks())
@@ -114,10 +121,11 @@ def assembled(table: pa.Table, planes: int = 1) -> tuple[int, list[np.ndarray],
         else:
             wide = "f8" if "f8" in kinds else max(kinds, key=_KINDS.index)
             values = np.concatenate([np.frombuffer(data[offsets[j] : offsets[j + 1]], kind).astype(wide) for j, kind in enumerate(kinds)])
-        image = np.empty(shape, values.dtype) if whole else np.full(shape, np.nan)
-        image.reshape(-1)[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(values))] = values
+        image = np.empty(shape, values.dtype) if there is None else np.full(shape, np.nan)
+        order = np.argsort(values, kind="stable") if largest else slice(None)
+        image.reshape(-1)[at[order]] = values[order]
         out.append(image)
-    return first, out, whole
+    return first, out, there
 
 
 @dataclass
@@ -131,7 +139,7 @@ class Band:
     end: int
     planes: list[np.ndarray]
     is_last: bool  #: whether the image ends with the lines that are there
-    whole: bool  #: whether no pixel is missing
+    there: np.ndarray | None  #: which pixels there are, None for all
     row: dict  #: further columns
 
     @property
@@ -147,8 +155,8 @@ class Band:
         h, w = planes[0].shape
         y, x = np.repeat(np.arange(self.top, self.top + h), w), np.tile(np.arange(w), h)
         columns = [p.ravel() for p in planes]
-        if not self.whole:
-            there = ~np.isnan(self.a[self.own]).ravel()
+        if self.there is not None:
+            there = self.there[self.own].ravel()
             y, x, columns = y[there], x[there], [c[there] for c in columns]
         columns = [pa.array(c.astype(np.int64)) if c.dtype.kind != "f" else pa.array(c, from_pandas=True).cast(pa.int64()) for c in columns]
         return pa.RecordBatch.from_arrays([pa.repeat(self.run_id, len(y)), pa.array(y), pa.array(x), *columns], names=["run_id", "y", "x", *("v" if not k else f"v{k}" for k in range(len(columns)))])
@@ -166,7 +174,7 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def over(lines: DataFrame, make: Callable[[Band], Iterator[pa.RecordBatch]], schema: str, margin: int = 0, planes: int = 1, beside: DataFrame | None = None) -> DataFrame:
+def over(lines: DataFrame, make: Callable[[Band], Iterator[pa.RecordBatch]], schema: str, margin: int = 0, planes: int = 1, beside: DataFrame | None = None, largest: bool = False) -> DataFrame:
     """What ``make`` yields for each band of each image.
 
     ``beside`` (run_id, band and more) holds at most one row for each band, whose columns the band gets as ``row``.
@@ -176,10 +184,10 @@ def over(lines: DataFrame, make: Callable[[Band], Iterator[pa.RecordBatch]], sch
     def run(group: Iterator[pa.RecordBatch], row: dict | None = None) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(group))
         run_id, band = table.column("run_id")[0], table.column("band")[0].as_py()
-        first, arrays, whole = assembled(table, planes)
+        first, arrays, there = assembled(table, planes, largest)
         top, end = band * size, min((band + 1) * size, first + len(arrays[0]))
         if top < end:  # else a margin beyond the image
-            yield from make(Band(run_id, band, first, top, end, arrays, first + len(arrays[0]) < (band + 1) * size + margin or not margin, whole, row or {}))
+            yield from make(Band(run_id, band, first, top, end, arrays, first + len(arrays[0]) < (band + 1) * size + margin or not margin, there, row or {}))
 
     def alone(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(group)

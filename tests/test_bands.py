@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievestone.operators import bands, frames, kernels, links
+from sievestone.operators import bands, frames, kernels, links, strategies
 from sievestone.sources import specimens
 
 from .test_frames import plain_equalize
@@ -78,3 +78,25 @@ def test_holes_over_bands_shuffle_no_pixels(spark):
     noise = (np.random.default_rng(5).random((270, 50)) < 0.6) * 255
     noise[0] = noise[:, 0] = 0
     assert np.array_equal(array(links.fill_holes(image(spark, noise))), kernels.fill_holes(noise))
+
+
+def test_tiles_come_from_packed_lines(spark):
+    a = np.random.default_rng(7).integers(0, 256, (150, 70))
+    px = image(spark, a).selectExpr("run_id", "y", "x", "(v * 7) % 256 AS b", "v AS g", "(v * 3) % 256 AS r").repartition(5)
+
+    def model(tile):
+        if tile[0, 0, 1] % 2:
+            raise ValueError("odd")
+        return (tile[:, :, 2] > 128) * 3
+
+    mask, failed = strategies.tile_mask(px, lambda: model, 32, 8)
+    tops, lefts = sorted({min(k, 118) for k in range(0, 150, 24)}), sorted({min(k, 38) for k in range(0, 70, 24)})
+    want, bad = np.zeros(a.shape, int), set()
+    for y in tops:
+        for x in lefts:
+            if a[y, x] % 2:
+                bad.add((y, x, "ValueError: odd"))
+            else:
+                want[y : y + 32, x : x + 32] |= np.where(a[y : y + 32, x : x + 32] * 3 % 256 > 128, 255, 0)
+    assert np.array_equal(array(mask), want) and {(r.ty, r.tx, r.error) for r in failed.collect()} == bad and bad
+    assert "Join" not in plan(mask)
