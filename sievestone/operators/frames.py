@@ -233,11 +233,11 @@ def _tile_curves(lines: DataFrame, size: DataFrame, clip: float, tiles: int) ->
         yield pa.RecordBatch.from_arrays([last.column("run_id"), last.column("h"), last.column("w"), pa.array([_curves(total, clip, th * tw).tobytes()], pa.binary())], names=["run_id", "h", "w", "curves"])
 
     kind = dict(lines.dtypes)["run_id"]
-    counted = bands.over(lines, count, f"run_id {kind}, h long, w long, counts binary", beside=_by_band(size, 0))
+    counted = bands.over(lines, count, f"run_id {kind}, h long, w long, counts binary", beside=by_band(size, 0))
     return counted.repartition(bands.parts(lines), "run_id").groupBy("run_id").applyInArrow(curves, f"run_id {kind}, h long, w long, curves binary")
 
 
-def _by_band(size: DataFrame, margin: int) -> DataFrame:
+def by_band(size: DataFrame, margin: int) -> DataFrame:
     """A row for each band of the images of ``size`` (run_id, h and more)."""
     lines = max(bands.SIZE, 2 * margin)
     return size.withColumn("band", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / lines).cast("int"))))
@@ -269,7 +269,7 @@ def _even_lines(px: DataFrame, clip: float, tiles: int, margin: int) -> tuple[Da
     """Packed lines, and the curves beside each band with such a margin."""
     lines = cut(bands.pack(px))  # read three times
     curves = cut(_tile_curves(lines, bands.sizes(lines), clip, tiles))
-    return lines, _by_band(curves, margin)
+    return lines, by_band(curves, margin)
 
 
 def equalize(px: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
@@ -303,4 +303,4 @@ def adaptive_threshold(px: DataFrame, block: int = 45, c: int = 2, clip: float =
     made = cut(bands.over(lines, above, bands.line_schema(px), margin, beside=curves))  # read twice
     counted = made.select("run_id", "y", "n", "_p0").mapInArrow(share, f"run_id {dict(px.dtypes)['run_id']}, y long, n long, on long")
     shares = counted.groupBy("run_id").agg((F.max("y") + 1).alias("h"), (F.sum("on") / F.sum("n")).alias("on"))
-    return bands.as_pixels(bands.over(made, turned, bands.pixel_schema(made), beside=_by_band(shares, 0)), px)
+    return bands.as_pixels(bands.over(made, turned, bands.pixel_schema(made), beside=by_band(shares, 0)), px)

@@ -7,14 +7,15 @@ methods that no strategy uses and the trace of one object's contour call ``kerne
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import basins, frames, geometry, kernels, links
+from . import bands, basins, frames, geometry, kernels, links
 from .order import ordinals
 
 
@@ -155,6 +156,44 @@ def contours(labels: DataFrame) -> DataFrame:
     return labels.where("label > 0").select("run_id", "label", "y", "x").groupBy("run_id", "label").applyInPandas(trace, f"run_id {kind}, label long, seq long, x long, y long")
 
 
+def object_runs(lines: DataFrame) -> DataFrame:
+    """Runs of pixels of one label, from packed lines of labels: run_id, label, y, x0, x1."""
+
+    def split(band: bands.Band) -> Iterator[pa.RecordBatch]:
+        a = band.a[band.own] if band.there is None else np.where(band.there, band.a, 0)[band.own].astype(np.int64)
+        new = np.ones(a.shape, bool)
+        new[:, 1:] = a[:, 1:] != a[:, :-1]
+        y, x = np.nonzero(new)
+        end = np.append(np.where(y[1:] == y[:-1], x[1:], a.shape[1]), a.shape[1])
+        label = a[y, x].astype(np.int64)
+        on = label > 0
+        yield pa.RecordBatch.from_arrays([pa.repeat(band.run_id, np.count_nonzero(on)), *(pa.array(c[on]) for c in (label, band.top + y, x, end - 1))], names=["run_id", "label", "y", "x0", "x1"])
+
+    return bands.over(lines, split, f"run_id {dict(lines.dtypes)['run_id']}, label long, y long, x0 long, x1 long")
+
+
+def areas_of_runs(runs: DataFrame, low: int, high: int) -> DataFrame:
+    """Objects of ``object_runs`` whose pixels number between the limits, relabelled as by ``filter_area``: run_id, label, area, and the old label as _was."""
+    sizes = runs.groupBy("run_id", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area")).where(F.col("area").between(low, high))
+    return ordinals(sizes, ["run_id"], "label", "new").select("run_id", (F.col("new") + 1).alias("label"), "area", F.col("label").alias("_was"))
+
+
+def contours_of_runs(runs: DataFrame) -> DataFrame:
+    """``contours`` of objects that are runs of pixels."""
+
+    def trace(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(group))
+        y, x0, x1 = (table.column(c).to_numpy() for c in ("y", "x0", "x1"))
+        top, left = y.min(), x0.min()
+        on = bands.painted((int(y.max() - top) + 1, int(x1.max() - left) + 1), y - top, x0 - left, x1 - left, np.ones(len(y), bool))
+        x, y = np.array(kernels.outer_contour(on), np.int64).T
+        n = len(x)
+        yield pa.RecordBatch.from_arrays([pa.repeat(table.column("run_id")[0], n), pa.repeat(table.column("label")[0], n), pa.array(np.arange(n)), pa.array(x + left), pa.array(y + top)], names=["run_id", "label", "seq", "x", "y"])
+
+    dealt = runs.select("run_id", "label", "y", "x0", "x1").repartition(bands.parts(runs), "run_id", "label")
+    return dealt.groupBy("run_id", "label").applyInArrow(trace, f"run_id {dict(runs.dtypes)['run_id']}, label long, seq long, x long, y long")
+
+
 def threshold(pixels: DataFrame, method: str = "adaptive") -> DataFrame:
     """Objects as 255: a fixed level on black backgrounds, else ``adaptive`` or ``otsu``, which inverts all but bright objects on dark."""
     flagged = pixels.join(border(pixels).select("run_id", "polarity", "black_background"), "run_id")

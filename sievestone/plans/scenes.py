@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.operators import colours, frames, geometry, links, raster, strategies
+from sievestone.operators import basins, colours, frames, geometry, links, raster, strategies
 from sievestone.sources import specimens as s
 
 from .catalogue import query, rounded
@@ -104,21 +104,28 @@ def nine_views(spark, sf_dir):
     return raster.test_time_views(px, frames.sizes(px))
 
 
-def _labels(spark, sf_dir) -> DataFrame:
-    """Objects of scenes, those that touch parted, of 50 pixels to a tenth of an image."""
+#: Least and greatest number of pixels of an object.
+_AREAS = (50, s.SCENE * s.SCENE // 10)
+
+
+def _objects(spark, sf_dir) -> DataFrame:
+    """Runs of pixels of scenes' objects, those that touch parted."""
     px = s.scenes(spark, sf_dir)
     objects = px.select("run_id", "y", "x", F.when(F.col("v") >= 150, 255).otherwise(0).alias("v"))
-    return raster.filter_area(links.cut(raster.watershed(objects)), 50, s.SCENE * s.SCENE // 10)
+    return links.cut(raster.object_runs(basins.watershed_lines(objects)))
 
 
 @query()
 def watershed_segments(spark, sf_dir):
-    return raster.areas(_labels(spark, sf_dir))
+    return raster.areas_of_runs(_objects(spark, sf_dir), *_AREAS).drop("_was")
 
 
 @query()
 def contour_measurements(spark, sf_dir):
-    made = geometry.measure(raster.contours(_labels(spark, sf_dir)))
+    runs = _objects(spark, sf_dir)
+    new = raster.areas_of_runs(runs, *_AREAS).select("run_id", F.col("label").alias("_new"), F.col("_was").alias("label"))
+    kept = runs.join(new.hint("merge"), ["run_id", "label"]).withColumn("label", F.col("_new"))
+    made = geometry.measure(raster.contours_of_runs(kept))
     return rounded(made, *(c for c, kind in made.dtypes if kind == "double"))
 
 

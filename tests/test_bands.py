@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievestone.operators import bands, frames, kernels, links, strategies
+from sievestone.operators import bands, basins, frames, kernels, links, raster, strategies
 from sievestone.sources import specimens
 
 from .test_frames import plain_equalize
@@ -100,3 +100,27 @@ def test_tiles_come_from_packed_lines(spark):
                 want[y : y + 32, x : x + 32] |= np.where(a[y : y + 32, x : x + 32] * 3 % 256 > 128, 255, 0)
     assert np.array_equal(array(mask), want) and {(r.ty, r.tx, r.error) for r in failed.collect()} == bad and bad
     assert "Join" not in plan(mask)
+
+
+def test_watershed_over_bands(spark):
+    """Discs in a column through three bands, one of a pixel's touch, an image without a seed and one without an outside."""
+    gy, gx = np.mgrid[:330, :70]
+    discs = [(15 + 22 * k, 20 + k, 12) for k in range(14)] + [(128, 55, 11), (262, 58, 9), (290, 55, 12)]
+    a = (np.min([(gy - y) ** 2 + (gx - x) ** 2 - r * r for y, x, r in discs], 0) <= 0) * 255
+    full = np.full((140, 6), 255)
+    px = image(spark, a, 1).unionByName(image(spark, full, 2)).unionByName(image(spark, 0 * full, 3))
+    deep = basins.distance2(px).cache()
+    found = basins.seeds(deep, 0.2, 10).cache()
+    flooded = {(r.y, r.x): r.marker for r in basins.flood(deep.where("d2 > 0"), found).collect()}
+    names = {m: k + 1 for k, m in enumerate(sorted(r.marker for r in found.collect()))}
+    want = np.array([[names[flooded[y, x]] if (y, x) in flooded else 0 for x in range(70)] for y in range(330)])
+    made = basins.watershed(px).cache()
+    assert np.array_equal(array(made.where("run_id = 1"), "label"), want) and want.max() > 12
+    assert array(made.where("run_id = 2"), "label").min() == 1 and array(made.where("run_id = 3"), "label").max() == 0
+    assert "Window" not in plan(basins.watershed(px))
+    runs = raster.object_runs(basins.watershed_lines(px)).where("run_id = 1")
+    sizes = np.bincount(want.ravel())
+    kept = [int(sizes[k]) for k in range(1, len(sizes)) if 300 <= sizes[k] <= 500]
+    assert [r.area for r in raster.areas_of_runs(runs, 300, 500).orderBy("label").collect()] == kept and 0 < len(kept) < want.max()
+    key = lambda df: sorted(map(tuple, df.select("run_id", "label", "seq", "x", "y").collect()))
+    assert key(raster.contours_of_runs(runs)) == key(raster.contours(made.where("run_id = 1")))
