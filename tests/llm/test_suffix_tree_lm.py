@@ -120,3 +120,18 @@ def test_empty(spark):
     assert score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
     out = score_texts(spark.createDataFrame([(5, "a", "", "", "")] * 2, SCHEMA)).collect()
     assert len(out) == 2 and out[0] == out[1]
+
+
+def test_what_a_tree_lists_does_not_depend_on_the_corpus(spark):
+    """A passage that comes eight times is a state with what follows it, in a corpus of any size."""
+    rare = "lorem ipsum dolor"
+    few = [(k, rare) for k in range(100, 110)]
+    many = few + [(1000 + k, "the of " * 20_000) for k in range(150)]  # some six million tokens: a share would ask for more than eight
+    tree = {}
+    for name, rows in (("few", few), ("many", many)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        tree[name] = build_tree(count_tokens(df), df)
+    tokens, bounds = token_stream(*_text.flat(pa.array([rare])))
+    for name in tree:
+        a, _ = tree[name].steps(tokens, bounds)
+        assert (a[1:] > 0.9).all(), name
