@@ -6,9 +6,14 @@ method is one aggregate over the distinct colours of every image and the centres
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bands, frames
 from .frames import sizes
 from .links import cut
 
@@ -92,21 +97,88 @@ def foreground(pixels: DataFrame, side: int = 640, attempts: int = 10, seed: int
     from both centres as from one is background.  Where nothing or more than nine tenths is foreground, the
     cluster with the greater value is taken.  Pixels with a null channel are 0.
     """
-    small = cut(in_hsv(reduced(pixels, side)))
+    lines = cut(bands.pack(pixels, "bgr"))  # read three times
+    small = cut(in_hsv(_reduced_lines(lines, side)))
     centres = cut(two_means(small, attempts, seed=seed))
     ends = small.groupBy("run_id").agg(F.max("y").alias("_my"), F.max("x").alias("_mx"))
     edges = sum(((F.col(c) == end).cast("long") for c, end in (("x", F.lit(0)), ("y", F.col("_my")), ("x", F.col("_mx")))), (F.col("y") == 0).cast("long"))
     placed = small.join(ends, "run_id").join(centres, "run_id").select("run_id", edges.alias("_e"), (_far(SECOND) < _far(FIRST)).cast("long").alias("_second"))
     # the first cluster is in front
     votes = placed.groupBy("run_id").agg((F.sum(F.col("_e") * F.col("_second")) > F.sum(F.col("_e") * (1 - F.col("_second")))).alias("_first"))
-    near_first, near_second = F.col("_da") < F.col("_db"), F.col("_db") < F.col("_da")
-    full = in_hsv(pixels).join(centres, "run_id").select("run_id", _far(FIRST).alias("_da"), _far(SECOND).alias("_db"))
-    counts = pixels.groupBy("run_id").agg(F.count("*").alias("_n")).join(full.groupBy("run_id").agg(F.count_if(near_first).alias("_na"), F.count_if(near_second).alias("_nb")), "run_id").join(votes, "run_id")
+    kind = dict(pixels.dtypes)["run_id"]
+    size = cut(bands.sizes(lines))
+    beside = frames.by_band(size.select("run_id", "h").join(centres, "run_id", "left"), 0)
+    counts = bands.over(lines, _counted, f"run_id {kind}, _n long, _na long, _nb long", planes=3, beside=beside)
+    counts = counts.groupBy("run_id").agg(*(F.sum(c).alias(c) for c in ("_n", "_na", "_nb"))).join(votes, "run_id")
     got = F.when(F.col("_first"), F.col("_na")).otherwise(F.col("_nb"))
     turned = (got == 0) | (got > 0.9 * F.col("_n"))
-    chosen = cut(counts.join(centres, "run_id").select("run_id", *CENTRES, F.when(turned, F.col("a2") > F.col("b2")).otherwise(F.col("_first")).alias("_first")))
-    front = F.when(F.col("_first"), near_first).otherwise(near_second)
-    whole = F.col("b").isNotNull() & F.col("g").isNotNull() & F.col("r").isNotNull()
-    known = pixels.select("run_id", "y", "x", whole.alias("_whole"), *(c.alias(k) for c, k in zip(hsv(F.col("b"), F.col("g"), F.col("r")), HSV)))
-    known = known.join(chosen, "run_id", "left").select("run_id", "y", "x", "_whole", "_first", _far(FIRST).alias("_da"), _far(SECOND).alias("_db"))
-    return known.select("run_id", "y", "x", F.when(front & F.col("_whole"), 255).otherwise(0).cast("long").alias("v"))
+    chosen = counts.join(centres, "run_id").select("run_id", *CENTRES, F.when(turned, F.col("a2") > F.col("b2")).otherwise(F.col("_first")).alias("first"))
+    beside = cut(frames.by_band(size.select("run_id", "h").join(chosen, "run_id", "left"), 0))
+    return bands.as_pixels(bands.over(lines, _in_front, bands.pixel_schema(lines), planes=3, beside=beside), pixels)
+
+
+def _hsv_planes(band: bands.Band) -> tuple[np.ndarray, ...]:
+    """``hsv`` of a band as doubles, NaN where a channel is null."""
+    b, g, r = (p[band.own].astype(np.float64) for p in band.planes)
+    value = np.maximum(np.maximum(b, g), r)
+    spread = value - np.minimum(np.minimum(b, g), r)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        turn = np.where(value == r, 30.0 * (g - b) / spread, np.where(value == g, 60 + 30.0 * (b - r) / spread, 120 + 30.0 * (r - g) / spread))
+        hue = np.floor(np.where(spread == 0, 0.0, turn) + 0.5)
+        return np.where(hue < 0, hue + 180, hue), np.floor(np.where(value == 0, 0.0, 255.0 * spread / value) + 0.5), value
+
+
+def _distances(band: bands.Band) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of a band's colours to the two centres; NaN where a channel is null."""
+    planes = _hsv_planes(band)
+    out = []
+    for centre in (FIRST, SECOND):
+        parts = [(c - band.row[m]) * (c - band.row[m]) for c, m in zip(planes, centre)]
+        out.append(parts[0] + parts[1] + parts[2])
+    return out[0], out[1]
+
+
+def _counted(band: bands.Band) -> Iterator[pa.RecordBatch]:
+    """Of a band, its pixels, and those nearer to the first and to the second centre."""
+    if band.row["a0"] is not None:
+        first, second = _distances(band)
+        n = first.size if band.there is None else np.count_nonzero(band.there[band.own])
+        yield pa.RecordBatch.from_arrays([pa.repeat(band.run_id, 1), *(pa.array([int(k)]) for k in (n, (first < second).sum(), (second < first).sum()))], names=["run_id", "_n", "_na", "_nb"])
+
+
+def _in_front(band: bands.Band) -> Iterator[pa.RecordBatch]:
+    if band.row["a0"] is None:
+        yield band.pixels(np.zeros(band.a[band.own].shape, np.int64))
+    else:
+        first, second = _distances(band)
+        yield band.pixels(np.where(first < second if band.row["first"] else second < first, 255, 0))
+
+
+def _reduced_lines(lines: DataFrame, side: int) -> DataFrame:
+    """``reduced`` of packed lines: a band makes the small pixels whose first line it holds, with a margin that holds the rest of them."""
+    kind = dict(lines.dtypes)["run_id"]
+    size = cut(bands.sizes(lines))
+    most = size.agg(F.max(F.greatest("h", "w"))).first()[0] or 1
+
+    def means(band: bands.Band) -> Iterator[pa.RecordBatch]:
+        h, w, most = band.row["h"], band.row["w"], max(band.row["h"], band.row["w"])
+        place = lambda at, length: at if most <= side else at * max(1, length * side // most) // length
+        y, x = place(np.arange(band.first - 1, band.first + len(band.a)), h), place(np.arange(band.a.shape[1]), w)
+        begun = y[1:][band.own][y[1:][band.own] != y[:-1][band.own]]
+        if not len(begun):
+            return
+        ours = (y[1:] >= begun[0]) & (y[1:] <= begun[-1])
+        ny, nx = int(begun[-1] - begun[0]) + 1, int(x[-1]) + 1
+        at = ((y[1:][ours] - begun[0])[:, None] * nx + x).ravel()
+        there = np.ones(len(at), bool) if band.there is None else band.there[ours].ravel()
+        small = np.flatnonzero(np.bincount(at[there], minlength=ny * nx) > 0)
+        columns = []
+        for plane in band.planes:
+            v = plane[ours].astype(np.float64).ravel()
+            known = ~np.isnan(v)
+            total, n = np.bincount(at[known], v[known], ny * nx)[small].astype(np.int64), np.bincount(at[known], minlength=ny * nx)[small]
+            columns.append(pa.array((2 * total + n) // np.maximum(2 * n, 1), mask=n == 0))
+        yield pa.RecordBatch.from_arrays([pa.repeat(band.run_id, len(small)), pa.array(begun[0] + small // nx), pa.array(small % nx), *columns], names=["run_id", "y", "x", *"bgr"])
+
+    margin = -(-most // side) + 1
+    return bands.over(lines, means, f"run_id {kind}, y long, x long, b long, g long, r long", margin, planes=3, beside=frames.by_band(size, margin))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievestone.operators import bands, basins, frames, kernels, links, raster, strategies
+from sievestone.operators import bands, basins, colours, frames, kernels, links, raster, strategies
 from sievestone.sources import specimens
 
 from .test_frames import plain_equalize
@@ -124,3 +124,18 @@ def test_watershed_over_bands(spark):
     assert [r.area for r in raster.areas_of_runs(runs, 300, 500).orderBy("label").collect()] == kept and 0 < len(kept) < want.max()
     key = lambda df: sorted(map(tuple, df.select("run_id", "label", "seq", "x", "y").collect()))
     assert key(raster.contours_of_runs(runs)) == key(raster.contours(made.where("run_id = 1")))
+
+
+def test_foreground_over_bands(spark):
+    """Bands share small pixels; what clusters is what ``reduced`` gives, and pixels are packed once."""
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 60, (300, 45))
+    a[90:210, 10:30] += 150
+    px = image(spark, a).selectExpr("run_id", "y", "x", "v * 4 div 5 AS b", "CASE WHEN y = 7 AND x = 9 THEN NULL ELSE v * 9 div 10 END AS g", "v AS r")
+    key = lambda df: sorted(map(tuple, df.select("run_id", "y", "x", "b", "g", "r").collect()))
+    for side in (100, 70, 640):
+        assert key(colours._reduced_lines(bands.pack(px, "bgr"), side)) == key(colours.reduced(px, side))
+    made = colours.foreground(px, 100, 2)
+    got = array(made)
+    assert (got[95:205, 12:28] == 255).mean() > 0.9 and got[7, 9] == 0 and (got[:80] == 0).mean() > 0.9
+    assert "Join" not in plan(made)
